@@ -1 +1,8 @@
 """tessera: interval-evidence analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value: it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
