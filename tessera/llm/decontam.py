@@ -110,42 +110,54 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     without words match nothing; repeated rows count once each; an empty benchmark hits
     nothing; extra columns are ignored.
     """
-    parts = blocks(benchmark, block_bytes)
-    sent = [docs.sparkSession.sparkContext.broadcast(p) for p in parts]
+    parts = _send(docs, benchmark, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Automata are built one at a time; with one block, as usual, it serves the whole task.
-        one = build(sent[0].value, window) if len(sent) == 1 else None
-        for b in batches:
-            texts = b.column(1)
-            found = [[0, np.zeros(0, bool), set()] for _ in range(b.num_rows)]
-            for part in sent:
-                automaton = one or build(part.value, window)
-                for k in range(b.num_rows):
-                    n, hit, items = scan(automaton, texts[k].as_py())
-                    f = found[k]
-                    f[0] = n
-                    f[1] = hit if not len(f[1]) else f[1] | hit if len(hit) else f[1]
-                    f[2] |= items
-            spans = [[{"start": s, "end": e} for s, e in hit_spans(texts[k].as_py(), f[1])] if f[1].any() else [] for k, f in enumerate(found)]
+        for b, found in _scanned(parts, window, batches):
+            spans = [[{"start": s, "end": e} for s, e in hit_spans(t.as_py(), f[1])] if f[1].any() else [] for t, f in zip(b.column("text"), found)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([int(f[1].sum()) for f in found], pa.int64()), pa.array([sorted(map(str, f[2])) for f in found], pa.list_(pa.string())), pa.array(spans, SPANS)],
+                [b.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([int(f[1].sum()) for f in found], pa.int64()), pa.array([sorted(map(str, f[2])) for f in found], pa.list_(pa.string())), pa.array(spans, SPANS)],
                 ["doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>")
 
 
-SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+def _send(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> list:
+    return [docs.sparkSession.sparkContext.broadcast(p) for p in blocks(benchmark, block_bytes)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id has no hit.
+def _scanned(parts: list, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches with a text column, and for each text [words, flags of hit words, items].
 
-    Rows with a null doc_id stay. Documents that share a doc_id share its verdict.
+    Automata are built one at a time; with one block, as usual, it serves the whole task.
     """
-    bad = contamination(docs, benchmark, window).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    one = build(parts[0].value, window) if len(parts) == 1 else None
+    for b in batches:
+        texts = b.column("text")
+        found = [[0, np.zeros(0, bool), set()] for _ in range(b.num_rows)]
+        for part in parts:
+            automaton = one or build(part.value, window)
+            for f, text in zip(found, texts):
+                n, hit, items = scan(automaton, text.as_py())
+                f[0] = n
+                f[1] = hit if not len(f[1]) else f[1] | hit if len(hit) else f[1]
+                f[2] |= items
+        yield b, found
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` (text, ...), all columns, that no window occurs in."""
+    parts = _send(docs, benchmark, block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in _scanned(parts, window, batches):
+            yield b.filter(pa.array([not f[1].any() for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

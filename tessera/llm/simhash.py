@@ -195,6 +195,22 @@ def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float
     return found.join(named, cols, "left").select("doc_id", "component_id")
 
 
+#: Ids of documents to drop that may be broadcast; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...), all columns, without those that have a near copy of smaller doc_id.
+
+    One document of each group of linked documents stays. Rows with a null doc_id stay.
+    """
+    found = similar_components(docs.select("doc_id", "text"), shingle, min_similarity)
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(load_documents(spark, sf_dir))
 

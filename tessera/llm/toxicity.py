@@ -279,6 +279,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     return base.mapInArrow(run, "doc_id long, score double")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...), all columns, whose score is under the threshold."""
+    model = train(docs, labels, fit_rows)
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = sent.value[1]
+        for b, x in _featured(sent, batches):
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     scored = toxicity(load_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
