@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "toxicity", "packing", "decontam", "linededup", "urlfilter", "lm")
+MODULES = ("simhash", "toxicity", "packing", "decontam", "linededup", "urlfilter", "lm", "warc")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
