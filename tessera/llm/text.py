@@ -29,6 +29,11 @@ def crc_mod(column: str, mod: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % F.lit(mod)
 
 
+def hash_share(key: Column, rows: int, bound: int, seed: int = 11) -> Column:
+    """Whether a row is in the sample of about ``bound`` of ``rows`` rows that the hash of its key draws (all, if they are no more)."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, bound / max(1, rows)) * (1 << 30))
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
