@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import crc_mod, load_documents, table
+from tessera.llm.text import crc_mod, hash_share, load_documents, table
+from tessera.session import cut
 
-#: Labelled rows that the model is fitted on at most; half for the lexicon, half for the weights.
+#: Labelled rows that the model is fitted on, about, at most; half for the lexicon, half for the weights.
 FIT_ROWS = 20_000
 #: Entries of the lexicon at most, the most telling first.
 LEXICON = 4000
@@ -171,44 +173,63 @@ def _opened(before: list[str]) -> bool:
     return len(marks) % 2 == 1 and marks[-1] in OPENS
 
 
-def keys(text: str | None) -> set[str]:
-    """Candidates of the lexicon: words (with a $) and their first 4 to 6 letters."""
-    out = set()
-    for w in set(WORD.findall((text or "").lower())):
+def keys(text: str | None) -> dict[str, int]:
+    """Candidates of the lexicon, words (with a $) and their first 4 to 6 letters, each with a hash of the words around its first place."""
+    words = WORD.findall((text or "").lower())
+    first: dict[str, int] = {}
+    for i, w in enumerate(words):
+        first.setdefault(w, i)
+    out: dict[str, int] = {}
+    for w, i in first.items():
         if 3 <= len(w) <= 40:
-            out.add(w + "$")
-            out.update(w[:n] for n in (4, 5, 6) if len(w) > n)
+            around = zlib.crc32(" ".join(words[max(0, i - 2) : i] + words[i + 1 : i + 3]).encode())
+            out.setdefault(w + "$", around)
+            for n in (4, 5, 6):
+                if len(w) > n:
+                    out.setdefault(w[:n], around)
     return out
 
 
-def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> list[tuple[str, bool, float]]:
-    """(text, toxic) of bounded, labelled rows -> terms and stems that toxic texts have and others lack.
+def learn_lexicons(sample: DataFrame, most: int = LEXICON) -> list[list[tuple[str, bool, float]]]:
+    """(text, toxic, half: 0 or 1) of bounded, labelled rows -> the lexicons of half 0, half 1 and both, as (text, is_stem, log-odds).
 
-    An entry's surprise (binomial divergence from the share of toxic rows) has to exceed what
-    the number of candidates makes likely by chance.
+    Entries are terms and stems that toxic texts have and others lack. A candidate counts once
+    for each toxic text, and once for all in which the same words stand around it, so the words
+    of a text with many copies gain nothing by them. Its surprise (binomial divergence from the
+    share of toxic rows) has to exceed what the number of candidates makes likely by chance.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bad, good = Counter(), Counter()
-            for text, y in zip(b.column(0), b.column(1).to_pylist()):
-                (bad if y else good).update(keys(text.as_py()))
-            names = list(bad.keys() | good.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([bad[k] for k in names], pa.int64()), pa.array([good[k] for k in names], pa.int64())], ["k", "bad", "good"])
-
-    shares = sample.agg(F.avg("toxic"), F.count("*")).first()
-    p = shares[0] or 0.0
+            bad, good = set(), Counter()
+            for text, y, half in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                found = keys(text.as_py())
+                if y:
+                    bad.update((k, c, half) for k, c in found.items())
+                else:
+                    good.update((k, half) for k in found)
+            rows = [(k, half, c, 0) for k, c, half in bad] + [(k, half, None, n) for (k, half), n in good.items()]
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["k", "half", "around", "good"])
+
+    p = sample.agg(F.avg("toxic")).first()[0] or 0.0
     if not 0 < p < 1:
-        return []
-    counts = sample.select("text", "toxic").mapInArrow(run, "k string, bad long, good long").groupBy("k").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    counts = counts.where("bad >= 3")
-    n, share = F.col("bad") + F.col("good"), F.col("bad") / (F.col("bad") + F.col("good"))
-    surprise = n * (share * F.ln(share / p) + F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - p))).otherwise(0.0))
-    odds = F.ln((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - math.log(p / (1 - p))
-    rows = counts.select("k", surprise.alias("surprise"), odds.alias("odds"), share.alias("share")).where(f"share > {max(0.5, p)}")
+        return [[], [], []]
+    each = sample.select("text", "toxic", F.col("half").cast("int")).mapInArrow(run, "k string, half int, around long, good long")
+    each = each.groupBy("k", "around").agg(*(F.max(F.when((F.col("half") == h) & F.col("around").isNotNull(), 1)).alias(f"b{h}") for h in (0, 1)), *(F.sum(F.when(F.col("half") == h, F.col("good")).otherwise(0)).alias(f"g{h}") for h in (0, 1)))
+    counts = each.groupBy("k").agg(F.count("b0").alias("bad0"), F.count("b1").alias("bad1"), F.count("around").alias("bad2"), F.sum("g0").alias("good0"), F.sum("g1").alias("good1"), F.sum(F.col("g0") + F.col("g1")).alias("good2"))
+    counts = cut(counts.where("bad2 >= 3"))
     tested = counts.count()
-    rows = rows.where(F.col("surprise") > math.log(tested + 1) + 2).orderBy(F.desc("surprise"), "k").limit(most).collect()
-    return [(r[0].rstrip("$"), not r[0].endswith("$"), float(r[2])) for r in rows]
+    lexicons = []
+    for part in (0, 1, 2):
+        bad, n = F.col(f"bad{part}"), F.col(f"bad{part}") + F.col(f"good{part}")
+        share = bad / n
+        surprise = n * (share * F.ln(share / p) + F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - p))).otherwise(0.0))
+        odds = F.ln((bad + 0.5) / (F.col(f"good{part}") + 0.5)) - math.log(p / (1 - p))
+        rows = counts.where(bad >= 3).select("k", surprise.alias("surprise"), odds.alias("odds"), share.alias("share")).where(F.col("share") > max(0.5, p))
+        rows = rows.where(F.col("surprise") > math.log(tested + 1) + 2).orderBy(F.desc("surprise"), "k").limit(most).collect()
+        lexicons.append([(r[0].rstrip("$"), not r[0].endswith("$"), float(r[2])) for r in rows])
+    return lexicons
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
@@ -227,34 +248,66 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int
     return w
 
 
-def _featured(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    auto, seen = Automaton(sent.value[0]), {}
+def _featured(lexicon: list, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    auto, seen = Automaton(lexicon), {}
     for b in batches:
         yield b, np.array([features(auto, t.as_py(), seen) for t in b.column("text")]).reshape(-1, FEATURES)
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list, np.ndarray] | None:
-    """(lexicon, weights), or None where the labelled rows have one class only or none.
+#: Features of matches that are misspelled only; the logistic model does without them.
+MISSPELLED = [1, 4]
+#: Rows that the share of toxic texts counts as, where few texts have misspelled matches only.
+PRIOR = 5
 
-    The rows: ``labels`` with a toxic label and crc32(doc_id) mod 3 not 1, the first
-    ``fit_rows`` by the hash of doc_id; the half with an even hash gives the lexicon.
+
+def misspelled_only(x: np.ndarray) -> np.ndarray:
+    """1 for texts whose one match is misspelled, 2 for several such and no other, else 0."""
+    return np.where((x[:, 0] == 0) & (x[:, 2] == 0) & (x[:, 1] > 0), np.where(x[:, 1] > 0.7, 2, 1), 0)
+
+
+def scores(x: np.ndarray, weights: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Probabilities of rows of features; rates: of texts with misspelled matches only, by misspelled_only."""
+    z = np.delete(x, MISSPELLED, axis=1) @ weights[:-1] + weights[-1]
+    kind = misspelled_only(x)
+    return np.where(kind > 0, rates[kind], 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list, np.ndarray, np.ndarray] | None:
+    """(lexicon, weights, rates), or None where the labelled rows have one class only or none.
+
+    The rows: ``labels`` with a toxic label and crc32(doc_id) mod 3 not 1, about
+    ``fit_rows`` of them drawn by the hash of doc_id. The weights are fitted on matches of each
+    half with the lexicon of the other half; the lexicon that is returned is that of both. rates
+    are the shares of toxic texts among those that match it by misspelled words only.
     """
     mine = labels.where("toxic is not null and doc_id is not null").where(crc_mod("doc_id", 3) != 1)
-    mine = mine.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    mine = mine.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    mine = mine.where(hash_share(F.col("doc_id"), mine.count(), fit_rows))
     sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(mine), "doc_id")
-    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
-    lexicon = learn_lexicon(sample.where(half == 0))
-    sent = docs.sparkSession.sparkContext.broadcast((lexicon,))
+    sample = sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)))
+    *halves, lexicon = learn_lexicons(sample)
+    sent = docs.sparkSession.sparkContext.broadcast(halves)
+    rows = []
+    for half in (0, 1):
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, x in _featured(sent, batches):
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column("toxic").cast(pa.int32())], ["x", "y"])
+        def run(batches: Iterator[pa.RecordBatch], other: int = 1 - half) -> Iterator[pa.RecordBatch]:
+            for b, x in _featured(sent.value[other], batches):
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column("toxic").cast(pa.int32())], ["x", "y"])
 
-    rows = sample.where(half == 1).select("text", "toxic").mapInArrow(run, "x array<double>, y int").collect()
+        rows += sample.where(F.col("half") == half).select("text", "toxic").mapInArrow(run, "x array<double>, y int").collect()
     y = np.array([r[1] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
-    return lexicon, fit_logistic(np.array([r[0] for r in rows]), y)
+    whole = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, x in _featured(whole.value, batches):
+            yield pa.RecordBatch.from_arrays([pa.array(misspelled_only(x).astype(np.int32)), b.column("toxic").cast(pa.int32())], ["kind", "y"])
+
+    rates = np.full(3, y.mean())
+    for kind, n, bad in sample.select("text", "toxic").mapInArrow(rate, "kind int, y int").groupBy("kind").agg(F.count("*"), F.sum("y")).collect():
+        rates[kind] = (bad + PRIOR * y.mean()) / (n + PRIOR)
+    return lexicon, fit_logistic(np.delete(np.array([r[0] for r in rows]), MISSPELLED, axis=1), y), rates
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -271,10 +324,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = sent.value[1]
-        for b, x in _featured(sent, batches):
-            score = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+        lexicon, weights, rates = sent.value
+        for b, x in _featured(lexicon, batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(x, weights, rates))], ["doc_id", "score"])
 
     return base.mapInArrow(run, "doc_id long, score double")
 
@@ -287,9 +339,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = sent.value[1]
-        for b, x in _featured(sent, batches):
-            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) < threshold))
+        lexicon, weights, rates = sent.value
+        for b, x in _featured(lexicon, batches):
+            yield b.filter(pa.array(scores(x, weights, rates) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
