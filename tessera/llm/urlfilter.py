@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import table
+from tessera.llm.text import hash_share, table
+from tessera.session import cut
 
 #: (host/path, verdict)
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Rule-labelled URLs of each verdict that the models and the threshold are fitted on at most.
+#: Rule-labelled URLs of each verdict that the models and the threshold are fitted on, about, at most.
 FIT_URLS = 20_000
 #: Contexts and successors kept for each verdict at most, the most frequent first.
 ENTRIES = 300_000
@@ -99,14 +100,16 @@ def calibrate(scores: np.ndarray, accepted: np.ndarray) -> float:
 def fit(judged: DataFrame, fit_urls: int = FIT_URLS) -> tuple[Markov, Markov, float] | None:
     """(target: binary, verdict) -> models and threshold; None where a verdict has no URLs.
 
-    ``fit_urls`` distinct targets of each verdict are taken in order of their hash; three of
-    four teach the models, the fourth sets the threshold.
+    About ``fit_urls`` URLs of each verdict are drawn by the hash of their target; three of four
+    distinct targets teach the models, the fourth sets the threshold.
     """
     spark = judged.sparkSession
-    picked = None
-    for said in ("allow", "block"):
-        part = judged.where(F.col("verdict") == said).select("target", "verdict").distinct().orderBy(F.xxhash64("target"), "target").limit(fit_urls)
-        picked = part if picked is None else picked.union(part)
+    known = judged.where("verdict is not null").select("target", "verdict")
+    sizes = dict(known.groupBy("verdict").count().collect())
+    drawn = F.lit(False)
+    for said, n in sizes.items():
+        drawn = drawn | ((F.col("verdict") == said) & hash_share(F.col("target"), n, fit_urls))
+    picked = cut(known.where(drawn).distinct())
     part = F.pmod(F.xxhash64("target", F.lit(5)), F.lit(4))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
