@@ -26,6 +26,7 @@ SHORT, LONG_WORD = 512, 32
 PLACE_BITS, BIN_BITS = 26, 6
 PLACE = (1 << PLACE_BITS) - 1
 SHIFT = 63 - BIN_BITS
+LOW = (1 << SHIFT) - 1
 
 
 def _same(a: str, b: str) -> str:
@@ -56,15 +57,17 @@ def order_minhash(df: DataFrame, text: str, out: str) -> DataFrame:
     kmer = "if(more = 1, xxhash64(x, get(t, j + 1)), xxhash64(x, get(t, j + 1), get(t, j + 2)))"
     d = d.select(*keep, F.expr(f"sort_array(transform(t, (x, j) -> ({kmer} & {~PLACE}L) | (j & {PLACE}L)))").alias("s"))
     numbered = f"((xxhash64(shiftright(x, {PLACE_BITS}), {_occurrence()}) & {(1 << 63) - 1 - PLACE}L) | (x & {PLACE}L))"
-    d = d.select(*keep, F.expr(f"sort_array(transform(s, (x, j) -> {numbered}))").alias("m"))
+    # A last entry in every bin, so each bin is there; its low bits are all ones.
+    ends = F.expr(f"transform(sequence(0L, {BINS - 1}L), b -> shiftleft(b, {SHIFT}) | {LOW}L)")
+    d = d.select(*keep, F.sort_array(F.concat(F.expr(f"transform(s, (x, j) -> {numbered})"), ends)).alias("m"))
     d = d.select(*keep, F.expr(f"filter(m, (x, j) -> j < 2 or shiftright(get(m, j - 2), {SHIFT}) <> shiftright(x, {SHIFT}))").alias("k"))
     hash_of = lambda x: f"shiftright({x}, {PLACE_BITS})"
-    pair = f"if(get(k, j + 1) & {PLACE}L > x & {PLACE}L, xxhash64({hash_of('x')}, {hash_of('get(k, j + 1)')}), xxhash64({hash_of('get(k, j + 1)')}, {hash_of('x')}))"
-    code = f"if(j + 1 < size(k) and shiftright(get(k, j + 1), {SHIFT}) = shiftright(x, {SHIFT}), {pair}, xxhash64({hash_of('x')}))"
+    after = "get(k, j + 1)"
+    pair = f"if({after} & {PLACE}L > x & {PLACE}L, xxhash64({hash_of('x')}, {hash_of(after)}), xxhash64({hash_of(after)}, {hash_of('x')}))"
     # 1 to 65535, so 0 stands for an empty bin.
-    entry = f"named_struct('bin', cast(shiftright(x, {SHIFT}) as int), 'code', cast(1 + pmod({code}, 65535L) as int), 'first', j = 0 or shiftright(get(k, j - 1), {SHIFT}) <> shiftright(x, {SHIFT}))"
-    d = d.select(*keep, F.expr(f"map_from_entries(transform(filter(transform(k, (x, j) -> {entry}), e -> e.first), e -> struct(e.bin, e.code)))").alias("e"))
-    return d.select(*keep, F.expr(f"transform(sequence(0, {BINS - 1}), b -> coalesce(try_element_at(e, b), 0))").alias(out))
+    code = f"if(x & {LOW}L = {LOW}L, 0, cast(1 + pmod(if({after} & {LOW}L = {LOW}L, xxhash64({hash_of('x')}), {pair}), 65535L) as int))"
+    first = f"j = 0 or shiftright(get(k, j - 1), {SHIFT}) <> shiftright(x, {SHIFT})"
+    return d.select(*keep, F.expr(f"transform(filter(transform(k, (x, j) -> named_struct('code', {code}, 'first', {first})), e -> e.first), e -> e.code)").alias(out))
 
 
 def as_text(fingerprint: str) -> Column:
