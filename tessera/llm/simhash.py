@@ -85,26 +85,27 @@ def _mask(lo: int, hi: int) -> Column:
 
 
 def signatures(nodes: DataFrame, segments: int, lanes: int) -> DataFrame:
-    """Adds a row for each (lane, wiped-out bit): ``slot`` = 64 * lane + bit, ``sig`` = slot and the rest of the segment."""
+    """A row for each (lane, wiped-out bit): ``sig`` has the slot, 64 * lane + bit, from bit 40 on and the rest of the segment below."""
     out = []
     for lane in range(lanes):
         for lo, hi in _segments(segments):
             for bit in range(lo, hi):
                 rest = F.shiftrightunsigned(F.col(f"f{lane}").bitwiseAND(_long((1 << hi) - (1 << lo) - (1 << bit))), lo)
-                out.append(F.struct(F.lit(64 * lane + bit).alias("slot"), rest.bitwiseOR(F.lit((64 * lane + bit) << 40)).alias("sig")))
-    return nodes.select("*", F.explode(F.array(*out)).alias("s")).select(*nodes.columns, "s.slot", "s.sig")
+                out.append(rest.bitwiseOR(F.lit((64 * lane + bit) << 40)))
+    return nodes.select("*", F.explode(F.array(*out)).alias("sig"))
 
 
 def _first_shared(segments: int, lanes: int) -> Column:
-    """Whether no earlier slot is shared too, for two rows a and b that share a.slot."""
+    """Whether no earlier slot is shared too, for two rows a and b that share a signature."""
     checks = []
     earlier = F.lit(True)
+    slot = F.shiftright("a.sig", 40)
     for lane in range(lanes):
         x = F.col(f"a.f{lane}").bitwiseXOR(F.col(f"b.f{lane}"))
         for lo, hi in _segments(segments):
             inside = x.bitwiseAND(_mask(lo, hi))
-            here = (F.col("a.slot") >= 64 * lane + lo) & (F.col("a.slot") < 64 * lane + hi)
-            checks.append(here & earlier & ((inside != 0) | (F.col("a.slot") == 64 * lane + lo)))
+            here = (slot >= 64 * lane + lo) & (slot < 64 * lane + hi)
+            checks.append(here & earlier & ((inside != 0) | (slot == 64 * lane + lo)))
             earlier = earlier & (F.bit_count(inside) >= 2)
     whole = checks[0]
     for c in checks[1:]:
@@ -138,9 +139,9 @@ def similar_pairs(nodes: DataFrame, max_bits: int, segments: int, lanes: int = 1
     busy = cut(keys.groupBy("sig").count().where(F.col("count") > hot).select("sig"))
     if busy.isEmpty():
         return meet(keys, same)
-    cold = meet(keys.join(busy, "sig", "left_anti").select(*cols, "slot", "sig"), same)
+    cold = meet(keys.join(busy, "sig", "left_anti").select(*cols, "sig"), same)
     pieces = [F.struct(F.lit(lane * 64 + p).alias("p"), F.col(f"f{lane}").bitwiseAND(m).alias("q")) for lane in range(lanes) for p, m in enumerate(_pieces(max_bits // lanes + 1))]
-    warm = keys.join(busy, "sig", "left_semi").select(*cols, "slot", "sig", F.explode(F.array(*pieces)).alias("pq")).select(*cols, "slot", "sig", "pq.p", "pq.q")
+    warm = keys.join(busy, "sig", "left_semi").select(*cols, "sig", F.explode(F.array(*pieces)).alias("pq")).select(*cols, "sig", "pq.p", "pq.q")
     first = F.lit(False)
     earlier = F.lit(True)
     for lane in range(lanes):
