@@ -21,10 +21,17 @@ def read_length_mode(reads: DataFrame, least: int = 50) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.desc("len")).limit(1)
 
 
-def first_of_group(rows: DataFrame, n: int, group: str, *order: str) -> DataFrame:
-    """The first ``n`` rows of each group in the given, total order."""
+def first_of_group(rows: DataFrame, n: int, group: str, *order: str, buckets: int = 256) -> DataFrame:
+    """The first ``n`` rows of each group in the given, total order, with their ``rank``.
+
+    A group may be the whole table, so each is first cut to ``n`` rows in each of ``buckets``
+    parts, and only what is left of these meets in one place.
+    """
+    part = F.pmod(F.xxhash64(*order), F.lit(buckets))
+    near = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))
+    left = rows.withColumn("_part", part).withColumn("_rank", near).where(F.col("_rank") <= n).drop("_part", "_rank")
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n)
+    return left.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n)
 
 
 def order_median(values):

@@ -17,7 +17,7 @@ def detect(reads: DataFrame, options: PairOptions) -> dict[str, DataFrame]:
     row a read group and travel to the tasks.
     """
     r = reads if options.use_read_groups else reads.withColumn("rg", F.lit("D"))
-    limits = stats.thresholds(stats.first_of_group(stats.usable_inserts(r), options.sample, "rg", "chr", "pos", "clone", "rn"), options.max_distance)
+    limits = stats.thresholds(stats.first_of_group(stats.usable_inserts(r), options.sample, "rg", "chr", "pos", "clone", "num", "flag", "tlen", "cigar"), options.max_distance)
     flagged = pairs.split_and_anchor_flags(pairs.filter_reads(r, limits))
     mapped = flagged.unionByName(pairs.alternative_hits(flagged))
     found = pairs.discordant(pairs.classify(pairs.mate_pairs(mapped), limits)).withColumn("name", F.col("clone"))
