@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.text import LOWER, load_documents
 
@@ -26,6 +27,7 @@ WINDOW = 6
 #: Lines around a fingerprint that its row carries, each as 16 bits of its hash.
 REACH = WINDOW - 1
 MIN_WORDS = 40
+COUNTS = ("line_words", "line_removed", "line_runs")
 #: Bytes of text that are cut into lines at once.
 CHUNK = 1 << 20
 
@@ -233,12 +235,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Runs are found across documents (the one with the smallest doc_id keeps its own) and within
     a document. Null texts stay null; empty texts have no lines. Rows that share a doc_id
     count as one document: neither loses what the other has. Rows without doc_id are only
-    compared with themselves. A column named matches is not allowed.
+    compared with themselves. Columns named like the counts are replaced; others are kept.
     """
+    docs = docs.drop(*COUNTS)
     names, text_at = docs.columns, docs.columns.index("text")
-    found = repeats(docs).withColumnRenamed("doc_id", "line_doc")
-    joined = docs.join(found, F.col("doc_id").cast("long") == F.col("line_doc"), "left").select(*[docs[n] for n in names], "matches")
-    schema = joined.drop("matches").schema.simpleString()[7:-1] + ",line_words:bigint,line_removed:bigint,line_runs:bigint"
+    found = repeats(docs).select(F.col("doc_id").alias("__of"), F.col("matches").alias("__matches"))
+    joined = docs.join(found, docs["doc_id"].cast("long") == found["__of"], "left").select(*[docs[n] for n in names], found["__matches"])
+    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
@@ -261,7 +264,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             out = [b.column(i) for i in range(len(names))]
             was = b.column(text_at)
             out[text_at] = pa.array([t if was[i].is_valid else None for i, t in enumerate(texts)], was.type)
-            yield pa.RecordBatch.from_arrays([*out, *(pa.array(x, pa.int64()) for x in (words, removed, cuts))], [*names, "line_words", "line_removed", "line_runs"])
+            yield pa.RecordBatch.from_arrays([*out, *(pa.array(x, pa.int64()) for x in (words, removed, cuts))], [*names, *COUNTS])
 
     return joined.mapInArrow(run, schema)
 

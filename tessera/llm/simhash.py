@@ -206,10 +206,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, min_similarity: floa
     One document of each group of linked documents stays. Rows with a null doc_id stay.
     """
     found = similar_components(docs.select("doc_id", "text"), shingle, min_similarity)
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

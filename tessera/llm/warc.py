@@ -52,9 +52,14 @@ def tidy(text: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """The visible text: no head, scripts, styles, comments or tags; block tags end lines; named entities resolved."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), LINE_TAGS, "\n"), TAGS, "")
+    return tidy(resolved(text))
+
+
+def resolved(text: Column) -> Column:
+    """The named entities' characters in their places, &amp; last."""
     for name, value in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(value))
-    return tidy(text)
+    return text
 
 
 def responses_of_pages(pages: DataFrame) -> DataFrame:
@@ -105,8 +110,8 @@ def derive(responses: DataFrame) -> DataFrame:
     """
     r = responses.select("key", "record_id", "target_uri", F.coalesce("date", F.lit(NO_DATE)).alias("date"), F.coalesce("http_headers", F.lit("")).alias("h"), F.coalesce("payload", F.lit("")).alias("p"))
     head, sep = F.concat(F.lit("source-header: "), F.regexp_replace("h", "\r\n", "\r\nsource-header: ")), F.lit("\r\n")
-    links = F.concat_ws("", F.expr("transform(links, x -> concat('outlink: ', x, '\r\n'))"))
-    r = r.select("*", sha1_base32(F.col("p")).alias("payload_digest"), tidy(F.regexp_extract("p", TITLE, 1)).alias("title"), F.regexp_extract("p", LANGUAGE, 1).alias("language"), F.regexp_extract_all("p", F.lit(LINKS), F.lit(1)).alias("links"), plain_text(F.col("p")).alias("text"))
+    links = F.concat_ws("", F.expr("transform(links, x -> concat('outlink: ', replace(x, '&amp;', '&'), '\r\n'))"))
+    r = r.select("*", sha1_base32(F.col("p")).alias("payload_digest"), tidy(resolved(F.regexp_extract("p", TITLE, 1))).alias("title"), F.regexp_extract("p", LANGUAGE, 1).alias("language"), F.regexp_extract_all("p", F.lit(LINKS), F.lit(1)).alias("links"), plain_text(F.col("p")).alias("text"))
     meta = F.concat(F.lit("title: "), "title", sep, F.lit("language: "), "language", sep, F.lit("source-payload-digest: "), "payload_digest", sep, head, sep, links)
     kinds = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), meta.alias("block")),
@@ -152,9 +157,13 @@ def _sql_tidy(text: str) -> str:
 
 def _sql_text(html: str) -> str:
     text = f"regexp_replace(regexp_replace(regexp_replace({html}, '{HIDDEN}', '', 'g'), '{LINE_TAGS}', chr(10), 'g'), '{TAGS}', '', 'g')"
+    return _sql_tidy(_sql_resolved(text))
+
+
+def _sql_resolved(text: str) -> str:
     for name, value in ENTITIES:
         text = f"replace({text}, '{name}', '{value.replace(chr(39), chr(39) * 2)}')"
-    return _sql_tidy(text)
+    return text
 
 
 _NL = "chr(13) || chr(10)"
@@ -165,8 +174,8 @@ WITH r AS (
   FROM pages),
 s AS (
   SELECT *, {_sql_urn("'response|' || coalesce(page_id::VARCHAR, '') || '|' || target_uri")} AS refers_to, {_sql_digest("p")} AS payload_digest,
-    {_sql_tidy(f"regexp_extract(p, '{TITLE}', 1)")} AS title, regexp_extract(p, '{LANGUAGE}', 1) AS language,
-    list_aggregate(list_transform(regexp_extract_all(p, '{LINKS}', 1), lambda x: 'outlink: ' || x || {_NL}), 'string_agg', '') AS links, {_sql_text("p")} AS text
+    {_sql_tidy(_sql_resolved(f"regexp_extract(p, '{TITLE}', 1)"))} AS title, regexp_extract(p, '{LANGUAGE}', 1) AS language,
+    list_aggregate(list_transform(regexp_extract_all(p, '{LINKS}', 1), lambda x: 'outlink: ' || replace(x, '&amp;', '&') || {_NL}), 'string_agg', '') AS links, {_sql_text("p")} AS text
   FROM r),
 k AS (
   SELECT page_id, refers_to, target_uri, payload_digest, 'metadata' AS record_type, 'application/warc-fields' AS content_type,

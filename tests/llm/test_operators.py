@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontam, licenses, linededup, lm, omh, packing, simhash, toxicity, urlfilter, warc
 
-EXTRA = ", row long, sig string, n int, w string, k string, score double, line_doc long"
+EXTRA = ", row long, sig string, n int, w string, k string, score double, line_doc long, matches int, gone long, line_runs string"
 BLANKS = [None, "", "   ", "\n\t"]
 
 
@@ -22,7 +22,7 @@ def docs_of(spark, texts, ids=None, extra=True):
     rows = [(i if ids is None else ids[i], t) for i, t in enumerate(texts)]
     if not extra:
         return spark.createDataFrame(rows, "doc_id long, text string")
-    return spark.createDataFrame([(*r, 1, "s", 2, "w", "k", 0.5, 3) for r in rows], "doc_id long, text string" + EXTRA)
+    return spark.createDataFrame([(*r, 1, "s", 2, "w", "k", 0.5, 3, 4, 5, "r") for r in rows], "doc_id long, text string" + EXTRA)
 
 
 def prose(rng, n, vocabulary=400):
@@ -154,13 +154,13 @@ def test_order_minhash_sees_order_and_ties(spark):
 
 
 def test_warc_records(spark):
-    html = '<html lang="en"><head><title> A &amp; B </title></head><body><p>Hi &lt;you&gt;</p><script>x</script><a class="c" href="/l?a=1">go</a><!-- no --></body></html>'
+    html = '<html lang="en"><head><title> A &amp; B </title></head><body><p>Hi &lt;you&gt;</p><script>x</script><a class="c" href="/l?a=1&amp;b">go</a><!-- no --></body></html>'
     pages = spark.createDataFrame([(1, "http://h/p", html, "x"), (2, None, None, "x"), (1, "http://h/p", html, "x")], "page_id long, url string, html string, text string")
     rows = warc.derive(warc.responses_of_pages(pages)).collect()
     assert len(rows) == 6
     meta, conv = [next(r for r in rows if r.key == 1 and r.record_type == t) for t in ("metadata", "conversion")]
     assert conv.block == "Hi <you>\ngo" and conv.refers_to == meta.refers_to and conv.record_id != meta.record_id
-    assert "title: A & B\r\n" in meta.block and "outlink: /l?a=1\r\n" in meta.block and "source-header: Content-Type: text/html; charset=utf-8\r\n" in meta.block
+    assert "title: A & B\r\n" in meta.block and "outlink: /l?a=1&b\r\n" in meta.block and "source-header: Content-Type: text/html; charset=utf-8\r\n" in meta.block
     import base64
 
     digest = lambda s: "sha1:" + base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
