@@ -106,40 +106,83 @@ class EvidenceSet:
             self.add(e)
 
 
-def place(sets: list[EvidenceSet], open_sets: list[EvidenceSet], e: dict) -> None:
-    """Adds a piece to the first set that agrees, else opens one; unbalanced pieces open none.
+class Shelf:
+    """Sets in the order of their making, found by where they start or end."""
+
+    WIDTH = 1024
+
+    def __init__(self) -> None:
+        self.sets: list[EvidenceSet] = []
+        self.left: dict[int, set[int]] = {}
+        self.right: dict[int, set[int]] = {}
+        self.filed: list[tuple[int, int]] = []
+        self.widest = 0
+
+    def add(self, s: EvidenceSet) -> None:
+        self.sets.append(s)
+        self.filed.append((s.start // self.WIDTH, s.end // self.WIDTH))
+        self._file(len(self.sets) - 1)
+
+    def _file(self, i: int) -> None:
+        self.left.setdefault(self.filed[i][0], set()).add(i)
+        self.right.setdefault(self.filed[i][1], set()).add(i)
+        self.widest = max(self.widest, self.sets[i].inner_start - self.sets[i].start)
+
+    def changed(self, i: int) -> None:
+        """To be called when a set's borders have moved."""
+        self.left[self.filed[i][0]].discard(i)
+        self.right[self.filed[i][1]].discard(i)
+        self.filed[i] = (self.sets[i].start // self.WIDTH, self.sets[i].end // self.WIDTH)
+        self._file(i)
+
+    def _between(self, filed: dict[int, set[int]], low: int, high: int) -> set[int]:
+        return set().union(*(filed.get(b, ()) for b in range(low // self.WIDTH, high // self.WIDTH + 1)))
+
+    def near(self, e: dict) -> list[int]:
+        """Numbers of the sets that a piece may agree with: its reach bounds where they start (or, without a partner, end)."""
+        if e["kind"] == "unbalanced":
+            reach = PAIR_REACH * self.widest
+            found = self._between(self.left, e["end"] - reach, e["end"]) | self._between(self.right, e["start"], e["start"] + reach)
+        else:
+            reach = PAIR_REACH * (e["inner_start"] - e["start"])
+            found = self._between(self.left, e["inner_start"] - reach, e["start"] + reach)
+        return sorted(found)
+
+    def place(self, e: dict) -> None:
+        """Adds a piece to the first set that agrees, else opens one; unbalanced pieces open none.
+
+        A piece that agrees but would turn the set's inner borders round is swallowed.
+        """
+        for i in self.near(e):
+            if self.sets[i].agrees(e):
+                if e["kind"] == "unbalanced" or e["inner_end"] > self.sets[i].inner_start:
+                    self.sets[i].add(e)
+                    self.changed(i)
+                return
+        if e["kind"] != "unbalanced":
+            self.add(EvidenceSet.of(e))
 
-    A piece that agrees but would turn the set's inner borders round is swallowed.
-    """
-    open_sets[:] = [s for s in open_sets if s.end >= e["start"]]
-    for s in open_sets:
-        if s.agrees(e):
-            if e["kind"] == "unbalanced" or e["inner_end"] > s.inner_start:
-                s.add(e)
-            return
-    if e["kind"] != "unbalanced":
-        sets.append(EvidenceSet.of(e))
-        open_sets.append(sets[-1])
+    def fold(self, other: EvidenceSet) -> None:
+        """Merges a set into the first one that it meets, else takes it in as it is."""
+        for i in sorted(self._between(self.left, other.inner_start - SET_REACH, other.start + SET_REACH)):
+            if self.sets[i].meets(other):
+                if other.inner_end > self.sets[i].inner_start:
+                    self.sets[i].absorb(other)
+                    self.changed(i)
+                return
+        self.add(other)
 
 
 def cluster_island(rows: list[dict]) -> list[EvidenceSet]:
     """The sets of one island's evidence, given in order: pairs first, then splits, which are folded onto the pairs' sets."""
-    pair_sets: list[EvidenceSet] = []
-    split_sets: list[EvidenceSet] = []
-    for kinds, into in ((("disc",), pair_sets), (("split",), split_sets), (("unbalanced",), split_sets)):
-        reachable = list(into)
+    pair_sets, split_sets = Shelf(), Shelf()
+    for kind, shelf in (("disc", pair_sets), ("split", split_sets), ("unbalanced", split_sets)):
         for e in rows:
-            if e["kind"] in kinds:
-                place(into, reachable, e)
-    for other in split_sets:
-        for s in pair_sets:
-            if s.meets(other):
-                if other.inner_end > s.inner_start:
-                    s.absorb(other)
-                break
-        else:
-            pair_sets.append(other)
-    return pair_sets
+            if e["kind"] == kind:
+                shelf.place(e)
+    for other in split_sets.sets:
+        pair_sets.fold(other)
+    return pair_sets.sets
 
 
 ORDER = ["start", "end", "inner_start", "inner_end", "kind", "name"]

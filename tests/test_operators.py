@@ -214,6 +214,36 @@ def whole_replay(rows):
     return sorted(out)
 
 
+def naive_island(rows):
+    """Every set is tried, in the order of making."""
+    pair_sets, split_sets = [], []
+    for kind, sets in (("disc", pair_sets), ("split", split_sets), ("unbalanced", split_sets)):
+        for e in (e for e in rows if e["kind"] == kind):
+            hit = next((s for s in sets if s.agrees(e)), None)
+            if hit and (kind == "unbalanced" or e["inner_end"] > hit.inner_start):
+                hit.add(e)
+            elif not hit and kind != "unbalanced":
+                sets.append(cluster.EvidenceSet.of(e))
+    for other in split_sets:
+        hit = next((s for s in pair_sets if s.meets(other)), None)
+        if hit and other.inner_end > hit.inner_start:
+            hit.absorb(other)
+        elif not hit:
+            pair_sets.append(other)
+    return pair_sets
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_looked_up_sets_are_those_of_trying_all(seed):
+    names = [c.split()[0] for c in EVIDENCE.split(", ")]
+    rows = [dict(zip(names, r)) for r in evidence(random.Random(100 + seed), 400)]
+    for r in rows:
+        r["svtype"] = "DELETION" if r["kind"] != "unbalanced" else r["svtype"]
+    rows.sort(key=lambda e: tuple((e[c] is not None, e[c]) for c in cluster.ORDER))
+    of = lambda sets: [(s.start, s.inner_start, s.inner_end, s.end, s.disc, s.split, s.unbalanced) for s in sets]
+    assert of(cluster.cluster_island(rows)) == of(naive_island(rows))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_sets_by_island_equal_the_whole(spark, seed):
     rows = evidence(random.Random(seed), 150)
