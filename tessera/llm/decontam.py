@@ -93,7 +93,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tu
     """
     out: list[list[tuple[int, str | None]]] = [[]]
     size = 0
-    for row in benchmark.select(F.col("item_id"), "text").where("text is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id"), "text").where("text is not null and item_id is not null").toLocalIterator():
         if out[-1] and size + len(row[1]) > block_bytes:
             out.append([])
             size = 0
@@ -107,7 +107,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     Columns: doc_id, n_words, n_hit, items (sorted ids as strings), spans (character ranges
     of the original text). Null, empty and wordless texts have no words and no hits; items
-    without words match nothing; repeated rows count once each; an empty benchmark hits
+    without words or id match nothing; repeated rows count once each; an empty benchmark hits
     nothing; extra columns are ignored.
     """
     parts = _send(docs, benchmark, block_bytes)

@@ -348,7 +348,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     scored = toxicity(load_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 QUERIES = {"op6_toxicity": op6_toxicity}
