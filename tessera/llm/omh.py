@@ -104,7 +104,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
 
     In the edited text the last third of the code points (rounded down) is replaced by as many
     from the start of the next text, in descending order of doc_id; the last is followed by the
-    first. Columns: doc_id, n_chars, edited_sha256, fp, edited_fp (arrays), near_edited,
+    first. Columns: doc_id, next_id, n_chars, edited_sha256, fp, edited_fp (arrays), near_edited,
     near_next. Null texts are empty; a single row follows itself; repeated doc_ids follow one
     another; extra columns are ignored.
     """
@@ -112,19 +112,20 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     order = next_in_order(numbered.select("row", "doc_id", F.length("text").alias("n")))
     wanted = order.select(F.col("next").alias("row"), F.col("row").alias("user"), (F.col("n") - F.col("n") % 3).cast("int").alias("n"))
     base = order_minhash(numbered, "text", "fp")
-    # The text and its fingerprint are exchanged once by row; both joins read that exchange.
-    starts = base.join(wanted, "row").select(F.col("user").alias("row"), F.expr("left(text, n div 3)").alias("start"), F.col("fp").alias("next_fp"))
+    # The text and its fingerprint are exchanged once by row, and both joins read that exchange
+    # (all its columns are used on both sides, or it would be pruned to two different exchanges).
+    starts = base.join(wanted, "row").select(F.col("user").alias("row"), F.col("doc_id").alias("next_id"), F.expr("left(text, n div 3)").alias("start"), F.col("fp").alias("next_fp"))
     both = base.join(starts, "row")
     length = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 3)"), "start")
-    d = both.select("doc_id", length.cast("long").alias("n_chars"), edited.alias("edited"), "fp", "next_fp")
+    d = both.select("doc_id", "next_id", length.cast("long").alias("n_chars"), edited.alias("edited"), "fp", "next_fp")
     d = order_minhash(d, "edited", "edited_fp")
-    return d.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fp", "edited_fp", likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
+    return d.select("doc_id", "next_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fp", "edited_fp", likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
 
 
 def op2_order_minhash(spark, sf_dir: str) -> DataFrame:
     d = edit_likeness(load_documents(spark, sf_dir))
-    return d.select("doc_id", "n_chars", "edited_sha256", as_text("fp").alias("fingerprint"), as_text("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")
+    return d.select("doc_id", "n_chars", "edited_sha256", as_text("fp").alias("fingerprint"), as_text("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "next_id")
 
 
 QUERIES = {"op2_order_minhash": op2_order_minhash}
