@@ -9,6 +9,7 @@ pair pass only under the first signature that it shares, so no ``distinct`` is n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import load_documents, space_words
+from tessera.llm.text import hash_share, load_documents, space_words
 from tessera.operators.components import connected_components
 from tessera.session import cut
 
@@ -169,35 +170,117 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     return found.join(named, "f0", "left").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float = 0.8, lanes: int = 2, segments: int = 3, max_bits: int = 34) -> DataFrame:
-    """(doc_id, text) -> (doc_id, component_id) by the Jaccard similarity of word shingles.
+#: Ids of documents to drop that may be broadcast; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+
+
+#: Rows that tell which shingles are frequent, about, at most: they are taken last, which saves candidates and changes no result.
+ORDER_ROWS = 20_000
+#: Frequent shingles at most, the most frequent first.
+FREQUENT = 300_000
+#: Shingles that more texts have among the first of their order are joined through a leader.
+BUSY = 200
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(shingle_hashes(text, k))
+
+
+def _set_key(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes())
 
-    Fingerprints of ``lanes`` * 64 bits propose pairs through the same signatures: within
-    ``max_bits`` bits in all (a similarity of 0.8 differs in about 20 of 128), then the two
-    documents' whole shingle sets decide. Texts with equal fingerprints count as equal.
-    """
-    cols = [f"f{i}" for i in range(lanes)]
-    found = cut(fingerprints(docs, shingle, lanes))
-    nodes = cut(found.groupBy(*cols).agg(F.min("doc_id").alias("node")).where("node is not null"))
-    pairs = cut(similar_pairs(nodes, max_bits, segments, lanes))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def frequent_shingles(docs: DataFrame, shingle: int, bound: int = ORDER_ROWS) -> np.ndarray:
+    """Hashes that three or more of a sample of rows have, ascending in the first column, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["node", "h"])
+            rows = [shingle_set(t.as_py(), shingle).view(np.int64) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64))], ["h"])
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    shingled = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "node long, h array<long>")
-    both = pairs.join(shingled.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(shingled.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    alike = both.where(common >= min_similarity * (F.size("ha") + F.size("hb") - common))
-    linked = connected_components(alike.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = nodes.join(linked.select(F.col("vertex").alias("node"), "component"), "node", "left").select(*cols, F.coalesce("component", "node").alias("component_id"))
-    return found.join(named, cols, "left").select("doc_id", "component_id")
+    sample = docs.where(hash_share(F.col("doc_id"), docs.count(), bound)).select("text")
+    counted = sample.mapInArrow(run, "h long").groupBy("h").count().where("count >= 3").orderBy(F.desc("count"), "h").limit(FREQUENT)
+    table = np.array([tuple(r) for r in counted.collect()], np.int64).reshape(-1, 2)
+    return table[np.argsort(np.ascontiguousarray(table[:, 0]).view(np.uint64))]
 
 
-#: Ids of documents to drop that may be broadcast; more are joined by shuffling.
-BROADCAST_IDS = 1_000_000
+def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float = 0.8, busy: int = BUSY) -> DataFrame:
+    """(doc_id, text) -> (doc_id, component_id) by the Jaccard similarity of the sets of word shingles.
+
+    Texts with equal sets are one node. Nodes of ``min_similarity`` or more are linked, every
+    such pair: all sets are put in one order, rare shingles first, and a set of n shares one of
+    its first n - ceil(min_similarity * n) + 1 with each set that similar. Whole sets decide.
+    """
+    distance = 1.0 - min_similarity
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = np.ascontiguousarray(sent.value[:, 0]).view(np.uint64), sent.value[:, 1]
+        for b in batches:
+            keys, sizes, heads = [], [], []
+            for t in b.column(1):
+                h = shingle_set(t.as_py(), shingle)
+                n = len(h)
+                keys.append(_set_key(h))
+                sizes.append(n)
+                if len(hashes) and n:
+                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    h = h[np.argsort(np.where(hashes[at] == h, counts[at], 0), kind="stable")]
+                heads.append(h[: n - math.ceil(min_similarity * n - 1e-9) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "key", "n", "head"])
+
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = cut(base.mapInArrow(first, "doc_id long, key binary, n int, head array<long>"))
+    grouped = found.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("head").alias("head")).where("node is not null")
+    # The ids are those of the written rows.
+    nodes = cut(grouped.withColumn("v", F.monotonically_increasing_id()))
+    rows = nodes.where("n > 0").select("v", "n", F.posexplode("head").alias("at", "h"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """(a, b) -> a, b, near: whether they are similar, d: one less their similarity."""
+        wanted = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+        wanted = cut(wanted.join(nodes.select("v", F.col("node").alias("doc_id"), "key"), "v"))
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
+                same = pa.array([_set_key(h) == k for h, k in zip(rows, b.column(2).to_pylist())], pa.bool_())
+                out = pa.RecordBatch.from_arrays([b.column(0), pa.array([h.view(np.int64) for h in rows], pa.list_(pa.int64()))], ["v", "h"])
+                yield out.filter(same)
+
+        few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        texts = base.join(few, "doc_id").select("v", "text", "key").mapInArrow(sets, "v long, h array<long>").dropDuplicates(["v"])
+        both = pairs.join(texts.select(F.col("v").alias("a"), F.col("h").alias("ha")), "a").join(texts.select(F.col("v").alias("b"), F.col("h").alias("hb")), "b")
+        both = both.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("c"), (F.size("ha") + F.size("hb")).alias("total"))
+        return both.select("a", "b", (F.col("c") >= F.lit(min_similarity) * (F.col("total") - F.col("c")) - 1e-9).alias("near"), (1 - F.col("c") / (F.col("total") - F.col("c"))).alias("d"))
+
+    def meet(left: DataFrame, more: Column) -> DataFrame:
+        """Pairs with a common shingle, the smaller set first, of which enough follows it in both sets."""
+        a, b = left.alias("a"), left.alias("b")
+        smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.v") < F.col("b.v")))
+        needed = F.lit(min_similarity / (1 + min_similarity)) * (F.col("a.n") + F.col("b.n")) - 1e-6
+        left_over = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+        on = (F.col("a.h") == F.col("b.h")) & smaller & (left_over >= needed) & more
+        return a.join(b, on).select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
+
+    many = cut(rows.groupBy("h").count().where(F.col("count") > busy).select("h"))
+    if many.isEmpty():
+        near = compared(cut(meet(rows, F.lit(True)).distinct())).where("near")
+    else:
+        cold = meet(rows.join(many, "h", "left_anti"), F.lit(True))
+        warm = cut(rows.join(many, "h", "left_semi"))
+        star = warm.join(warm.groupBy("h").agg(F.min("v").alias("lead")), "h")
+        led = cut(compared(cut(star.where("v <> lead").select(F.col("lead").alias("a"), F.col("v").alias("b")).distinct())))
+        placed = star.join(led.select(F.col("a").alias("lead"), F.col("b").alias("v"), "near", "d"), ["lead", "v"], "left")
+        placed = placed.select("v", "n", "at", "h", F.coalesce("near", F.lit(True)).alias("near"), F.coalesce("d", F.lit(0.0)).alias("d"))
+        # Two that are linked to the leader are linked; distances to it that differ by more than the pair's are out (it is a metric).
+        rest = meet(placed, ~(F.col("a.near") & F.col("b.near")) & (F.abs(F.col("a.d") - F.col("b.d")) <= distance + 1e-6))
+        near = led.where("near").union(compared(cut(cold.union(rest).distinct())).where("near"))
+    links = near.join(nodes.select(F.col("v").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("v").alias("b"), F.col("node").alias("w")), "b")
+    linked = connected_components(links.select("u", F.col("w").alias("v")))
+    named = nodes.join(linked.select(F.col("vertex").alias("node"), "component"), "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    return found.join(named, "key", "left").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:

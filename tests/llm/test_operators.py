@@ -96,6 +96,44 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert kept == [*range(12), 14]
 
 
+def shingles_brute(text, k=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {" ".join(words)} - {""}
+
+
+@pytest.mark.parametrize("busy", [3, 10_000])
+def test_near_dedup_links_every_similar_pair(spark, busy):
+    rng = random.Random(31)
+    texts = []
+    for _ in range(20):
+        base = prose(rng, rng.randrange(60, 300), 10**6).split()
+        texts.append(" ".join(base))
+        for share in (0.80, 0.82, 0.85, 0.9, 0.95):
+            # The similarity of a copy that lacks the end is the share of shingles left.
+            texts.append(" ".join(base[: 4 + int(np.ceil(share * (len(base) - 4)))]) if rng.random() < 0.5 else " ".join(base[:-1] + ["x"] * rng.randrange(1, 9)))
+            # Changed words at random places.
+            copy = list(base)
+            for at in rng.sample(range(len(base)), max(1, round((1 - share) / (1 + share) * len(base) / 5))):
+                copy[at] = f"c{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sets = [shingles_brute(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(docs_of(spark, texts, extra=False), busy=busy).collect()}
+    assert len(links) > 100 and got == components_brute(list(range(len(texts))), links)
+
+
+def test_near_dedup_pairs_alone(spark):
+    rng = random.Random(32)
+    texts = []
+    for share in (0.80, 0.85, 0.9, 0.95):
+        for _ in range(25):
+            base = prose(rng, rng.randrange(80, 300), 10**6).split()
+            texts += [" ".join(base), " ".join(base[: 4 + int(np.ceil(share * (len(base) - 4)))])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(docs_of(spark, texts, extra=False)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def omh_brute(text):
     words = re.split(r"[ \t\n\x0B\f\r]+", text)
     by_char = len(text) < omh.SHORT or len(words) < len(text) / omh.LONG_WORD
