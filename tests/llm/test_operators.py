@@ -134,6 +134,14 @@ def test_near_dedup_pairs_alone(spark):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_near_dedup_filler_does_not_merge_different_texts(spark):
+    rng = random.Random(33)
+    filler = "| " * 400
+    texts = [filler + prose(rng, 100, 10**6), filler + prose(rng, 100, 10**6), "- " * 300 + prose(rng, 60, 10**6), "- " * 300 + prose(rng, 60, 10**6)]
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(docs_of(spark, texts)).collect())
+    assert kept == [0, 1, 2, 3]
+
+
 def omh_brute(text):
     words = re.split(r"[ \t\n\x0B\f\r]+", text)
     by_char = len(text) < omh.SHORT or len(words) < len(text) / omh.LONG_WORD
