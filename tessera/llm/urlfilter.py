@@ -100,12 +100,12 @@ def calibrate(scores: np.ndarray, accepted: np.ndarray) -> float:
 def fit(judged: DataFrame, fit_urls: int = FIT_URLS) -> tuple[Markov, Markov, float] | None:
     """(target: binary, verdict) -> models and threshold; None where a verdict has no URLs.
 
-    About ``fit_urls`` URLs of each verdict are drawn by the hash of their target; three of four
-    distinct targets teach the models, the fourth sets the threshold.
+    About ``fit_urls`` distinct targets of each verdict are drawn by their hash, so repeated URLs
+    change nothing; three of four teach the models, the fourth sets the threshold.
     """
     spark = judged.sparkSession
     known = judged.where("verdict is not null").select("target", "verdict")
-    sizes = dict(known.groupBy("verdict").count().collect())
+    sizes = dict(known.distinct().groupBy("verdict").count().collect())
     drawn = F.lit(False)
     for said, n in sizes.items():
         drawn = drawn | ((F.col("verdict") == said) & hash_share(F.col("target"), n, fit_urls))

@@ -273,6 +273,16 @@ def test_url_rules_are_brute_force(spark):
     assert {r.verdict for r in urlfilter.judge(pages.where("page_id = 5")).collect()} == {"allow"}
 
 
+def test_url_copies_change_no_verdict(spark):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    urls = [f"http://a.com/{word()}" for _ in range(60)] + [f"http://b.net/es/{word()}" for _ in range(60)] + [f"http://c.org/{word()}" for _ in range(20)]
+    once = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    often = once.unionByName(spark.createDataFrame([(1000 + i, u) for i, u in enumerate(urls[:120] * 40)], once.schema))
+    a, b = [{r.page_id: (r.verdict, round(r.score, 9)) for r in urlfilter.judge(d, fit_urls=100).where("page_id < 1000").collect()} for d in (once, often)]
+    assert a == b and len({s for _, s in a.values()}) > 100
+
+
 def test_url_models_are_normalised_and_separate():
     m = urlfilter.Markov(Counter(g for u in (b"aab", b"abb") for g in urlfilter.grams(u)))
     total = sum(np.exp(m.log_likelihood(b"ab" + bytes([c])) - 0) for c in range(0))
