@@ -1,19 +1,20 @@
-"""Line dedup: winnowed line fingerprints, extended matches, later repeated runs deleted.
-
-Texts are cut into short lines: at line ends, at sentence ends, and after words whose hash
-ends in three zero bits, so that a passage is cut alike wherever it stands. Hashes of two
-consecutive lines are winnowed: of every ``WINDOW`` of them the smallest is a fingerprint,
-which guarantees that two texts with ``WINDOW + 1`` lines in common share one. Fingerprints
-are joined with their first occurrence (in order of doc_id); a match is extended both ways,
-line by line, through the lines around the first occurrence that its row carries - the
-guarantee keeps the next fingerprint of a longer match within that distance. Covered
-lines in a row with ``min_words`` words or more are deleted; the first occurrence stays.
+"""Line dedup: winnowed line fingerprints, matches extended by window hashes, later repeated runs deleted.
+
+A line here is ``LINE`` words in a row, and every word starts one: lines as they are written end
+anywhere, so a passage inside of them would have no line of its own. Line hashes are winnowed:
+the smallest of every window of ``min_words`` - 2 words is a fingerprint, so texts that have such
+a window in common share one. A fingerprint's row also carries hashes of the windows around it,
+every third word; fingerprints of one text only are dropped, and windows of the others are
+compared for equality with the earliest text that has them, so every earlier text counts and
+no two texts are compared as a pair. Covered words are deleted; the first occurrence stays.
+
+So a run of ``min_words`` or more that an earlier text has is always found, nothing shorter than
+``min_words`` - 2 goes, and at most two words stay behind at each end of a run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.text import LOWER, load_documents
+from tessera.session import materialize
 
-WINDOW = 6
-#: Lines around a fingerprint that its row carries, each as 16 bits of its hash.
-REACH = WINDOW - 1
-MIN_WORDS = 40
+MIN_WORDS = 50
+LINE, STEP = 8, 3
+#: Parts that the rows of one fingerprint are dealt to, a power of two.
+SALTS = 64
 COUNTS = ("line_words", "line_removed", "line_runs")
-#: Bytes of text that are cut into lines at once.
+#: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -36,8 +38,7 @@ _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-_STOP = np.zeros(256, bool)
-_STOP[[33, 46, 63]] = True
+_PLACE = np.uint64((1 << 24) - 1)
 
 
 class _Powers:
@@ -60,19 +61,28 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _spans_hash(values: np.ndarray, first: np.ndarray, after: np.ndarray, powers: _Powers) -> np.ndarray:
-    """A hash of values[first:after] for each span, independent of where it stands."""
-    up, down = powers.to(len(values))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up)])
-    return _mix((total[after] - total[first]) * down[first])
+class _Spans:
+    """Hashes of spans of a row of numbers, the same wherever the span stands."""
 
+    def __init__(self, values: np.ndarray, powers: _Powers):
+        up, self.down = powers.to(len(values))
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up)])
 
-class Lines:
-    """The lines of some texts: arrays over all lines, and where each text's lines begin.
+    def hash(self, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+        return _mix((self.total[after] - self.total[first]) * self.down[first])
+
+
+def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each ``width`` values in a row, by doubling."""
+    low, have = values, 1
+    while 2 * have <= width:
+        low, have = np.minimum(low[:-have], low[have:]), 2 * have
+    rest = width - have
+    return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
-    word_at: first word of each line, and the end; byte_at: where its first word begins in the
-    joined bytes; hash: of the lower-cased words; doc_at: first line of each text, and the end.
-    """
+
+class Words:
+    """The words of some texts, hashed, and where each text's words and bytes begin."""
 
     def __init__(self, texts: list[bytes], powers: _Powers):
         joined = b"\n".join(texts)
@@ -80,57 +90,35 @@ class Lines:
         data = np.frombuffer(joined.translate(LOWER), np.uint8)
         blank = np.concatenate([[True], _BLANK[data], [True]])
         edges = np.flatnonzero(blank[1:] != blank[:-1])
-        first, after = edges[::2], edges[1::2]
-        words = _spans_hash(_ODD[data], first, after, powers) if len(first) else np.zeros(0, np.uint64)
-        ends = ((words & np.uint64(7)) == 0) | _STOP[data[after - 1]] if len(first) else np.zeros(0, bool)
-        if len(first):
-            breaks = np.flatnonzero(data == 10)
-            seen = np.searchsorted(breaks, first)
-            ends[:-1] |= seen[1:] != seen[:-1]
-            ends[-1] = True
-        stop = np.flatnonzero(ends) + 1
-        start = np.concatenate([np.zeros(min(1, len(stop)), np.int64), stop[:-1]])
-        self.hash = _spans_hash(words, start, stop, powers) if len(stop) else np.zeros(0, np.uint64)
-        self.word_at = np.concatenate([start, stop[-1:]]) if len(stop) else np.zeros(1, np.int64)
-        self.byte_at = first[start]
+        self.byte_at = edges[::2]
         self.doc_at = np.searchsorted(self.byte_at, self.origin)
-
-    @cached_property
-    def pairs(self) -> np.ndarray:
-        """A hash of each line and the next one of its text; the largest number where there is none."""
-        h = self.hash
-        out = np.full(len(h), np.iinfo(np.uint64).max, np.uint64)
-        if len(h) > 1:
-            out[:-1] = _mix(h[:-1] * np.uint64(3) + _mix(h[1:])) >> np.uint64(1)
-            last = self.doc_at[1:] - 1
-            out[last[self.doc_at[1:] > self.doc_at[:-1]]] = np.iinfo(np.uint64).max
-        return out
-
-    def winnowed(self) -> np.ndarray:
-        """Numbers of the lines whose pair hash is the smallest of a window within their text."""
-        p, counts = self.pairs, np.diff(self.doc_at)
-        if not len(p):
-            return np.zeros(0, np.int64)
-        pad = WINDOW - 1  # so windows that begin in a text end in its own padding
-        to = np.arange(len(p)) + np.repeat(np.arange(len(counts)), counts) * pad
-        wide = np.full(len(p) + (len(counts) + 1) * pad, np.iinfo(np.uint64).max, np.uint64)
-        wide[to] = p
-        low = wide[: len(wide) - pad].copy()
-        for i in range(1, WINDOW):
-            np.minimum(low, wide[i : len(wide) - pad + i], out=low)
-        chosen = np.zeros(len(p), bool)
-        for i in range(WINDOW):
-            at = to - i
-            chosen |= (at >= 0) & (low[np.maximum(at, 0)] == p)
-        return np.flatnonzero(chosen & (p != np.iinfo(np.uint64).max))
-
-    def around(self, lines: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """16 bits of the hashes of the REACH lines before each pair, nearest first, and after it; 0 for none."""
-        short = ((self.hash >> np.uint64(48)) | np.uint64(1)).astype(np.uint16)
-        offsets = np.concatenate([-np.arange(1, REACH + 1), np.arange(2, REACH + 2)])
-        at = lines[:, None] + offsets
-        inside = (at >= self.doc_at[doc][:, None]) & (at < self.doc_at[doc + 1][:, None])
-        return np.where(inside, short[np.clip(at, 0, len(short) - 1)], 0).astype("<u2")
+        hashes = _Spans(_ODD[data], powers).hash(self.byte_at, edges[1::2]) if len(edges) else np.zeros(0, np.uint64)
+        self.spans = _Spans(hashes, powers)
+
+    def windows(self, at: np.ndarray, words: int) -> np.ndarray:
+        return self.spans.hash(at, at + words)
+
+    def winnowed(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place, hash, first, last) of each fingerprint: of the windows that begin at first to last its line is the smallest."""
+        n = len(self.byte_at)
+        counts = np.maximum(0, np.diff(self.doc_at) - window + 1)
+        if not counts.sum():
+            return (*[np.zeros(0, np.int64)] * 2, np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
+        line = self.windows(np.arange(n - LINE + 1), LINE)
+        low = _sliding_min((line & ~_PLACE) | (np.arange(len(line)).astype(np.uint64) & _PLACE), window - LINE + 1)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        start = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts) + self.doc_at[:-1][doc]
+        place = start + ((low[start] - start.astype(np.uint64)) & _PLACE).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
+        last = np.concatenate([new[1:] - 1, [len(place) - 1]])
+        return doc[new], place[new], line[place[new]], start[new], start[last]
+
+    def repeated(self, k: int, window: int) -> np.ndarray:
+        """Where in text k a window begins that stands earlier in it, and ends before this one begins."""
+        lo, hi = int(self.doc_at[k]), int(self.doc_at[k + 1])
+        h = self.windows(np.arange(lo, hi - window + 1), window)
+        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        return lo + np.flatnonzero(first[which] + window <= np.arange(len(h)))
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -147,84 +135,87 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, group
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (fp, doc_id, line, around): a row for each winnowed pair of lines, the first of its kind in its text."""
+def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text) -> (fp, doc_id, at, back, h): fingerprints, and 32 bits of the hashes of windows around them.
+
+    at: the fingerprint's word; the windows begin back words before it and then every STEP words.
+    Two neighbouring hashes stand for one window of min_words - 2 words: the window without its
+    last and without its first STEP words. Equal rows of one text are given once.
+    """
+    window = min_words - STEP + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         for b in batches:
             ids = b.column(0).to_numpy()
             for base, texts in _chunks(b.column(1)):
-                lines = Lines(texts, powers)
-                at = lines.winnowed()
-                doc = np.searchsorted(lines.doc_at, at, "right") - 1
-                fp = lines.pairs[at].view(np.int64)
-                order = np.lexsort((at, fp, doc))
-                same = np.zeros(len(at), bool)
-                same[1:] = (fp[order][1:] == fp[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-                keep = np.sort(order[~same])
-                at, doc, fp = at[keep], doc[keep], fp[keep]
-                near = lines.around(at, doc)
-                sizes = np.arange(len(at) + 1, dtype=np.int32) * (4 * REACH)
-                packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(sizes), pa.py_buffer(near.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(ids[base + doc]), pa.array((at - lines.doc_at[doc]).astype(np.int32)), packed], ["fp", "doc_id", "line", "around"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "fp long, doc_id long, line int, around binary")
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, matches): for each document the fingerprints that an earlier document has, with the lines around them there.
-
-    The first occurrence is carried along a window in order of doc_id, which holds one row
-    at a time. A text has a fingerprint once, so a passage that a third of all documents
-    share weighs a third of the documents in the tasks of its few fingerprints, not of the rows.
+                words = Words(texts, powers)
+                doc, place, fp, first, last = words.winnowed(window)
+                end = np.minimum(np.minimum(last + STEP - 1, place), words.doc_at[doc + 1] - window)
+                far, near = (place - first) // STEP, -((end - place) // STEP)
+                some = far >= near
+                doc, place, fp, far, near = doc[some], place[some], fp[some], far[some], near[some]
+                sizes = far - near + 2
+                cuts = np.concatenate([[0], np.cumsum(sizes)])
+                at = np.arange(cuts[-1]) - np.repeat(cuts[:-1], sizes)
+                h = (words.windows(np.repeat(place - STEP * far, sizes) + STEP * at, window - STEP) >> np.uint64(32)).astype(np.uint32)
+                # Equal rows of a text: by their fingerprint and all its hashes.
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h.astype(np.uint64) + at.astype(np.uint64) * _BASE))])
+                same = np.stack([doc, fp.view(np.int64), (total[cuts[1:]] - total[cuts[:-1]]).view(np.int64)], 1)
+                order = np.lexsort((place, same[:, 2], same[:, 1], same[:, 0]))
+                again = np.zeros(len(order), bool)
+                again[order[1:]] = (same[order][1:] == same[order][:-1]).all(1)
+                rows = pa.RecordBatch.from_arrays(
+                    [pa.array(fp.view(np.int64)), pa.array(ids[base + doc]), pa.array((place - words.doc_at[doc]).astype(np.int32)), pa.array((STEP * far).astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(h.view(np.int32)))],
+                    ["fp", "doc_id", "at", "back", "h"],
+                )
+                yield rows.filter(pa.array(~again))
+
+    return docs.select("doc_id", "text").mapInArrow(run, "fp long, doc_id long, at int, back int, h array<int>")
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text) -> (doc_id, starts): for each document the words at which windows begin that a document of smaller id has too.
+
+    The rows of a fingerprint are dealt to SALTS parts and counted there first; only counts meet.
     """
-    found = fingerprints(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"))
-    order = Window.partitionBy("fp").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = found.select("doc_id", "line", F.first("doc_id").over(order).alias("first"), F.first("around").over(order).alias("around"))
-    return met.where("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct("line", "around")).alias("matches"))
-
-
-def covered(lines: Lines, k: int, matches: list | None) -> np.ndarray:
-    """Which lines of text k repeat earlier ones, of an earlier text (matches) or of itself."""
-    lo, hi = int(lines.doc_at[k]), int(lines.doc_at[k + 1])
-    n = hi - lo
-    out = np.zeros(n, bool)
-    if n < 2:
-        return out
-    pair = lines.pairs[lo : hi - 1]
-    _, first, which = np.unique(pair, return_index=True, return_inverse=True)
-    again = np.flatnonzero(first[which] + 1 < np.arange(n - 1))
-    out[again] = out[again + 1] = True
-    if matches:
-        short = ((lines.hash[lo:hi] >> np.uint64(48)) | np.uint64(1)).astype(np.uint16)
-        for m in matches:
-            at, near = m["line"], np.frombuffer(m["around"], "<u2")
-            if at + 1 >= n:
-                continue
-            a, z = at, at + 1
-            for d in range(REACH):
-                if a == 0 or short[a - 1] != near[d]:
-                    break
-                a -= 1
-            for d in range(REACH):
-                if z + 1 >= n or short[z + 1] != near[REACH + d]:
-                    break
-                z += 1
-            out[a : z + 1] = True
-    return out
-
-
-def runs(lines: Lines, k: int, flags: np.ndarray, min_words: int) -> list[tuple[int, int, int]]:
-    """(first byte, byte after, words) within text k of each run of covered lines with min_words or more."""
-    lo = int(lines.doc_at[k])
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    found = fingerprints(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"), min_words)
+    dealt = found.withColumn("salt", F.hash("doc_id").bitwiseAND(SALTS - 1)).repartition("fp", "salt")
+    # With used, both readers of the exchange need the same columns, so it is made once.
+    parts = dealt.groupBy("fp", "salt").agg(F.count("*").alias("n"), F.max(F.size("h") + F.col("at") + F.col("back")).alias("used"))
+    shared = parts.withColumn("all", F.sum("n").over(Window.partitionBy("fp"))).where("all > 1 and used >= 0").select("fp", "salt")
+    kept = materialize(dealt.join(shared, ["fp", "salt"]).select("fp", "doc_id", "at", "back", "h"))
+    each = kept.select("fp", "doc_id", "at", "back", F.explode(F.expr(f"transform(slice(h, 1, size(h) - 1), (x, i) -> named_struct('a', x, 'b', get(h, i + 1), 'off', back - {STEP} * i))")).alias("w"))
+    each = each.select(F.xxhash64("fp", "w.a", "w.b", "w.off").alias("key"), "doc_id", (F.col("at") - F.col("w.off")).alias("start"))
+    first = each.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final")).where("first < final").select("key", "first")
+    return each.join(first, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+
+
+def removed(words: Words, starts: list, window: int) -> list[tuple[int, int, int, int]]:
+    """(text, first byte, byte after, words) of each run of covered words. starts: for each text, of its repeated windows, or None."""
+    mark = np.zeros(len(words.byte_at) + len(starts) + 1, np.int64)
+    doc, _, fp, _, _ = words.winnowed(window)
+    order = np.lexsort((fp, doc))
+    twice = set(doc[order[1:][(fp[order][1:] == fp[order][:-1]) & (doc[order][1:] == doc[order][:-1])]].tolist())
+    for k, given in enumerate(starts):
+        if not given and k not in twice:
+            continue
+        at = [np.asarray(given, np.int64) + words.doc_at[k]] if given else []
+        if k in twice:
+            at.append(words.repeated(k, window))
+        begun = np.unique(np.concatenate(at))
+        # A word's place in mark is its number and, so that texts stay apart, its text's.
+        np.add.at(mark, begun + k, 1)
+        np.add.at(mark, begun + k + window, -1)
+    flags = np.concatenate([[0], (np.cumsum(mark) > 0).astype(np.int8), [0]])
+    edge = np.flatnonzero(np.diff(flags))
     out = []
+    place = words.doc_at[:-1] + np.arange(len(starts))
     for a, z in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        words = int(lines.word_at[lo + z] - lines.word_at[lo + a])
-        if words >= min_words:
-            end = int(lines.byte_at[lo + z]) if lo + z < lines.doc_at[k + 1] else int(lines.origin[k + 1]) - 1
-            out.append((int(lines.byte_at[lo + a] - lines.origin[k]), end - int(lines.origin[k]), words))
+        k = int(np.searchsorted(place, a, "right")) - 1
+        a, z = a - k, z - k
+        end = int(words.byte_at[z]) if z < words.doc_at[k + 1] else int(words.origin[k + 1]) - 1
+        out.append((k, int(words.byte_at[a] - words.origin[k]), end - int(words.origin[k]), z - a))
     return out
 
 
@@ -239,32 +230,35 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     docs = docs.drop(*COUNTS)
     names, text_at = docs.columns, docs.columns.index("text")
-    found = repeats(docs).select(F.col("doc_id").alias("__of"), F.col("matches").alias("__matches"))
-    joined = docs.join(found, docs["doc_id"].cast("long") == found["__of"], "left").select(*[docs[n] for n in names], found["__matches"])
+    found = repeats(docs, min_words).select(F.col("doc_id").alias("__of"), F.col("starts").alias("__starts"))
+    joined = docs.join(found, docs["doc_id"].cast("long") == found["__of"], "left").select(*[docs[n] for n in names], found["__starts"])
     schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in COUNTS)])
+    window = min_words - STEP + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         for b in batches:
-            texts, words, removed, cuts = [], [], [], []
-            matches = b.column(len(names))
+            texts, words_of, gone, cuts = [], [], [], []
+            starts = b.column(len(names))
             for base, group in _chunks(b.column(text_at)):
-                lines = Lines(group, powers)
+                words = Words(group, powers)
+                runs: dict[int, list] = {}
+                for k, a, z, n in removed(words, [starts[base + k].as_py() for k in range(len(group))], window):
+                    runs.setdefault(k, []).append((a, z, n))
                 for k, raw in enumerate(group):
-                    gone = runs(lines, k, covered(lines, k, matches[base + k].as_py()), min_words)
                     at, kept = 0, []
-                    for a, z, _ in gone:
+                    for a, z, _ in runs.get(k, ()):
                         kept.append(raw[at:a])
                         at = z
                     kept.append(raw[at:])
                     texts.append(b"".join(kept).decode("utf-8", "surrogatepass"))
-                    words.append(int(lines.word_at[lines.doc_at[k + 1]] - lines.word_at[lines.doc_at[k]]) if len(lines.hash) else 0)
-                    removed.append(sum(g[2] for g in gone))
-                    cuts.append(len(gone))
+                    words_of.append(int(words.doc_at[k + 1] - words.doc_at[k]))
+                    gone.append(sum(r[2] for r in runs.get(k, ())))
+                    cuts.append(len(runs.get(k, ())))
             out = [b.column(i) for i in range(len(names))]
             was = b.column(text_at)
             out[text_at] = pa.array([t if was[i].is_valid else None for i, t in enumerate(texts)], was.type)
-            yield pa.RecordBatch.from_arrays([*out, *(pa.array(x, pa.int64()) for x in (words, removed, cuts))], [*names, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*out, *(pa.array(x, pa.int64()) for x in (words_of, gone, cuts))], [*names, *COUNTS])
 
     return joined.mapInArrow(run, schema)
 

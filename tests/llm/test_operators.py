@@ -349,20 +349,95 @@ def test_quotation_is_told_from_use():
     assert used[6] == 0 and quoted[6] == 1
 
 
+def covered_brute(texts, window, trim=0):
+    """For each text, which words lie in a window of so many words that stands earlier (within a text: and ends before), but for its first and last ``trim``."""
+    seen, out = set(), []
+    for t in texts:
+        w = (t or "").lower().split()
+        mine, flags = {}, [False] * len(w)
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            if key in seen or mine.get(key, i) + window <= i:
+                flags[i + trim : i + window - trim] = [True] * (window - 2 * trim)
+            mine.setdefault(key, i)
+        seen |= set(mine)
+        out.append(flags)
+    return out
+
+
+def removed_words(before, after):
+    """Flags of the words of a text that are left, read off from an order-preserving alignment (all words differ)."""
+    left = after.split()
+    at, flags = 0, []
+    for w in before.split():
+        kept = at < len(left) and left[at] == w
+        at += kept
+        flags.append(not kept)
+    assert at == len(left)
+    return flags
+
+
+def check_dedup(spark, texts, **options):
+    got = {r.doc_id: r for r in linededup.dedup_lines(docs_of(spark, texts), **options).collect()}
+    least = options.get("min_words", linededup.MIN_WORDS)
+    may, must = covered_brute(texts, least - 2), covered_brute(texts, least, 2)
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i].text is None
+            continue
+        assert got[i].line_words == len(t.split()) and got[i].line_removed == len(t.split()) - len(got[i].text.split())
+        gone = removed_words(t, got[i].text)
+        assert not any(g and not m for g, m in zip(gone, may[i])), i
+        # Of each run that has to go, two words at most stay at either end.
+        assert not any(m and not g for g, m in zip(gone, must[i])), i
+    return got
+
+
+def numbered(rng, n):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_is_brute_force(spark, seed):
+    rng = random.Random(seed)
+    passages = [numbered(rng, n) for n in (30, 44, 47, 48, 49, 50, 51, 53, 60, 75, 110, 200)]
+    texts = []
+    for _ in range(100):
+        words = numbered(rng, rng.randrange(0, 40))
+        for _ in range(rng.randrange(0, 4)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p)) if rng.random() < 0.4 else 0
+            z = rng.randrange(a, len(p)) if rng.random() < 0.3 else len(p)
+            words += p[a:z] + numbered(rng, rng.randrange(0, 50))
+        # Line ends and sentence ends anywhere, others in each copy.
+        texts.append("".join(w.upper() + rng.choice([" ", " ", "\n", "\t\n "]) if rng.random() < 0.1 else w + " " for w in words))
+    check_dedup(spark, [*texts, *BLANKS, " ".join(numbered(rng, 9000)), texts[3], texts[3]])
+
+
+def test_line_dedup_short_overlap_first_does_not_hide_a_repeat(spark):
+    rng = random.Random(5)
+    for n in range(51, 61):
+        passage = numbered(rng, n)
+        texts = [" ".join(numbered(rng, 30) + passage[i : i + 20] + numbered(rng, 30)) for i in range(0, n - 20, 4)]
+        texts += [" ".join(numbered(rng, 20) + passage + numbered(rng, 25)) for _ in range(3)]
+        got = check_dedup(spark, texts)
+        assert [got[i].line_removed >= n - 4 for i in range(len(texts))] == [False] * (len(texts) - 2) + [True] * 2
+
+
 def test_line_dedup_deletes_later_runs_only(spark):
     rng = random.Random(8)
     passage = prose(rng, 70, 10**6)
     own = [prose(rng, 120, 10**6) for _ in range(8)]
-    texts = [own[0] + "\n" + passage, own[1], own[2] + " " + passage + " " + own[3], passage.upper() + "\n" + own[4], own[5] + "\n" + own[5], own[6] * 1, *BLANKS, own[0] + "\n" + passage, "x " * 3000]
+    texts = [own[0] + "\n" + passage, own[1], own[2] + " " + passage + " " + own[3], passage.upper() + "\n" + own[4], own[5] + "\n" + own[5], own[6] * 1, *BLANKS, own[0] + "\n" + passage, "x " * 3000, "x " * 200]
     got = {r.doc_id: r for r in linededup.dedup_lines(docs_of(spark, texts)).collect()}
     for i in (0, 1, 5, 6, 7, 8, 9):
         assert got[i].text == texts[i] and got[i].line_removed == 0, i
     for i in (2, 3):
         left = set(got[i].text.lower().split())
-        assert sum(w in left for w in passage.lower().split()) <= 12, i
-        assert set((own[2] + " " + own[3] if i == 2 else own[4]).lower().split()) - left == set() or i == 2
-    assert len(got[2].text.split()) >= 230
-    assert len(got[4].text.split()) <= 135 and got[10].text.strip() == ""
+        assert sum(w in left for w in passage.lower().split()) <= 6, i
+        assert set((own[2] + " " + own[3] if i == 2 else own[4]).lower().split()) - left == set()
+    assert 120 <= len(got[4].text.split()) <= 124 and got[10].text.strip() == ""
+    assert got[11].line_removed == 3000 - 48 and got[12].line_removed == 200
     assert linededup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
@@ -373,10 +448,13 @@ def test_line_dedup_ties(spark):
     assert [r.text for r in got] == [text] * 3
 
 
-def test_lines_hash_alike_wherever_they_stand():
-    powers = linededup._Powers()
-    a, b = linededup.Lines([b"One two. Three four five.\nsix"], powers), linededup.Lines([b"", b"zero. one two. three FOUR five.\nsix seven"], powers)
-    assert set(a.hash.tolist()[:-1]) <= set(b.hash.tolist())
+def test_line_dedup_query_is_its_operator(spark):
+    rows = {r.doc_id: r for r in linededup.op7_line_dedup(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    may = covered_brute([d.text for d in docs], 48)
+    for d, flags in zip(docs, may):
+        assert rows[d.doc_id].n_words == len((d.text or "").split()) and rows[d.doc_id].n_removed <= sum(flags)
+        assert sum(flags) == 0 or rows[d.doc_id].n_removed >= sum(flags) - 4 * rows[d.doc_id].n_runs
 
 
 def test_packing_is_whole_and_dense(spark):
