@@ -1,13 +1,16 @@
 """Document fingerprints by Order MinHash.
 
-A text is a row of tokens: its words, or its characters where it is short or has few words.
-Its k-mers (two words, three characters) are numbered by occurrence, so a repeated k-mer counts
-as often as it stands there. The hash of a numbered k-mer deals it to one of ``BINS`` bins; the
-two smallest of a bin are put in the order in which they stand in the text and hashed together.
-The fingerprint is the row of these hashes: texts share an entry if they share the pair and its
+A text is a row of words; runs without white space are cut every 16 characters, and characters
+from U+2E80 on (scripts that write no spaces) are words by themselves, so one rule serves all
+texts. Its k-mers are two words in a row, numbered by occurrence, so a repeated k-mer counts as
+often as it stands there. The hash of a numbered k-mer places it on a circle with ``BINS`` marks.
+For every mark the two next k-mers on the circle are put in the order in which they stand in the
+text and hashed together: in long texts these are the two smallest of the mark's bin, in short
+ones they may lie farther off, so each entry holds an order however short the text is. The
+fingerprint is the row of these hashes: texts share an entry if they share the pair and its
 order, so moving passages costs likeness as edits do.
 
-Columns functions over one row only: hashes are packed with positions into longs, and sorting
+Column functions over one row only: hashes are packed with positions into longs, and sorting
 these arrays brings equal k-mers, and then bins, together.
 """
 
@@ -20,13 +23,13 @@ from tessera.llm.text import load_documents
 from tessera.session import cut
 
 BINS = 64
-#: Texts of fewer characters, or of fewer words than one in 32 characters, are taken by characters.
-SHORT, LONG_WORD = 512, 32
 #: The low bits of a packed long hold the position; bins are its highest bits below the sign.
 PLACE_BITS, BIN_BITS = 26, 6
 PLACE = (1 << PLACE_BITS) - 1
 SHIFT = 63 - BIN_BITS
-LOW = (1 << SHIFT) - 1
+#: Where a space is put in: after 16 characters that are none, around characters of scripts without spaces.
+CUTS = r"(\S{16}|[^\x00-\x{2E7F}])"
+SPACES = r"[ \t\n\x0B\f\r]+"
 
 
 def _same(a: str, b: str) -> str:
@@ -47,27 +50,35 @@ def _occurrence() -> str:
     return f"case {steps} else {halve} end"
 
 
+def words(text: str) -> Column:
+    """The words of a text; a text without any has one empty word."""
+    return F.split(F.btrim(F.regexp_replace(text, CUTS, "$1 "), F.lit(" \t\n\x0b\f\r")), SPACES)
+
+
 def order_minhash(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: array of ``BINS`` ints, 0 for an empty bin. Null texts count as empty ones."""
+    """Adds ``out``: array of ``BINS`` ints. Null texts count as empty ones.
+
+    Beyond 2^26 words positions start anew, which only blurs the order there.
+    """
     keep = df.columns
-    given = F.coalesce(F.col(text), F.lit(""))
-    d = df.select("*", F.split(given, r"[ \t\n\x0B\f\r]+").alias("w"), F.length(given).alias("n"))
-    by_character = (F.col("n") < SHORT) | (F.size("w") < F.col("n") / LONG_WORD)
-    d = d.select(*keep, F.when(by_character, F.lit(2)).otherwise(F.lit(1)).alias("more"), F.when(by_character, F.split(given, "")).otherwise(F.col("w")).alias("t"))
-    kmer = "if(more = 1, xxhash64(x, get(t, j + 1)), xxhash64(x, get(t, j + 1), get(t, j + 2)))"
-    d = d.select(*keep, F.expr(f"sort_array(transform(t, (x, j) -> ({kmer} & {~PLACE}L) | (j & {PLACE}L)))").alias("s"))
+    d = df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).select(*keep, words("__text").alias("t"))
+    # The last word is a k-mer by itself if it is the only one.
+    kmers = "transform(if(size(t) = 1, t, slice(t, 1, size(t) - 1)), (x, j) -> (xxhash64(x, get(t, j + 1)) & %d) | (j & %d))" % (~PLACE, PLACE)
+    d = d.select(*keep, F.expr(f"sort_array({kmers})").alias("s"))
     numbered = f"((xxhash64(shiftright(x, {PLACE_BITS}), {_occurrence()}) & {(1 << 63) - 1 - PLACE}L) | (x & {PLACE}L))"
-    # A last entry in every bin, so each bin is there; its low bits are all ones.
-    ends = F.expr(f"transform(sequence(0L, {BINS - 1}L), b -> shiftleft(b, {SHIFT}) | {LOW}L)")
-    d = d.select(*keep, F.sort_array(F.concat(F.expr(f"transform(s, (x, j) -> {numbered})"), ends)).alias("m"))
-    d = d.select(*keep, F.expr(f"filter(m, (x, j) -> j < 2 or shiftright(get(m, j - 2), {SHIFT}) <> shiftright(x, {SHIFT}))").alias("k"))
+    # A mark at the start of each bin: a bin's number and nothing else.
+    marks = F.expr(f"transform(sequence(0L, {BINS - 1}L), b -> shiftleft(b, {SHIFT}))")
+    d = d.select(*keep, F.sort_array(F.concat(F.expr(f"transform(s, (x, j) -> {numbered})"), marks)).alias("m"))
+    d = d.select(*keep, F.expr(f"filter(m, (x, j) -> j < 3 or shiftright(get(m, j - 3), {SHIFT}) <> shiftright(x, {SHIFT}))").alias("k"))
+    is_mark = f"(x & {(1 << SHIFT) - 1}L) = 0"
     hash_of = lambda x: f"shiftright({x}, {PLACE_BITS})"
-    after = "get(k, j + 1)"
-    pair = f"if({after} & {PLACE}L > x & {PLACE}L, xxhash64({hash_of('x')}, {hash_of(after)}), xxhash64({hash_of(after)}, {hash_of('x')}))"
-    # 1 to 65535, so 0 stands for an empty bin.
-    code = f"if(x & {LOW}L = {LOW}L, 0, cast(1 + pmod(if({after} & {LOW}L = {LOW}L, xxhash64({hash_of('x')}), {pair}), 65535L) as int))"
-    first = f"j = 0 or shiftright(get(k, j - 1), {SHIFT}) <> shiftright(x, {SHIFT})"
-    return d.select(*keep, F.expr(f"transform(filter(transform(k, (x, j) -> named_struct('code', {code}, 'first', {first})), e -> e.first), e -> e.code)").alias(out))
+    # 1 to 65535, so that four hex digits hold it.
+    code = f"cast(1 + pmod(if((a.p & {PLACE}L) <= (a.q & {PLACE}L), xxhash64({hash_of('a.p')}, {hash_of('a.q')}), xxhash64({hash_of('a.q')}, {hash_of('a.p')})), 65535L) as int)"
+    # From the last to the first: p and q are the next two k-mers, at first those after the circle's start.
+    d = d.select(*keep, "k", F.expr(f"slice(filter(k, x -> not ({is_mark})), 1, 2)").alias("e"))
+    start = "named_struct('p', get(e, 0), 'q', coalesce(get(e, 1), get(e, 0)), 'out', cast(array() as array<int>))"
+    step = f"if({is_mark}, named_struct('p', a.p, 'q', a.q, 'out', array_append(a.out, {code})), named_struct('p', x, 'q', a.p, 'out', a.out))"
+    return d.select(*keep, F.expr(f"reverse(aggregate(reverse(k), {start}, (a, x) -> {step}, a -> a.out))").alias(out))
 
 
 def as_text(fingerprint: str) -> Column:
@@ -76,27 +87,27 @@ def as_text(fingerprint: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """The share of equal entries among those that are not empty in both; 1 for two empty fingerprints."""
-    either = f"size(filter(zip_with({a}, {b}, (x, y) -> x + y), z -> z > 0))"
-    equal = f"size(filter(zip_with({a}, {b}, (x, y) -> x > 0 and x = y), z -> z))"
-    return F.expr(f"if({either} = 0, 1.0D, {equal} / cast({either} as double))")
+    """The share of equal entries."""
+    return F.expr(f"size(filter(zip_with({a}, {b}, (x, y) -> x = y), z -> z)) / {BINS}D")
 
 
 def next_in_order(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, ...) -> the same and ``next``: the row after it in descending order of doc_id, the first after the last.
+    """(k1, k2, doc_id, n, times) -> the same and (next_k1, next_k2): the row after it in descending order of doc_id, the first after the last.
 
     Rows are dealt out by ranges of doc_id, so no task orders all; only each range's first row
-    meets the others' in one place. Equal doc_ids are taken in order of row, null ones last.
+    meets the others' in one place. Equal doc_ids are taken in order of the key, null ones last.
     """
-    order = [F.desc_nulls_last("doc_id"), F.col("row")]
+    order = [F.desc_nulls_last("doc_id"), F.col("k1"), F.col("k2")]
     dealt = cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     within = Window.partitionBy("part").orderBy(*order)
-    placed = dealt.select("*", F.lead("row").over(within).alias("after"), F.row_number().over(within).alias("at"))
-    firsts = placed.where("at = 1").select("part", "row")
+    key = F.struct("k1", "k2")
+    placed = dealt.select("*", F.lead(key).over(within).alias("after"), F.row_number().over(within).alias("at"))
+    firsts = placed.where("at = 1").select("part", "k1", "k2")
     parts = Window.orderBy("part")
     everything = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = firsts.select("part", F.coalesce(F.lead("row").over(parts), F.first("row").over(everything)).alias("follows"))
-    return placed.join(F.broadcast(following), "part").select(*rows.columns, F.coalesce("after", "follows").alias("next"))
+    following = firsts.select("part", F.coalesce(F.lead(key).over(parts), F.first(key).over(everything)).alias("follows"))
+    both = placed.join(F.broadcast(following), "part").withColumn("next", F.coalesce("after", "follows"))
+    return both.select(*rows.columns, F.col("next.k1").alias("next_k1"), F.col("next.k2").alias("next_k2"))
 
 
 def edit_likeness(docs: DataFrame) -> DataFrame:
@@ -105,22 +116,33 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     In the edited text the last third of the code points (rounded down) is replaced by as many
     from the start of the next text, in descending order of doc_id; the last is followed by the
     first. Columns: doc_id, next_id, n_chars, edited_sha256, fp, edited_fp (arrays), near_edited,
-    near_next. Null texts are empty; a single row follows itself; repeated doc_ids follow one
-    another; extra columns are ignored.
+    near_next. Null texts are empty; a single row follows itself; rows of one doc_id follow one
+    another (equal rows each other, so all but the last of them are followed by their own text);
+    extra columns are ignored.
+
+    Rows are known by 128 bits of their content, not by numbers given to them, so a task that
+    runs again gives the same keys.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = next_in_order(numbered.select("row", "doc_id", F.length("text").alias("n")))
-    wanted = order.select(F.col("next").alias("row"), F.col("row").alias("user"), (F.col("n") - F.col("n") % 3).cast("int").alias("n"))
-    base = order_minhash(numbered, "text", "fp")
-    # The text and its fingerprint are exchanged once by row, and both joins read that exchange
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text")).select(F.xxhash64(F.lit(1), "doc_id", "text").alias("k1"), F.xxhash64(F.lit(2), "text", "doc_id").alias("k2"), "doc_id", "text")
+    rows = keyed.groupBy("k1", "k2", "doc_id").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("times"))
+    order = cut(next_in_order(rows))
+    follows = order.select("k1", "k2", "next_k1", "next_k2", "n", F.lit(1).cast("long").alias("times"))
+    if not (again := order.where("times > 1")).isEmpty():
+        keyed = keyed.dropDuplicates(["k1", "k2"])
+        follows = follows.unionByName(again.select("k1", "k2", F.col("k1").alias("next_k1"), F.col("k2").alias("next_k2"), "n", (F.col("times") - 1).alias("times")))
+    wanted = follows.select(F.col("next_k1").alias("k1"), F.col("next_k2").alias("k2"), F.col("k1").alias("u1"), F.col("k2").alias("u2"), (F.col("n") - F.col("n") % 3).cast("int").alias("n"), "times")
+    base = order_minhash(keyed, "text", "fp")
+    # The text and its fingerprint are exchanged once by key, and both joins read that exchange
     # (all its columns are used on both sides, or it would be pruned to two different exchanges).
-    starts = base.join(wanted, "row").select(F.col("user").alias("row"), F.col("doc_id").alias("next_id"), F.expr("left(text, n div 3)").alias("start"), F.col("fp").alias("next_fp"))
-    both = base.join(starts, "row")
+    starts = base.join(wanted, ["k1", "k2"]).select(F.col("u1").alias("k1"), F.col("u2").alias("k2"), F.col("doc_id").alias("next_id"), F.expr("left(text, n div 3)").alias("start"), F.col("fp").alias("next_fp"), "times")
+    both = base.join(starts, ["k1", "k2"])
     length = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 3)"), "start")
-    d = both.select("doc_id", "next_id", length.cast("long").alias("n_chars"), edited.alias("edited"), "fp", "next_fp")
+    d = both.select("doc_id", "next_id", length.cast("long").alias("n_chars"), edited.alias("edited"), "fp", "next_fp", "times")
     d = order_minhash(d, "edited", "edited_fp")
-    return d.select("doc_id", "next_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fp", "edited_fp", likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
+    d = d.select("doc_id", "next_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fp", "edited_fp", likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), "times")
+    return d.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
 
 
 def op2_order_minhash(spark, sf_dir: str) -> DataFrame:

@@ -143,9 +143,8 @@ def test_near_dedup_filler_does_not_merge_different_texts(spark):
 
 
 def omh_brute(text):
-    words = re.split(r"[ \t\n\x0B\f\r]+", text)
-    by_char = len(text) < omh.SHORT or len(words) < len(text) / omh.LONG_WORD
-    t, more = (list(text) or [""], 2) if by_char else (words, 1)
+    """Fingerprints by the definition: for each mark of the circle the next two numbered k-mers."""
+    t = re.split(omh.SPACES, re.sub(r"(\S{16}|[^\x00-\u2E7F])", r"\1 ", text, flags=re.A).strip(" \t\n\x0b\f\r"))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def h(*parts):
@@ -155,48 +154,81 @@ def omh_brute(text):
             seed = xxhash.xxh64_intdigest(raw, seed)
         return signed(seed)
 
-    seen, m = Counter(), []
-    for i in range(len(t)):
-        key = h(*t[i : i + more + 1]) >> omh.PLACE_BITS
-        m.append((((h((key, 8), (seen[key], 4)) & (1 << 63) - 1) >> omh.PLACE_BITS), i))
+    seen, ring = Counter(), []
+    for i in range(max(1, len(t) - 1)):
+        key = h(*t[i : i + 2]) >> omh.PLACE_BITS
+        ring.append(((h((key, 8), (seen[key], 4)) & (1 << 63) - 1) >> omh.PLACE_BITS, i))
         seen[key] += 1
-    bins = {}
-    for v in sorted(m):
-        bins.setdefault(v[0] >> (omh.SHIFT - omh.PLACE_BITS), []).append(v)
-    out = [0] * omh.BINS
-    for b, vs in bins.items():
-        out[b] = 1 + h(*((v, 8) for v, _ in sorted(vs[:2], key=lambda x: x[1]))) % 65535
+    ring.sort()
+    out = []
+    for b in range(omh.BINS):
+        at = sum(v << omh.PLACE_BITS < b << omh.SHIFT for v, _ in ring)
+        two = [ring[(at + j) % len(ring)] for j in (0, 1)] if len(ring) > 1 else ring * 2
+        out.append(1 + h(*((v, 8) for v, _ in sorted(two, key=lambda x: x[1]))) % 65535)
     return out
 
 
+def alike(a, b):
+    return sum(x == y for x, y in zip(a, b)) / omh.BINS
+
+
 def test_order_minhash_is_brute_force(spark):
-    texts = [t for t in corpus(3, 20)] + ["x" * 40, "to be or not to be " * 60]
+    texts = [t for t in corpus(3, 20)] + ["x" * 40, "to be or not to be " * 60, "日本語のテキスト" * 5, "a b"]
     got = {r.doc_id: r for r in omh.edit_likeness(docs_of(spark, texts)).collect()}
     order = sorted(range(len(texts)), reverse=True)
     for at, i in enumerate(order):
-        text, follower = texts[i] or "", texts[order[(at + 1) % len(order)]] or ""
+        follower_id = order[(at + 1) % len(order)]
+        text, follower = texts[i] or "", texts[follower_id] or ""
         cut = len(text) // 3
         edited = text[: len(text) - cut] + follower[:cut]
         r = got[i]
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.fp == omh_brute(text) and r.edited_fp == omh_brute(edited)
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert (r.n_chars, r.edited_sha256, r.next_id) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), follower_id)
+        assert r.fp == omh_brute(text) and r.edited_fp == omh_brute(edited), i
+        assert r.near_edited == alike(r.fp, r.edited_fp) and r.near_next == alike(r.fp, got[follower_id].fp)
     assert got[5].fp == got[21].fp == got[22].fp
 
 
-def test_order_minhash_sees_order_and_ties(spark):
+def test_order_minhash_rows_of_one_id(spark):
     assert omh.edit_likeness(docs_of(spark, [])).count() == 0
     one = omh.edit_likeness(docs_of(spark, ["abc def"])).first()
     assert one.edited_sha256 == hashlib.sha256(b"abc dab").hexdigest()
     same = omh.edit_likeness(docs_of(spark, ["a", "b", "c"], [1, 1, None])).collect()
     assert len(same) == 3
+    texts, ids = ["abcdef", "abcdef", "abcdef", "ghijkl", "mnopqr"], [5, 5, 5, 2, 9]
+    rows = omh.edit_likeness(docs_of(spark, texts, ids)).collect()
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert sorted((r.doc_id, r.edited_sha256) for r in rows) == sorted([(9, digest("mnopab")), (5, digest("abcdab")), (5, digest("abcdab")), (5, digest("abcdgh")), (2, digest("ghijmn"))])
+
+
+def test_order_minhash_sees_order_at_every_length(spark):
+    """Swapped halves hold the same words: a signature of the set would stay near 1."""
     rng = random.Random(5)
-    words = [f"u{rng.randrange(10**6)}" for _ in range(400)]
-    moved = " ".join(words[200:] + words[:200])
-    d = docs_of(spark, [" ".join(words), moved], extra=False)
-    fp = [r.fp for r in omh.order_minhash(d, "text", "fp").orderBy("doc_id").collect()]
-    equal = sum(a == b for a, b in zip(*fp)) / omh.BINS
-    assert 0.2 < equal < 0.8  # the same words: a set signature would be at 1
+    words = [[f"u{rng.randrange(10**6)}" for _ in range(n)] for n in [12] * 20 + [40] * 20 + [400] * 5]
+    rows = omh.order_minhash(docs_of(spark, [" ".join(w[len(w) // 2 * s :] + w[: len(w) // 2 * s]) for w in words for s in (0, 1)], extra=False), "text", "fp").orderBy("doc_id").collect()
+    near = [alike(rows[2 * i].fp, rows[2 * i + 1].fp) for i in range(len(words))]
+    for part in (near[:20], near[20:40], near[40:]):
+        assert 0.2 < sum(part) / len(part) < 0.7
+    assert sum(near[:20]) / 20 < 0.5  # about 80 characters
+
+
+def test_order_minhash_likeness_is_steady_over_lengths(spark):
+    """Texts that keep their first two thirds have about the same likeness whatever their length."""
+    rng = random.Random(6)
+    for a, b in ((600, 405), (500, 540), (60, 60), (2577, 2577)):
+        near = []
+        texts = []
+        for _ in range(20):
+            base = " ".join(f"u{rng.randrange(10**6)}" for _ in range(800))
+            texts += [base[:a], base[: a - a // 3] + " ".join(f"v{rng.randrange(10**6)}" for _ in range(800))[: b - (a - a // 3)]]
+        rows = omh.order_minhash(docs_of(spark, texts, extra=False), "text", "fp").orderBy("doc_id").collect()
+        near = [alike(rows[i].fp, rows[i + 1].fp) for i in range(0, len(rows), 2)]
+        assert 0.15 < sum(near) / len(near) < 0.75, (a, b, near)
+
+
+def test_order_minhash_query(spark):
+    rows = omh.op2_order_minhash(spark, "/root/testdata/sf0.001").collect()
+    assert all(re.fullmatch("[0-9a-f]{256}", r.fingerprint) for r in rows)
+    assert sum(r.near_edited for r in rows) / len(rows) > 0.2 and sum(r.near_next for r in rows) / len(rows) < 0.1
 
 
 def test_warc_records(spark):
