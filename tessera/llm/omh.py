@@ -40,19 +40,22 @@ def _same(a: str, b: str) -> str:
 def _occurrence() -> str:
     """SQL: how many equal k-mers stand before entry j of the sorted array s, x being the entry.
 
-    Up to four by looking; beyond that the start of the run is found by halving.
+    At least one does. Up to four by looking; beyond that the start of the run is found by halving.
     """
     halve = (
         f"aggregate(sequence(1, {PLACE_BITS}), named_struct('lo', 0, 'hi', j), (a, i) -> if({_same('get(s, (a.lo + a.hi) div 2)', 'x')},"
         " named_struct('lo', a.lo, 'hi', cast((a.lo + a.hi) div 2 as int)), named_struct('lo', least(a.hi, cast((a.lo + a.hi) div 2 as int) + 1), 'hi', a.hi)), a -> j - a.hi)"
     )
-    steps = " ".join(f"when j < {k} or not ({_same(f'get(s, j - {k})', 'x')}) then {k - 1}" for k in range(1, 5))
+    steps = " ".join(f"when j < {k} or not ({_same(f'get(s, j - {k})', 'x')}) then {k - 1}" for k in range(2, 5))
     return f"case {steps} else {halve} end"
 
 
-def words(text: str) -> Column:
-    """The words of a text; a text without any has one empty word."""
-    return F.split(F.btrim(F.regexp_replace(text, CUTS, "$1 "), F.lit(" \t\n\x0b\f\r")), SPACES)
+def with_words(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` and t: the words of a text, one empty word for a text without any. Only texts with something to cut are cut."""
+    d = df.select("*", F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r")).alias("__text"))
+    d = d.select(*keep, "__text", F.split("__text", SPACES).alias("__plain"))
+    long = F.exists("__plain", lambda w: F.octet_length(w) > 16) | F.col("__text").rlike(r"[^\x00-\x{2E7F}]")
+    return d.select(*keep, F.when(long, F.split(F.btrim(F.regexp_replace("__text", CUTS, "$1 "), F.lit(" ")), SPACES)).otherwise(F.col("__plain")).alias("t"))
 
 
 def order_minhash(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -61,11 +64,13 @@ def order_minhash(df: DataFrame, text: str, out: str) -> DataFrame:
     Beyond 2^26 words positions start anew, which only blurs the order there.
     """
     keep = df.columns
-    d = df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).select(*keep, words("__text").alias("t"))
+    d = with_words(df, text, keep)
     # The last word is a k-mer by itself if it is the only one.
     kmers = "transform(if(size(t) = 1, t, slice(t, 1, size(t) - 1)), (x, j) -> (xxhash64(x, get(t, j + 1)) & %d) | (j & %d))" % (~PLACE, PLACE)
     d = d.select(*keep, F.expr(f"sort_array({kmers})").alias("s"))
-    numbered = f"((xxhash64(shiftright(x, {PLACE_BITS}), {_occurrence()}) & {(1 << 63) - 1 - PLACE}L) | (x & {PLACE}L))"
+    # The first occurrence keeps the k-mer's hash, later ones are hashed with their number.
+    again = f"(xxhash64(shiftright(x, {PLACE_BITS}), {_occurrence()}) & {(1 << 63) - 1 - PLACE}L) | (x & {PLACE}L)"
+    numbered = f"if(j > 0 and {_same('get(s, j - 1)', 'x')}, {again}, x & {(1 << 63) - 1}L)"
     # A mark at the start of each bin: a bin's number and nothing else.
     marks = F.expr(f"transform(sequence(0L, {BINS - 1}L), b -> shiftleft(b, {SHIFT}))")
     d = d.select(*keep, F.sort_array(F.concat(F.expr(f"transform(s, (x, j) -> {numbered})"), marks)).alias("m"))
@@ -73,12 +78,12 @@ def order_minhash(df: DataFrame, text: str, out: str) -> DataFrame:
     is_mark = f"(x & {(1 << SHIFT) - 1}L) = 0"
     hash_of = lambda x: f"shiftright({x}, {PLACE_BITS})"
     # 1 to 65535, so that four hex digits hold it.
-    code = f"cast(1 + pmod(if((a.p & {PLACE}L) <= (a.q & {PLACE}L), xxhash64({hash_of('a.p')}, {hash_of('a.q')}), xxhash64({hash_of('a.q')}, {hash_of('a.p')})), 65535L) as int)"
-    # From the last to the first: p and q are the next two k-mers, at first those after the circle's start.
-    d = d.select(*keep, "k", F.expr(f"slice(filter(k, x -> not ({is_mark})), 1, 2)").alias("e"))
-    start = "named_struct('p', get(e, 0), 'q', coalesce(get(e, 1), get(e, 0)), 'out', cast(array() as array<int>))"
-    step = f"if({is_mark}, named_struct('p', a.p, 'q', a.q, 'out', array_append(a.out, {code})), named_struct('p', x, 'q', a.p, 'out', a.out))"
-    return d.select(*keep, F.expr(f"reverse(aggregate(reverse(k), {start}, (a, x) -> {step}, a -> a.out))").alias(out))
+    code = f"cast(1 + pmod(if((z.p & {PLACE}L) <= (z.q & {PLACE}L), xxhash64({hash_of('z.p')}, {hash_of('z.q')}), xxhash64({hash_of('z.q')}, {hash_of('z.p')})), 65535L) as int)"
+    # A mark's place less its bin is the number of k-mers before it; e holds the k-mers alone.
+    before = f"filter(transform(k, (x, j) -> if({is_mark}, j - cast(shiftright(x, {SHIFT}) as int), -1)), v -> v >= 0)"
+    d = d.select(*keep, F.expr(f"filter(k, x -> not ({is_mark}))").alias("e"), F.expr(before).alias("b"))
+    two = "named_struct('p', get(e, v % size(e)), 'q', get(e, (v + 1) % size(e)))"
+    return d.select(*keep, F.expr(f"transform(transform(b, v -> {two}), z -> {code})").alias(out))
 
 
 def as_text(fingerprint: str) -> Column:

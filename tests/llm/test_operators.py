@@ -157,7 +157,8 @@ def omh_brute(text):
     seen, ring = Counter(), []
     for i in range(max(1, len(t) - 1)):
         key = h(*t[i : i + 2]) >> omh.PLACE_BITS
-        ring.append(((h((key, 8), (seen[key], 4)) & (1 << 63) - 1) >> omh.PLACE_BITS, i))
+        number = h((key, 8), (seen[key], 4)) if seen[key] else key << omh.PLACE_BITS
+        ring.append(((number & (1 << 63) - 1) >> omh.PLACE_BITS, i))
         seen[key] += 1
     ring.sort()
     out = []
