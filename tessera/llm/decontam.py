@@ -1,13 +1,15 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Benchmark items are normalised to lower-cased words; every window of ``window`` words is a
-pattern (a shorter item is one pattern). Documents are normalised the same way and scanned
-once; a match is mapped from the normalised text to word numbers and, on demand, to
-character offsets of the original text.
-
-The automaton holds at most ``BLOCK_BYTES`` of patterns. A larger benchmark is dealt into
-blocks by item and the documents are scanned once for each block, so what a task holds
-does not grow with the benchmark.
+Benchmark items and documents are normalised to lower-cased words. The automaton runs over word
+numbers and holds anchors: of an item of ``window`` words or more, every ``STEP``-th run of
+``ANCHOR`` words, of a shorter one all its words. Any ``window`` words of an item hold an anchor
+whole, so each place where a document can match is found in one scan; the match is then
+extended word by word both ways and counts if it is as long as a window. Matches are mapped to
+word numbers and, on demand, to character offsets of the original text.
+
+The automaton takes about 15 bytes for each byte of the benchmark. What a task holds is bounded:
+a benchmark of more than ``BLOCK_BYTES`` is dealt into blocks by the hash of its items, and each
+block is built, sent and scanned for by itself, the documents being scanned once for each block.
 """
 
 from __future__ import annotations
@@ -23,55 +25,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import alnum_words, load_documents, table
+from tessera.session import materialize
 
 WINDOW = 10
+ANCHOR = 5
 #: Bytes of benchmark text for one automaton.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: The words as they stand in the original text.
 ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def item_windows(text: str | None, window: int = WINDOW) -> set[bytes]:
-    words = alnum_words(text)
-    if not words:
-        return set()
-    if len(words) < window:
-        return {b" ".join(words)}
-    return {b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)}
-
-
-def build(items: list[tuple[int, str | None]], window: int = WINDOW) -> ahocorasick.Automaton:
-    """An automaton over all windows; each pattern's value is (its words, its items)."""
-    owners: dict[bytes, set[int]] = {}
-    for item, text in items:
-        for w in item_windows(text, window):
-            owners.setdefault(w, set()).add(item)
-    automaton = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        automaton.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(ids)))
-    automaton.make_automaton()
-    return automaton
-
-
-def scan(automaton: ahocorasick.Automaton, text: str | None) -> tuple[int, np.ndarray, set[int]]:
-    """(number of words, flags of the words hit, items that occur)."""
-    words = alnum_words(text)
-    hit = np.zeros(0, bool)
-    items: set[int] = set()
-    if len(automaton) and words:
-        starts = None
-        steps = np.zeros(0, np.int64)
-        for end, (count, ids) in automaton.iter(f" {b' '.join(words).decode('latin-1')} "):
-            if starts is None:
-                starts = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
+class Benchmark:
+    """The items' words as numbers in one row, zeros between items, and the automaton of their anchors.
+
+    items: (id or None, text). An item without id can hit words but is no item of a result.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
+        self.window = window
+        self.number: dict[bytes, int] = {}
+        self.ids: list[int | None] = []
+        row, starts = [0], []
+        places: dict[tuple, list[int]] = {}
+        anchor = min(ANCHOR, window)
+        step = window - anchor + 1
+        for item, text in items:
+            words = [self.number.setdefault(w, len(self.number) + 1) for w in alnum_words(text)]
+            if not words:
+                continue
+            at = len(row)
+            starts.append(at)
+            self.ids.append(item)
+            row += [*words, 0]
+            if len(words) < window:
+                places.setdefault(tuple(words), []).append(at)
+            for i in range(0, len(words) - anchor + 1 if len(words) >= window else 0, step):
+                places.setdefault(tuple(words[i : i + anchor]), []).append(at + i)
+        self.row = np.array(row, np.int32)
+        self.starts = np.array(starts, np.int64)
+        self.ends = np.append(self.starts[1:], len(row)) - 1 if starts else np.zeros(0, np.int64)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        cuts, sizes = [0], []
+        for k, (key, at) in enumerate(places.items()):
+            self.automaton.add_word(key, k)
+            cuts.append(cuts[-1] + len(at))
+            sizes.append(len(key))
+        self.cuts, self.sizes = np.array(cuts, np.int64), sizes
+        self.places = np.fromiter((p for at in places.values() for p in at), np.int64, cuts[-1])
+        if places:
+            self.automaton.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, np.ndarray, set[int]]:
+        """(number of words, flags of the words hit, ids of the items that occur)."""
+        words = alnum_words(text)
+        if not words or not len(self.starts):
+            return len(words), np.zeros(0, bool), set()
+        get = self.number.get
+        # A word that no item has stands for itself only: the number after the last.
+        none = len(self.number) + 1
+        numbers = tuple([get(w, none) for w in words])
+        doc, steps, items = None, None, set()
+        done: dict[int, int] = {}  # diagonal -> where its last match ends, so that a long match is extended once
+        for end, k in self.automaton.iter(numbers):
+            if doc is None:
+                doc = np.array([-1, *numbers, -1], np.int32)  # words stand one place later
                 steps = np.zeros(len(words) + 1, np.int64)
-            after = int(np.searchsorted(starts, end))
-            steps[after - count] += 1
-            steps[after] -= 1
-            items.update(ids)
-        if starts is not None:
-            hit = np.cumsum(steps)[:-1] > 0
-    return len(words), hit, items
+            at = end + 2 - self.sizes[k]
+            for place in self.places[self.cuts[k] : self.cuts[k + 1]].tolist():
+                if done.get(place - at, -1) > at:
+                    continue
+                a, z = self._extend(doc, at, place, self.sizes[k])
+                done[place - at] = z
+                item = int(np.searchsorted(self.starts, place, "right")) - 1
+                if z - a >= min(self.window, int(self.ends[item] - self.starts[item])):
+                    steps[a - 1] += 1
+                    steps[z - 1] -= 1
+                    items.add(item)
+        if steps is None:
+            return len(words), np.zeros(0, bool), set()
+        return len(words), np.cumsum(steps)[:-1] > 0, {self.ids[i] for i in items} - {None}
+
+    def _extend(self, doc: np.ndarray, at: int, place: int, size: int) -> tuple[int, int]:
+        """The match doc[a:z] that holds doc[at : at + size] = row[place : ...]; the zeros between items and the ends of doc match nothing."""
+        a, z = at, at + size
+        shift = place - at
+        while doc[a - 1] == self.row[a - 1 + shift]:
+            a -= 1
+        while doc[z] == self.row[z + shift]:
+            z += 1
+        return a, z
 
 
 def hit_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -85,86 +127,103 @@ def hit_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return spans
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, str | None]]]:
-    """The benchmark's items in blocks of bounded bytes (an item is never divided).
+def ranges(hit: np.ndarray) -> list[dict]:
+    """The words hit as ranges [start, end) of word numbers."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return [{"start": a, "end": z} for a, z in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
-    A benchmark is a fixed set of test questions, not a corpus; its rows come one
-    partition at a time.
-    """
-    out: list[list[tuple[int, str | None]]] = [[]]
-    size = 0
-    for row in benchmark.select(F.col("item_id"), "text").where("text is not null and item_id is not null").toLocalIterator():
-        if out[-1] and size + len(row[1]) > block_bytes:
-            out.append([])
-            size = 0
-        out[-1].append((row[0], row[1]))
-        size += len(row[1])
+
+def flags(spans: list[dict], size: int) -> np.ndarray:
+    out = np.zeros(size, bool)
+    for s in spans:
+        out[s["start"] : s["end"]] = True
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, text, ...) and (item_id, text) -> a row for each document.
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
+    """The benchmark's items in blocks of about ``block_bytes``, one at a time; an item is never divided, equal ones come once.
 
-    Columns: doc_id, n_words, n_hit, items (sorted ids as strings), spans (character ranges
-    of the original text). Null, empty and wordless texts have no words and no hits; items
-    without words or id match nothing; repeated rows count once each; an empty benchmark hits
-    nothing; extra columns are ignored.
+    The driver holds one block. Its size is counted first; a benchmark of one block is one list.
     """
-    parts = _send(docs, benchmark, block_bytes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, found in _scanned(parts, window, batches):
-            spans = [[{"start": s, "end": e} for s, e in hit_spans(t.as_py(), f[1])] if f[1].any() else [] for t, f in zip(b.column("text"), found)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([int(f[1].sum()) for f in found], pa.int64()), pa.array([sorted(map(str, f[2])) for f in found], pa.list_(pa.string())), pa.array(spans, SPANS)],
-                ["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
+    items = benchmark.select("item_id", "text").where("text is not null").distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = -(-total // block_bytes)
+    for k in range(count):
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).toLocalIterator()]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>")
 
-
-def _send(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> list:
-    return [docs.sparkSession.sparkContext.broadcast(p) for p in blocks(benchmark, block_bytes)]
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+SPANS_SQL = "array<struct<start: int, end: int>>"
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` (text, ...) and, added: __n (words), __hit (ranges of words), __items (sorted ids as strings). One scan for each block."""
+    spark = docs.sparkSession
+    names = docs.columns
+    found = None
+    for block in blocks(benchmark, block_bytes):
+        sent = spark.sparkContext.broadcast(block)
+        first = found is None
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, first: bool = first) -> Iterator[pa.RecordBatch]:
+            items = Benchmark(sent.value, window)
+            for b in batches:
+                count, hit, ids = [], [], []
+                for k, t in enumerate(b.column("text")):
+                    n, h, i = items.scan(t.as_py())
+                    if not first:
+                        h = flags(b.column("__hit")[k].as_py(), n) | (h if len(h) else False)
+                        i = set(b.column("__items")[k].as_py()) | set(map(str, i))
+                    count.append(n), hit.append(ranges(h)), ids.append(sorted(map(str, i)))
+                added = [pa.array(count, pa.int64()), pa.array(hit, SPANS), pa.array(ids, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *added], [*names, "__n", "__hit", "__items"])
+
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"__n long, __hit {SPANS_SQL}, __items array<string>"])
+        # Further blocks go on from a written table, so that only one automaton is held at a time.
+        found = (docs if first else materialize(found)).mapInArrow(run, schema)
+    if found is not None:
+        return found
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            added = [pa.array([len(alnum_words(t.as_py())) for t in b.column("text")], pa.int64()), pa.array([[]] * b.num_rows, SPANS), pa.array([[]] * b.num_rows, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *added], [*names, "__n", "__hit", "__items"])
+
+    return docs.mapInArrow(count, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"__n long, __hit {SPANS_SQL}, __items array<string>"]))
 
 
-def _scanned(parts: list, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Batches with a text column, and for each text [words, flags of hit words, items].
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, text, ...) and (item_id, text) -> a row for each document.
 
-    Automata are built one at a time; with one block, as usual, it serves the whole task.
+    Columns: doc_id, n_words, n_hit, items (sorted ids as strings), spans (character ranges
+    of the original text). Null, empty and wordless texts have no words and no hits; items
+    without words match nothing, those without id hit words but are not listed; repeated items
+    count once; an empty benchmark hits nothing; extra columns are ignored.
     """
-    one = build(parts[0].value, window) if len(parts) == 1 else None
-    for b in batches:
-        texts = b.column("text")
-        found = [[0, np.zeros(0, bool), set()] for _ in range(b.num_rows)]
-        for part in parts:
-            automaton = one or build(part.value, window)
-            for f, text in zip(found, texts):
-                n, hit, items = scan(automaton, text.as_py())
-                f[0] = n
-                f[1] = hit if not len(f[1]) else f[1] | hit if len(hit) else f[1]
-                f[2] |= items
-        yield b, found
+    found = hits(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, window, block_bytes)
 
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, hit = [], []
+            for t, n, h in zip(b.column("text"), b.column("__n").to_pylist(), b.column("__hit").to_pylist()):
+                hit.append(sum(s["end"] - s["start"] for s in h))
+                out.append([{"start": a, "end": z} for a, z in hit_spans(t.as_py(), flags(h, n))] if h else [])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__n"), pa.array(hit, pa.int64()), b.column("__items"), pa.array(out, SPANS)], ["doc_id", "n_words", "n_hit", "items", "spans"])
 
-SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    return found.mapInArrow(spans, f"doc_id long, n_words long, n_hit long, items array<string>, spans {SPANS_SQL}")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` (text, ...), all columns, that no window occurs in."""
-    parts = _send(docs, benchmark, block_bytes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, found in _scanned(parts, window, batches):
-            yield b.filter(pa.array([not f[1].any() for f in found], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return hits(docs, benchmark, window, block_bytes).where("size(__hit) = 0").select(*docs.columns)
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = contamination(load_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    found = hits(load_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("__hit", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "doc_id", F.col("__n").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
 
 

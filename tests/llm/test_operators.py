@@ -555,13 +555,15 @@ def decontam_brute(text, items):
     return len(w), len(hit), sorted(map(str, found))
 
 
-@pytest.mark.parametrize("block", [1 << 20, 1])
+@pytest.mark.parametrize("block", [1 << 20, 150])
 def test_decontamination_is_brute_force(spark, block):
     rng = random.Random(12)
     items = [(i, prose(rng, n, 30)) for i, n in enumerate((25, 12, 10, 3, 1))] + [(10, ""), (11, None), (12, "Short ONE"), (2, "again the same id with nine words or so here")]
     texts = [prose(rng, 40, 10**6) + " " + items[0][1].upper().replace(" ", "--") + " tail", prose(rng, 60, 30), "a short, one", *BLANKS, items[2][1], items[2][1] + " " + items[2][1], "short oneé", "pad " * 4000 + items[1][1]]
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, spans string")
-    for r in decontam.contamination(docs_of(spark, texts), bench, block_bytes=block).collect():
+    rows = decontam.contamination(docs_of(spark, texts), bench, block_bytes=block).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
         assert (r.n_words, r.n_hit, r.items) == decontam_brute(texts[r.doc_id], items), r.doc_id
         covered = " ".join(texts[r.doc_id][s.start : s.end] for s in r.spans)
         assert len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", covered)) == r.n_hit
@@ -570,6 +572,49 @@ def test_decontamination_is_brute_force(spark, block):
     assert decontam.digest([10, 9]) == hashlib.sha256(b"10,9").hexdigest()
 
 
+def test_decontamination_extends_anchors_exactly():
+    rng = random.Random(15)
+    for _ in range(150):
+        items = [(i, prose(rng, rng.randrange(1, 40), 3)) for i in range(4)] + [(None, "w1 w2 w9 w9 w9")]
+        text = prose(rng, 80, 3) + " " + " ".join(items[0][1].split()[rng.randrange(5) :]) + " w1 w2 w9 w9 w9"
+        n, hit, found = decontam.Benchmark(items).scan(text)
+        want = decontam_brute(text, items)
+        assert (n, int(hit.sum())) == want[:2] and sorted(map(str, found)) == [x for x in want[2] if x != "None"]
+
+
+def test_decontamination_automaton_is_small():
+    import resource
+
+    rng = random.Random(16)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    items = [(i, prose(rng, 100, 10**6)) for i in range(5000)]
+    held = decontam.Benchmark(items)
+    grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024
+    assert len(held.starts) == 5000 and grown < 30 * sum(len(t) for _, t in items)
+
+
+def test_decontamination_query(spark):
+    rows = {r.doc_id: r for r in decontam.op9_decontamination(spark, "/root/testdata/sf0.001").collect()}
+    items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text").collect()]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    windows = {}
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    for item, t in items:
+        w = words(t)
+        for i in range(max(1, len(w) - 9)):
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(item)
+    for d in docs:
+        w, hit, found = words(d.text), set(), set()
+        for n in range(1, 11):
+            for i in range(len(w) - n + 1):
+                if (owners := windows.get(tuple(w[i : i + n]))) is not None:
+                    hit |= set(range(i, i + n))
+                    found |= owners
+        r = rows[d.doc_id]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated, r.items_sha256) == (len(w), len(hit), len(found), bool(hit), decontam.digest(sorted(found))), d.doc_id
+    assert sum(r.contaminated for r in rows.values()) > 0
+
+
 def test_lm_base_is_brute_force(spark, monkeypatch):
     texts = corpus(13, 60)
     learned = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10]
