@@ -3,9 +3,14 @@
 The lexicon (whole terms and stems with log-odds) is learned from labelled rows. Its trie is
 run together with the Levenshtein automaton of one edit; the product is made deterministic
 on the fly, so a word costs one table look-up a letter and most words are dead after three.
-Matches are weighed by how exact they are and by their context window (quotation marks
-around them, other matches nearby), and a logistic model fitted on other labelled rows than
-the lexicon turns these weights into a probability.
+
+Each match is evidence: a term's or stem's log-odds, or, for a misspelled term, the log-odds that
+a misspelling of it stands in a toxic text rather than in a clean one. Clean labelled texts say how
+often words that happen to lie one letter off stand there, so a misspelling of a long term tells
+much and one of a short, crowded term little. The context window then decides how much of the
+evidence counts: all of it where the word is used, ``QUOTED`` of it where the window shows
+quotation marks around it, more where other matches stand nearby. A logistic model, fitted
+on other labelled rows than the lexicon, turns the sum into a probability.
 """
 
 from __future__ import annotations
@@ -26,41 +31,46 @@ from tessera.session import cut
 
 #: Labelled rows that the model is fitted on, about, at most; half for the lexicon, half for the weights.
 FIT_ROWS = 20_000
-#: Entries of the lexicon at most, the most telling first.
-LEXICON = 4000
 #: Words on either side of a match that make up its context.
 AROUND = 8
+#: What a match between quotation marks keeps of its evidence, and what each match nearby adds.
+QUOTED, NEARBY = 0.25, 0.25
+#: How many misspellings of a term toxic texts are taken to have for one right spelling.
+MISSPELLINGS = 0.2
+#: Evidence of one match at most, so that no single word decides more than is known of it.
+MOST = 8.0
 THRESHOLD = 0.7
 
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»‹›‘’]")
 EDGE = "\"'.,;:!?()[]{}<>|*-–—…“”„«»‹›‘’`~#/\\"
 OPENS, CLOSES = set("\"“„«‹‘"), set("\"”“»›’")
-FEATURES = 9
+FEATURES = 3
 
 
 class Automaton:
     """Product of the lexicon's trie and the automaton of words within ``edits`` of a term.
 
-    ``terms`` are (text, is_stem, weight). A word matches a term within the edits (terms under
-    five letters: exactly), and a stem if it begins with it.
+    ``terms`` are (text, is_stem, weight, weight of a misspelling). A word matches a term within the
+    edits (terms under five letters: exactly), and a stem if it begins with it.
     """
 
     LIMIT = 200_000
 
-    def __init__(self, terms: list[tuple[str, bool, float]], edits: int = 1):
+    def __init__(self, terms: list[tuple[str, bool, float, float]], edits: int = 1):
         self.edits = edits
+        self.terms = terms
         self.child: list[dict[str, int]] = [{}]
-        self.weight: dict[int, float] = {}
-        self.stem: dict[int, float] = {}
+        self.term: dict[int, int] = {}
+        self.stem: dict[int, int] = {}
         self.short: set[int] = set()
-        for text, is_stem, weight in terms:
+        for number, (text, is_stem, *_) in enumerate(terms):
             node = 0
             for ch in text:
                 node = self.child[node].setdefault(ch, len(self.child))
                 if node == len(self.child):
                     self.child.append({})
-            (self.stem if is_stem else self.weight)[node] = weight
+            (self.stem if is_stem else self.term)[node] = number
             if len(text) < 5:
                 self.short.add(node)
         self._reset()
@@ -69,8 +79,8 @@ class Automaton:
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.step: list[dict[str, int]] = []
-        self.ends: list[tuple[float, int] | None] = []
-        self.stems: list[float] = []
+        self.ends: list[tuple[int, int] | None] = []
+        self.stems: list[int | None] = []
         self.start = self._state({(0, 0)})
 
     def _state(self, items: set[tuple[int, int]]) -> int:
@@ -90,10 +100,10 @@ class Automaton:
             at = self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.step.append({})
-            ends = [(-e, self.weight[n]) for n, e in key if n in self.weight and (e == 0 or n not in self.short)]
-            best = max(ends, default=None)
-            self.ends.append((best[1], -best[0]) if best else None)
-            self.stems.append(max((self.stem[n] for n, e in key if e == 0 and n in self.stem), default=0.0))
+            ends = [(e, -self.terms[self.term[n]][3 if e else 2], self.term[n]) for n, e in key if n in self.term and (e == 0 or n not in self.short)]
+            best = min(ends, default=None)
+            self.ends.append((best[2], best[0]) if best else None)
+            self.stems.append(next((self.stem[n] for n, e in key if e == 0 and n in self.stem), None))
         return at
 
     def _next(self, state: int, ch: str) -> int:
@@ -110,23 +120,26 @@ class Automaton:
         self.step[state][ch] = at
         return at
 
-    def match(self, word: str) -> tuple[float, int] | None:
-        """(weight, kind) of the best match: kind 0 a term, 1 a term within the edits, 2 a stem."""
+    def match(self, word: str) -> tuple[int, int] | None:
+        """(number of the term, kind) of the best match: kind 0 a term, 1 a term within the edits, 2 a stem (the heaviest)."""
         if len(self.sets) > self.LIMIT:
             self._reset()
-        state, stem = self.start, 0.0
+        state, stem = self.start, None
         for ch in word:
             state = at if (at := self.step[state].get(ch)) is not None else self._next(state, ch)
             if state < 0:
-                return (stem, 2) if stem else None
-            stem = max(stem, self.stems[state])
-        end = self.ends[state]
-        if end and (end[1] == 0 or not stem):
-            return end[0], min(1, end[1])
-        return (stem, 2) if stem else None
-
-
-def matched_words(auto: Automaton, lowered: str, seen: dict[str, tuple[float, int] | None]) -> dict[str, tuple[float, int]]:
+                break
+            if (s := self.stems[state]) is not None and (stem is None or self.terms[s][2] > self.terms[stem][2]):
+                stem = s
+        end = self.ends[state] if state >= 0 else None
+        if end and end[1] == 0:
+            return end[0], 0
+        if stem is not None:
+            return stem, 2
+        return (end[0], 1) if end else None
+
+
+def matched_words(auto: Automaton, lowered: str, seen: dict[str, tuple[int, int] | None]) -> dict[str, tuple[int, int]]:
     """The distinct words of a text that match. seen: a bounded memory of words met before."""
     if len(seen) > 300_000:
         seen.clear()
@@ -142,28 +155,40 @@ def matched_words(auto: Automaton, lowered: str, seen: dict[str, tuple[float, in
     return found
 
 
-def features(auto: Automaton, text: str | None, seen: dict) -> np.ndarray:
-    """What the model sees of a text: its matches by kind, strength and context; zeros for none."""
-    x = np.zeros(FEATURES)
+def evidence(auto: Automaton, text: str | None, seen: dict) -> list[tuple[int, int, float]]:
+    """(term, kind, context score) of each match. The context score is 1 for a word in use."""
     lowered = (text or "").lower()
     found = matched_words(auto, lowered, seen) if lowered else {}
     if not found:
-        return x
+        return []
     tokens = TOKEN.findall(lowered)
     at = [i for i, t in enumerate(tokens) if t in found]
-    counts, best, quoted, near = [0, 0, 0], [0.0, 0.0, 0.0], 0, 0
+    out = []
     for k, i in enumerate(at):
-        weight, kind = found[tokens[i]]
-        counts[kind] += 1
-        best[kind] = max(best[kind], weight)
+        term, kind = found[tokens[i]]
         before, after = tokens[max(0, i - AROUND) : i], tokens[i + 1 : i + 1 + AROUND]
-        quoted += _opened(before) and any(t in CLOSES for t in after)
-        near += (k > 0 and i - at[k - 1] <= AROUND) or (k + 1 < len(at) and at[k + 1] - i <= AROUND)
-    x[0:3] = np.log1p(counts)
-    x[3:6] = best
-    x[6] = quoted / max(1, len(at))
-    x[7] = math.log1p(near)
-    x[8] = min(1.0, 50 * len(at) / max(1, len(tokens)))
+        if _opened(before) and any(t in CLOSES for t in after):
+            context = QUOTED
+        else:
+            near = (k > 0 and i - at[k - 1] <= AROUND) + (k + 1 < len(at) and at[k + 1] - i <= AROUND)
+            context = 1 + NEARBY * near
+        out.append((term, kind, context))
+    return out
+
+
+def features(auto: Automaton, text: str | None, seen: dict) -> np.ndarray:
+    """What the model sees of a text: the sum and the most of its terms' evidence (square roots), and how dense it is; zeros for none."""
+    x = np.zeros(FEATURES)
+    found = evidence(auto, text, seen)
+    if not found:
+        return x
+    terms: dict[int, float] = {}
+    for term, kind, context in found:
+        weight = min(MOST, auto.terms[term][3 if kind == 1 else 2]) * context
+        terms[term] = max(terms.get(term, 0.0), weight)
+    total = sum(terms.values())
+    x[0], x[1] = math.sqrt(total), math.sqrt(max(terms.values()))
+    x[2] = min(1.0, total / (1 + len((text or "")) / 50))
     return x
 
 
@@ -190,13 +215,14 @@ def keys(text: str | None) -> dict[str, int]:
     return out
 
 
-def learn_lexicons(sample: DataFrame, most: int = LEXICON) -> list[list[tuple[str, bool, float]]]:
-    """(text, toxic, half: 0 or 1) of bounded, labelled rows -> the lexicons of half 0, half 1 and both, as (text, is_stem, log-odds).
+def learn_lexicons(sample: DataFrame) -> list[list[tuple[str, bool, float, float]]]:
+    """(text, toxic, half: 0 or 1) of bounded, labelled rows -> the lexicons of half 0, half 1 and both, as (text, is_stem, log-odds, log-odds of a misspelling).
 
     Entries are terms and stems that toxic texts have and others lack. A candidate counts once
     for each toxic text, and once for all in which the same words stand around it, so the words
     of a text with many copies gain nothing by them. Its surprise (binomial divergence from the
     share of toxic rows) has to exceed what the number of candidates makes likely by chance.
+    A lexicon is as large as the rows support; the bound on rows bounds it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,10 +252,46 @@ def learn_lexicons(sample: DataFrame, most: int = LEXICON) -> list[list[tuple[st
         share = bad / n
         surprise = n * (share * F.ln(share / p) + F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - p))).otherwise(0.0))
         odds = F.ln((bad + 0.5) / (F.col(f"good{part}") + 0.5)) - math.log(p / (1 - p))
-        rows = counts.where(bad >= 3).select("k", surprise.alias("surprise"), odds.alias("odds"), share.alias("share")).where(F.col("share") > max(0.5, p))
-        rows = rows.where(F.col("surprise") > math.log(tested + 1) + 2).orderBy(F.desc("surprise"), "k").limit(most).collect()
-        lexicons.append([(r[0].rstrip("$"), not r[0].endswith("$"), float(r[2])) for r in rows])
-    return lexicons
+        rows = counts.where(bad >= 3).select("k", bad.alias("bad"), surprise.alias("surprise"), odds.alias("odds"), share.alias("share")).where(F.col("share") > max(0.5, p))
+        rows = rows.where(F.col("surprise") > math.log(tested + 1) + 2).select("k", "odds", "bad").orderBy("k").collect()
+        lexicons.append([(r[0].rstrip("$"), not r[0].endswith("$"), float(r[1]), int(r[2])) for r in rows])
+    return _misspellings(sample, lexicons)
+
+
+def _misspellings(sample: DataFrame, lexicons: list[list[tuple[str, bool, float, int]]]) -> list[list[tuple[str, bool, float, float]]]:
+    """Puts a misspelling's log-odds in place of the number of toxic texts with a term.
+
+    Clean texts of the half (or halves) that a lexicon comes from are searched for misspellings
+    of its terms; toxic texts are taken to have MISSPELLINGS for each right spelling.
+    """
+    sent = sample.sparkSession.sparkContext.broadcast([[(t, stem, odds, odds) for t, stem, odds, _ in lexicon] for lexicon in lexicons])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        autos = [(Automaton(terms), {}) for terms in sent.value]
+        for b in batches:
+            seen: Counter = Counter()
+            for text, half in zip(b.column(0), b.column(1).to_pylist()):
+                for part in (half, 2):
+                    auto, memory = autos[part]
+                    seen.update((part, term) for term in {e[0] for e in evidence(auto, text.as_py(), memory) if e[1] == 1})
+                    seen[part, -1] += 1
+            keys = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["part", "term", "n"])
+
+    clean = sample.where("toxic = 0").select("text", F.col("half").cast("int"))
+    met = {(r[0], r[1]): r[2] for r in clean.mapInArrow(run, "part int, term int, n long").groupBy("part", "term").agg(F.sum("n")).collect()}
+    toxic = {r[0]: r[1] for r in sample.where("toxic = 1").groupBy(F.col("half").cast("int").alias("half")).count().collect()}
+    toxic[2] = sum(toxic.values())
+    out = []
+    for part, lexicon in enumerate(lexicons):
+        good = met.get((part, -1), 0) + 1.0
+        rows = []
+        for number, (text, stem, odds, bad) in enumerate(lexicon):
+            share = met.get((part, number), 0) + 0.5
+            wrong = math.log((MISSPELLINGS * bad / max(1, toxic.get(part, 0))) / (share / good)) if bad else 0.0
+            rows.append((text, stem, odds, max(0.0, min(odds, wrong))))
+        out.append(rows)
+    return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
@@ -254,60 +316,41 @@ def _featured(lexicon: list, batches: Iterator[pa.RecordBatch]) -> Iterator[tupl
         yield b, np.array([features(auto, t.as_py(), seen) for t in b.column("text")]).reshape(-1, FEATURES)
 
 
-#: Features of matches that are misspelled only; the logistic model does without them.
-MISSPELLED = [1, 4]
-#: Rows that the share of toxic texts counts as, where few texts have misspelled matches only.
-PRIOR = 5
+def scores(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Probabilities of rows of features."""
+    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
 
-def misspelled_only(x: np.ndarray) -> np.ndarray:
-    """1 for texts whose one match is misspelled, 2 for several such and no other, else 0."""
-    return np.where((x[:, 0] == 0) & (x[:, 2] == 0) & (x[:, 1] > 0), np.where(x[:, 1] > 0.7, 2, 1), 0)
-
-
-def scores(x: np.ndarray, weights: np.ndarray, rates: np.ndarray) -> np.ndarray:
-    """Probabilities of rows of features; rates: of texts with misspelled matches only, by misspelled_only."""
-    z = np.delete(x, MISSPELLED, axis=1) @ weights[:-1] + weights[-1]
-    kind = misspelled_only(x)
-    return np.where(kind > 0, rates[kind], 1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list, np.ndarray, np.ndarray] | None:
-    """(lexicon, weights, rates), or None where the labelled rows have one class only or none.
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list, np.ndarray] | None:
+    """(lexicon, weights), or None where the labelled rows have one class only or none.
 
     The rows: ``labels`` with a toxic label and crc32(doc_id) mod 3 not 1, about
-    ``fit_rows`` of them drawn by the hash of doc_id. The weights are fitted on matches of each
-    half with the lexicon of the other half; the lexicon that is returned is that of both. rates
-    are the shares of toxic texts among those that match it by misspelled words only.
+    ``fit_rows`` of them drawn by the hash of doc_id and written once. The weights are fitted on matches of
+    each half with the lexicon of the other half; the lexicon that is returned is that of both.
     """
     mine = labels.where("toxic is not null and doc_id is not null").where(crc_mod("doc_id", 3) != 1)
     mine = mine.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     mine = mine.where(hash_share(F.col("doc_id"), mine.count(), fit_rows))
     sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(mine), "doc_id")
-    sample = sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)))
+    sample = cut(sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))))
     *halves, lexicon = learn_lexicons(sample)
     sent = docs.sparkSession.sparkContext.broadcast(halves)
-    rows = []
-    for half in (0, 1):
 
-        def run(batches: Iterator[pa.RecordBatch], other: int = 1 - half) -> Iterator[pa.RecordBatch]:
-            for b, x in _featured(sent.value[other], batches):
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column("toxic").cast(pa.int32())], ["x", "y"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        autos = [(Automaton(terms), {}) for terms in sent.value]
+        for b in batches:
+            x = [list(features(*_using(autos[1 - half], t.as_py()))) for t, half in zip(b.column(0), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1).cast(pa.int32())], ["x", "y"])
 
-        rows += sample.where(F.col("half") == half).select("text", "toxic").mapInArrow(run, "x array<double>, y int").collect()
+    rows = sample.select("text", "toxic", F.col("half").cast("int")).mapInArrow(run, "x array<double>, y int").collect()
     y = np.array([r[1] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
-    whole = docs.sparkSession.sparkContext.broadcast(lexicon)
+    return lexicon, fit_logistic(np.array([r[0] for r in rows]), y)
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, x in _featured(whole.value, batches):
-            yield pa.RecordBatch.from_arrays([pa.array(misspelled_only(x).astype(np.int32)), b.column("toxic").cast(pa.int32())], ["kind", "y"])
 
-    rates = np.full(3, y.mean())
-    for kind, n, bad in sample.select("text", "toxic").mapInArrow(rate, "kind int, y int").groupBy("kind").agg(F.count("*"), F.sum("y")).collect():
-        rates[kind] = (bad + PRIOR * y.mean()) / (n + PRIOR)
-    return lexicon, fit_logistic(np.delete(np.array([r[0] for r in rows]), MISSPELLED, axis=1), y), rates
+def _using(auto: tuple[Automaton, dict], text: str | None) -> tuple[Automaton, str | None, dict]:
+    return auto[0], text, auto[1]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -324,9 +367,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, weights, rates = sent.value
+        lexicon, weights = sent.value
         for b, x in _featured(lexicon, batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(x, weights, rates))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(x, weights))], ["doc_id", "score"])
 
     return base.mapInArrow(run, "doc_id long, score double")
 
@@ -339,9 +382,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, weights, rates = sent.value
+        lexicon, weights = sent.value
         for b, x in _featured(lexicon, batches):
-            yield b.filter(pa.array(scores(x, weights, rates) < threshold))
+            yield b.filter(pa.array(scores(x, weights) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -339,17 +339,18 @@ def test_levenshtein_automaton_is_brute_force():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))
     terms = {word() for _ in range(25)}
-    auto = toxicity.Automaton([(t, False, float(len(t))) for t in terms] + [("cab", True, 9.0)])
+    names = sorted(terms)
+    auto = toxicity.Automaton([(t, False, float(len(t)), 1.0) for t in names] + [("cab", True, 9.0, 0.0)])
     for _ in range(3000):
         w = word()
         got = auto.match(w)
         near = [t for t in terms if w == t or (len(t) >= 5 and distance(w, t) <= 1)]
         if w in terms:
-            assert got == (float(len(w)), 0)
+            assert got == (names.index(w), 0)
         elif w.startswith("cab"):
-            assert got == (9.0, 2)
+            assert got == (len(names), 2)
         else:
-            assert (got is not None) == bool(near) and (got is None or got[1] == 1)
+            assert (got is not None) == bool(near) and (got is None or (got[1] == 1 and names[got[0]] in near))
 
 
 def test_toxicity_learns_terms_and_spares_the_rest(spark):
@@ -377,9 +378,100 @@ def test_toxicity_learns_terms_and_spares_the_rest(spark):
 
 
 def test_quotation_is_told_from_use():
-    auto = toxicity.Automaton([("grobnik", False, 5.0)])
-    used, quoted = toxicity.features(auto, "you are a grobnik today", {}), toxicity.features(auto, 'she wrote "a grobnik" today', {})
-    assert used[6] == 0 and quoted[6] == 1
+    auto = toxicity.Automaton([("grobnik", False, 5.0, 4.0)])
+    assert [e[2] for e in toxicity.evidence(auto, "you are a grobnik today", {})] == [1]
+    assert [e[2] for e in toxicity.evidence(auto, 'she wrote "a grobnik" today', {})] == [toxicity.QUOTED]
+    assert [e[1:] for e in toxicity.evidence(auto, "grobnik you grabnik", {})] == [(0, 1 + toxicity.NEARBY), (1, 1 + toxicity.NEARBY)]
+
+
+def toxic_corpus(seed=6, n=900):
+    """Texts, labels: terms in one of six; clean texts also have words one letter off the short term, none off the long ones."""
+    rng = random.Random(seed)
+    texts, labels = [], []
+    for i in range(n):
+        words = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(60)]
+        if i % 6 == 0:
+            for _ in range(3):
+                words.insert(rng.randrange(60), rng.choice(["grobnik", "schnozzle", "blatherer", "scrum"]))
+        elif rng.random() < 0.4:
+            words.insert(rng.randrange(60), rng.choice(["scram", "strum", "scruf"]))
+        texts.append(" ".join(words))
+        labels.append((i, int(i % 6 == 0)))
+    return texts, labels
+
+
+def test_toxicity_misspellings_and_quotations_decide(spark):
+    texts, labels = toxic_corpus()
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1 and i % 6]
+    plain = [" ".join(w for w in texts[i].split() if w not in ("scram", "strum", "scruf")) for i in held[:4]]
+    planted = {
+        2000: plain[0] + " you gobnik and shnozzle you bltherer", 2001: plain[1] + " a shnozzle", 2002: plain[2] + " strum",
+        2003: plain[3] + " you grobnik", 2004: plain[3] + ' they said "grobnik" again', 2005: plain[3] + " you gobnik",
+        2006: plain[3] + ' they said "gobnik" again', 2007: plain[0],
+    }
+    docs = docs_of(spark, [*texts, *planted.values()], [*range(900), *planted])
+    frame = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, frame).collect()}
+    assert got[2000] >= 0.7 and got[2001] >= 0.7 and got[2003] >= 0.7 and got[2005] >= 0.7
+    assert got[2002] < 0.5 and got[2007] < 0.1
+    assert got[2004] < 0.7 <= got[2003] and got[2006] < got[2005]
+    # Without edits the misspelled texts are clean: the automaton decides.
+    lexicon, weights = toxicity.train(docs, frame)
+    exact = toxicity.Automaton(lexicon, edits=0)
+    for k in (2000, 2001, 2005):
+        found = [(lexicon[e[0]][0], *e[1:]) for e in toxicity.evidence(exact, planted[k], {})]
+        assert toxicity.scores(toxicity.features(exact, planted[k], {})[None], weights)[0] < 0.3, (k, planted[k], found)
+
+
+def score_brute(text, lexicon, weights):
+    """The score by its definition: edit distances to every term, windows of eight tokens."""
+    tokens = re.findall(r"[^\W\d_]+|[\"“”„«»‹›‘’]", (text or "").lower())
+    found = []
+    for i, w in enumerate(tokens):
+        terms = [(n, t) for n, t in enumerate(lexicon) if not t[1]]
+        best = next(((n, 0) for n, t in terms if t[0] == w), None)
+        if best is None:
+            stems = [(-t[2], n) for n, t in enumerate(lexicon) if t[1] and w.startswith(t[0])]
+            best = (min(stems)[1], 2) if stems else None
+        if best is None:
+            near = [(-t[3], n) for n, t in terms if len(t[0]) >= 5 and abs(len(t[0]) - len(w)) < 2 and distance(w, t[0]) == 1]
+            best = (min(near)[1], 1) if near else None
+        if best:
+            found.append((i, *best))
+    evidence = {}
+    for i, n, kind in found:
+        marks = [t for t in tokens[max(0, i - 8) : i] if t in '"“”„«»‹›‘’']
+        quoted = len(marks) % 2 == 1 and marks[-1] in '"“„«‹‘' and any(t in '"”“»›’' for t in tokens[i + 1 : i + 9])
+        sides = any(0 < i - j <= 8 for j, *_ in found) + any(0 < j - i <= 8 for j, *_ in found)
+        factor = 0.25 if quoted else 1 + 0.25 * sides
+        evidence[n] = max(evidence.get(n, 0), min(8.0, lexicon[n][3 if kind == 1 else 2]) * factor)
+    total = sum(evidence.values())
+    x = [total**0.5, max(evidence.values(), default=0) ** 0.5, min(1.0, total / (1 + len(text or "") / 50))]
+    return 1 / (1 + np.exp(-(np.dot(x, weights[:-1]) + weights[-1])))
+
+
+def test_toxicity_score_is_brute_force(spark):
+    texts, labels = toxic_corpus(7, 600)
+    rng = random.Random(8)
+    for i in range(0, 600, 5):
+        words = texts[i].split()
+        at = rng.randrange(len(words))
+        words[at : at + 2] = rng.choice([['"', "grobnik", '"'], ["«schnozle»"], ["grobnikk,", "blatherer!"], ["“you scrum”"]])
+        texts[i] = " ".join(words)
+    texts += [*BLANKS, texts[0], texts[0], "ab " * 9000 + "grobnik"]
+    docs, frame = docs_of(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon, weights = toxicity.train(docs, frame)
+    for r in toxicity.toxicity(docs, frame).collect():
+        assert abs(r.score - score_brute(texts[r.doc_id], lexicon, weights)) < 1e-9, texts[r.doc_id]
+
+
+def test_toxicity_query(spark):
+    rows = toxicity.op6_toxicity(spark, "/root/testdata/sf0.01").collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for r in rows)
+    held = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
+    toxic, clean = [p for y, p in held if y == 1], [p for y, p in held if y == 0]
+    assert sum(toxic) >= 0.95 * len(toxic) > 0 and sum(clean) <= 0.02 * len(clean)
 
 
 def covered_brute(texts, window, trim=0):
