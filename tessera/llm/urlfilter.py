@@ -7,8 +7,6 @@ threshold is calibrated on rule-labelled URLs that the models have not seen.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +21,9 @@ from tessera.session import cut
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: Rule-labelled URLs of each verdict that the models and the threshold are fitted on, about, at most.
 FIT_URLS = 20_000
-#: Contexts and successors kept for each verdict at most, the most frequent first.
-ENTRIES = 300_000
+#: Bytes of such URLs of each verdict, about, at most: they bound the n-grams that are counted, about six a byte.
+FIT_BYTES = 2_000_000
+#: Bytes of context at most. With the byte after it and the length an n-gram fits into a long.
 ORDER = 5
 #: Strength of the next shorter context in each estimate.
 BACK_OFF = 2.0
@@ -48,38 +47,75 @@ def rule_and_verdict(host: Column, path: Column, rules=RULES) -> tuple[Column, C
     return rule, verdict
 
 
-def grams(text: bytes, order: int = ORDER) -> Iterator[bytes]:
-    """Each byte with up to ``order`` bytes before it; a zero byte stands at both ends."""
-    padded = b"\0" + text + b"\0"
-    for i in range(1, len(padded)):
-        for k in range(min(order, i) + 1):
-            yield padded[i - k : i + 1]
+def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, text numbers): each byte of each text with 0 to ``order`` bytes before it, packed into longs.
+
+    keys has a row for each number of bytes before; 0 stands where the text has not so many, so
+    that a column holds one byte. A zero byte stands at both ends of a text. A key is the
+    number of bytes and the bytes.
+    """
+    joined = np.frombuffer(b"".join(b"\0" + t + b"\0" for t in texts), np.uint8).astype(np.int64)
+    sizes = np.array([len(t) + 2 for t in texts], np.int64)
+    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.arange(len(joined)) - begin
+    keys = np.zeros((order + 1, len(joined)), np.int64)
+    packed = np.zeros(len(joined), np.int64)
+    for k in range(order + 1):
+        packed[k:] += joined[: len(joined) - k] << (8 * k)
+        keys[k] = np.where(at >= max(k, 1), packed | ((k + 1) << 48), 0)
+    # The first byte of a text is only a context.
+    inside = at >= 1
+    return keys[:, inside], np.repeat(np.arange(len(texts)), sizes)[inside]
+
+
+def context_keys(keys: np.ndarray) -> np.ndarray:
+    """The keys of the contexts alone: one byte less at the end."""
+    return np.where(keys == 0, 0, ((keys & ((1 << 48) - 1)) >> 8) | (keys >> 48 << 48) | (1 << 56))
 
 
 class Markov:
-    """Interpolated variable-order model: an unseen context leaves the estimate to the next shorter one."""
-
-    def __init__(self, counts: dict[bytes, int], order: int = ORDER):
-        self.order, self.seen, self.after = order, counts, Counter()
-        for g, n in counts.items():
-            self.after[g[:-1]] += n
-
-    def log_likelihood(self, text: bytes) -> float:
-        padded, total = b"\0" + text + b"\0", 0.0
-        for i in range(1, len(padded)):
-            p = 1 / 256
-            for k in range(min(self.order, i) + 1):
-                n = self.after.get(padded[i - k : i], 0)
-                if not n:
-                    break
-                p = (self.seen.get(padded[i - k : i + 1], 0) + BACK_OFF * p) / (n + BACK_OFF)
-            total += math.log(p)
-        return total
-
-
-def difference(models: tuple[Markov, Markov], text: bytes) -> float:
+    """Interpolated variable-order models: an unseen context leaves the estimate to the next shorter one.
+
+    keys: the n-grams, sorted; seen: how often each occurs, a column for each model. Arrays only:
+    about 16 bytes for an n-gram and two models.
+    """
+
+    def __init__(self, keys: np.ndarray, seen: np.ndarray):
+        self.keys, self.seen = keys, seen
+        contexts = context_keys(keys)
+        order = np.argsort(contexts, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(contexts[order]) != 0])) if len(keys) else np.zeros(0, np.int64)
+        self.contexts = contexts[order][begin]
+        self.after = np.add.reduceat(seen[order], begin, axis=0) if len(keys) else seen
+
+    @staticmethod
+    def _look(table: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(table):
+            return np.zeros((len(wanted), values.shape[1]), values.dtype)
+        at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+        return np.where((table[at] == wanted)[:, None], values[at], 0)
+
+    def log_likelihoods(self, texts: list[bytes], order: int = ORDER) -> np.ndarray:
+        """[texts, models]: log probability of each text, its end included."""
+        keys, which = grams(texts, order)
+        out = np.zeros((len(texts), self.seen.shape[1]))
+        if not keys.shape[1]:
+            return out
+        p = np.full((keys.shape[1], self.seen.shape[1]), 1 / 256)
+        # Equal n-grams are looked up once.
+        for row in keys:
+            some, back = np.unique(row, return_inverse=True)
+            n = self._look(self.contexts, self.after, context_keys(some))[back]
+            c = self._look(self.keys, self.seen, some)[back]
+            p = np.where((row != 0)[:, None] & (n > 0), (c + BACK_OFF * p) / (n + BACK_OFF), p)
+        np.add.at(out, which, np.log(p))
+        return out
+
+
+def differences(models: Markov, texts: list[bytes]) -> np.ndarray:
     """Log-likelihood a byte under the accepted URLs' model less that under the rejected ones'."""
-    return (models[0].log_likelihood(text) - models[1].log_likelihood(text)) / (len(text) + 1)
+    both = models.log_likelihoods(texts)
+    return (both[:, 0] - both[:, 1]) / (np.array([len(t) for t in texts], np.int64) + 1)
 
 
 def calibrate(scores: np.ndarray, accepted: np.ndarray) -> float:
@@ -97,45 +133,45 @@ def calibrate(scores: np.ndarray, accepted: np.ndarray) -> float:
     return float(s[-1]) + 1 if k == len(s) else float(s[k - 1] + s[k]) / 2
 
 
-def fit(judged: DataFrame, fit_urls: int = FIT_URLS) -> tuple[Markov, Markov, float] | None:
-    """(target: binary, verdict) -> models and threshold; None where a verdict has no URLs.
+def fit(judged: DataFrame, fit_urls: int = FIT_URLS, fit_bytes: int = FIT_BYTES) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """(target: binary, verdict) -> n-grams, their counts under both verdicts, and the threshold; None where a verdict has no URLs.
 
-    About ``fit_urls`` distinct targets of each verdict are drawn by their hash, so repeated URLs
-    change nothing; three of four teach the models, the fourth sets the threshold.
+    About ``fit_urls`` distinct targets of each verdict, of about ``fit_bytes`` bytes, are drawn by
+    their hash, so repeated URLs change nothing; three of four teach the models, the fourth sets
+    the threshold.
     """
     spark = judged.sparkSession
     known = judged.where("verdict is not null").select("target", "verdict")
-    sizes = dict(known.distinct().groupBy("verdict").count().collect())
     drawn = F.lit(False)
-    for said, n in sizes.items():
-        drawn = drawn | ((F.col("verdict") == said) & hash_share(F.col("target"), n, fit_urls))
+    for said, n, size in known.distinct().groupBy("verdict").agg(F.count("*"), F.sum(F.length("target") + 2)).collect():
+        drawn = drawn | ((F.col("verdict") == said) & hash_share(F.col("target"), n, min(fit_urls, int(n * fit_bytes / size))))
     picked = cut(known.where(drawn).distinct())
     part = F.pmod(F.xxhash64("target", F.lit(5)), F.lit(4))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter = Counter()
-            for target, said in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen.update((said, g) for g in grams(target))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["verdict", "g", "n"])
-
-    counts = picked.where(part != 0).mapInArrow(count, "verdict string, g binary, n long").groupBy("verdict", "g").agg(F.sum("n").alias("n"))
-    models = []
-    for said in ("allow", "block"):
-        rows = counts.where(F.col("verdict") == said).orderBy(F.desc("n"), "g").limit(ENTRIES).select("g", "n").collect()
-        if not rows:
-            return None
-        models.append(Markov({bytes(r[0]): r[1] for r in rows}))
-    sent = spark.sparkContext.broadcast([m.seen for m in models])
+            allowed = np.array(b.column(1).to_pylist()) == "allow"
+            keys, which = grams(b.column(0).to_pylist())
+            some, back = np.unique(keys.ravel(), return_inverse=True)
+            mine = np.tile(allowed[which], len(keys))
+            n = [np.bincount(back, weights=w, minlength=len(some)).astype(np.int64) for w in (mine, ~mine)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[0]), pa.array(n[1])], ["g", "allow", "block"]).filter(pa.array(some != 0))
+
+    counts = picked.where(part != 0).mapInArrow(count, "g long, allow long, block long").groupBy("g").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    got = counts.toArrow().sort_by("g")
+    keys, seen = got.column("g").to_numpy(), np.stack([got.column(n).to_numpy().astype(np.int32) for n in ("allow", "block")], 1)
+    if not seen.sum(0).all():
+        return None
+    sent = spark.sparkContext.broadcast((keys, seen))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = tuple(Markov(c) for c in sent.value)
+        models = Markov(*sent.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([difference(pair, t) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], ["score", "verdict"])
+            yield pa.RecordBatch.from_arrays([pa.array(differences(models, b.column(0).to_pylist())), b.column(1)], ["score", "verdict"])
 
-    held = picked.where(part == 0).mapInArrow(score, "score double, verdict string").collect()
-    threshold = calibrate(np.array([r[0] for r in held]), np.array([r[1] == "allow" for r in held])) if held else 0.0
-    return models[0], models[1], threshold
+    held = picked.where(part == 0).mapInArrow(score, "score double, verdict string").toArrow()
+    threshold = calibrate(held.column("score").to_numpy(), np.array(held.column("verdict").to_pylist()) == "allow") if held.num_rows else 0.0
+    return keys, seen, threshold
 
 
 def judge(pages: DataFrame, rules=RULES, fit_urls: int = FIT_URLS) -> DataFrame:
@@ -153,13 +189,13 @@ def judge(pages: DataFrame, rules=RULES, fit_urls: int = FIT_URLS) -> DataFrame:
     model = fit(judged, fit_urls)
     if model is None:
         return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
-    sent = pages.sparkSession.sparkContext.broadcast((model[0].seen, model[1].seen, model[2]))
+    sent = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, threshold = (Markov(sent.value[0]), Markov(sent.value[1])), sent.value[2]
+        models, threshold = Markov(*sent.value[:2]), sent.value[2]
         for b in batches:
-            scores = [difference(pair, t) for t in b.column("target").to_pylist()]
-            said = [v or ("allow" if s > threshold else "block") for v, s in zip(b.column("verdict").to_pylist(), scores)]
+            scores = differences(models, b.column("target").to_pylist())
+            said = [v or ("allow" if s > threshold else "block") for v, s in zip(b.column("verdict").to_pylist(), scores.tolist())]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("page_id", "host", "path", "rule")), pa.array(said, pa.string()), pa.array(scores, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "score"])
 
     kind = judged.schema["page_id"].dataType.simpleString()

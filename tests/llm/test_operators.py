@@ -105,7 +105,7 @@ def shingles_brute(text, k=5):
 def test_near_dedup_links_every_similar_pair(spark, busy):
     rng = random.Random(31)
     texts = []
-    for _ in range(20):
+    for _ in range(40):
         base = prose(rng, rng.randrange(60, 300), 10**6).split()
         texts.append(" ".join(base))
         for share in (0.80, 0.82, 0.85, 0.9, 0.95):
@@ -218,7 +218,7 @@ def test_order_minhash_likeness_is_steady_over_lengths(spark):
     for a, b in ((600, 405), (500, 540), (60, 60), (2577, 2577)):
         near = []
         texts = []
-        for _ in range(20):
+        for _ in range(40):
             base = " ".join(f"u{rng.randrange(10**6)}" for _ in range(800))
             texts += [base[:a], base[: a - a // 3] + " ".join(f"v{rng.randrange(10**6)}" for _ in range(800))[: b - (a - a // 3)]]
         rows = omh.order_minhash(docs_of(spark, texts, extra=False), "text", "fp").orderBy("doc_id").collect()
@@ -316,16 +316,103 @@ def test_url_copies_change_no_verdict(spark):
     assert a == b and len({s for _, s in a.values()}) > 100
 
 
-def test_url_models_are_normalised_and_separate():
-    m = urlfilter.Markov(Counter(g for u in (b"aab", b"abb") for g in urlfilter.grams(u)))
-    total = sum(np.exp(m.log_likelihood(b"ab" + bytes([c])) - 0) for c in range(0))
-    assert total == 0
-    good, bad = [Counter(g for i in range(50) for g in urlfilter.grams(f"{x}/{i}".encode())) for x in ("news", "spam")]
-    pair = urlfilter.Markov(good), urlfilter.Markov(bad)
-    assert urlfilter.difference(pair, b"news/77") > 0 > urlfilter.difference(pair, b"spam/77")
+def gram_counts(texts, order=5):
+    """Each byte with up to five before it, by the definition."""
+    c = Counter()
+    for t in texts:
+        padded = b"\0" + t + b"\0"
+        c.update(padded[i - k : i + 1] for i in range(1, len(padded)) for k in range(min(order, i) + 1))
+    return c
+
+
+def markov_brute(counts, text, order=5):
+    after, total, padded = Counter(), 0.0, b"\0" + text + b"\0"
+    for g, n in counts.items():
+        after[g[:-1]] += n
+    for i in range(1, len(padded)):
+        p = 1 / 256
+        for k in range(min(order, i) + 1):
+            n = after[padded[i - k : i]]
+            if not n:
+                break
+            p = (counts[padded[i - k : i + 1]] + urlfilter.BACK_OFF * p) / (n + urlfilter.BACK_OFF)
+        total += np.log(p)
+    return total
+
+
+def url_models(good, bad):
+    c = [gram_counts(x) for x in (good, bad)]
+    pack = lambda g: len(g) << 48 | int.from_bytes(g, "big")
+    keys = sorted(set(map(pack, c[0])) | set(map(pack, c[1])))
+    rows = [{pack(g): n for g, n in x.items()} for x in c]
+    return c, urlfilter.Markov(np.array(keys), np.array([[r.get(k, 0) for r in rows] for k in keys], np.int32))
+
+
+def test_url_models_are_brute_force_and_normalised():
+    rng = random.Random(2)
+    word = lambda: bytes(rng.choice(b"abc/\xc3\x00") for _ in range(rng.randrange(12)))
+    counts, models = url_models([word() for _ in range(60)], [word() for _ in range(60)])
+    texts = [word() for _ in range(80)] + [b"", b"zzz"]
+    got = models.log_likelihoods(texts)
+    for t, row in zip(texts, got):
+        assert np.allclose(row, [markov_brute(c, t) for c in counts])
+    # Whatever stands before, the probabilities of all bytes that may follow add up to one.
+    for before in (b"", b"ab", b"c/a", b"zz"):
+        ends = models.log_likelihoods([before + bytes([c]) for c in range(256)])
+        tails = [markov_brute(counts[0], before + bytes([c])) for c in range(256)]
+        assert np.allclose(ends[:, 0], tails)
+        step = [np.exp(markov_brute(counts[0], before + bytes([c]) + b"") - last(counts[0], before + bytes([c])) - whole(counts[0], before)) for c in range(256)]
+        assert abs(sum(step) - 1) < 1e-9
+
+
+def last(counts, text):
+    """Log probability of the end after the text."""
+    return markov_brute(counts, text) - whole(counts, text)
+
+
+def whole(counts, text, order=5):
+    """Log probability of the text's bytes without its end."""
+    after, total, padded = Counter(), 0.0, b"\0" + text
+    for g, n in counts.items():
+        after[g[:-1]] += n
+    for i in range(1, len(padded)):
+        p = 1 / 256
+        for k in range(min(order, i) + 1):
+            n = after[padded[i - k : i]]
+            if not n:
+                break
+            p = (counts[padded[i - k : i + 1]] + urlfilter.BACK_OFF * p) / (n + urlfilter.BACK_OFF)
+        total += np.log(p)
+    return total
+
+
+def test_url_models_separate():
+    _, models = url_models([f"news/{i}".encode() for i in range(50)], [f"spam/{i}".encode() for i in range(50)])
+    good, bad = urlfilter.differences(models, [b"news/77", b"spam/77"])
+    assert good > 0 > bad
     assert urlfilter.calibrate(np.array([-2.0, -1, 1, 2]), np.array([False, False, True, True])) == 0
 
 
+def test_url_verdicts_of_the_model(spark):
+    rng = random.Random(42)
+    word = lambda letters, n=8: "".join(rng.choice(letters) for _ in range(n))
+    urls = [f"http://a.com/{word('abcd')}" for _ in range(400)] + [f"http://b.net/es/{word('wxyz')}" for _ in range(400)]
+    other = [f"http://c.org/{word('abcd')}" for _ in range(30)] + [f"http://c.org/{word('wxyz')}" for _ in range(30)]
+    other += [other[0], other[30], "http://c.org/" + "abcd" * 5000, "http://c.org/" + "wxyz" * 5000]
+    pages = spark.createDataFrame(list(enumerate(urls + other)), "page_id long, url string")
+    rows = [r for r in urlfilter.judge(pages).orderBy("page_id").collect() if r.page_id >= 800]
+    assert [r.verdict for r in rows] == ["allow"] * 30 + ["block"] * 30 + ["allow", "block"] * 2
+    assert rows[60].score == rows[0].score and all(r.rule is None for r in rows)
+
+
+def test_url_query(spark):
+    rows = urlfilter.op5_url_filter(spark, "/root/testdata/sf0.001").collect()
+    urls = {r.page_id: r.url for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    said = dict(urlfilter.RULES)
+    for r in rows:
+        assert (r.host, r.path, r.rule) == url_brute(urls[r.page_id]) and r.verdict == said.get(r.rule, r.verdict)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -728,12 +815,87 @@ def test_lm_base_is_brute_force(spark, monkeypatch):
 
 def test_lm_probabilities_add_up_and_learn():
     rng = np.random.default_rng(3)
-    ids = np.concatenate([np.r_[np.tile([5, 9], 10), 0] if rng.random() < 0.5 else np.r_[np.tile([7, 3], 10), 0] for _ in range(300)])
-    model = lm.LogBilinear(np.bincount(ids, minlength=lm.OUTPUTS).astype(float))
-    model.train(ids)
-    table = model.table()
-    assert np.allclose((10.0 ** table[[0, 5, 9], [0, 0, 5]]).sum(1), 1, atol=1e-4)
-    assert table[5, 0, 9] > table[5, 0, 3] and table[7, 0, 3] > table[7, 0, 9]
+    texts = [np.r_[np.tile([5, 9], 10), 0] if rng.random() < 0.5 else np.r_[np.tile([7, 3], 10), 0] for _ in range(300)]
+    ids = np.concatenate(texts)
+    unigram = np.bincount(ids, minlength=40).astype(float)
+    layout = lm.Layout(40)
+    trainer = lm.Trainer(layout, layout.start(unigram), unigram, 0.1, 1.0)
+    for _ in range(40):
+        for t in texts:
+            trainer.add(t)
+        trainer.flush()
+    tables = lm.Tables.of(layout, trainer.w)
+    # After each pair of tokens, all outputs: one text (one, two, output) each.
+    after = lambda one, two: np.array([10.0 ** lm.Tables.log10(tables, np.array([two, one, w, 0]))[2] for w in range(40)])
+    for pair in ((5, 9), (3, 7), (20, 31), (1, 1)):
+        assert abs(after(*pair).sum() - 1) < 1e-4
+    assert after(5, 9)[9] > 0.8 and after(7, 3)[3] > 0.8
+
+
+def test_lm_score_is_brute_force(spark):
+    """Scores from the model's own probabilities and the corpus counts, token by token; all tokens' probabilities add up."""
+    texts = corpus(13, 40)
+    d = docs_of(spark, texts)
+    kept = {}
+    real = lm.Tables.of
+    lm.Tables.of = staticmethod(lambda layout, w: kept.setdefault("tables", real(layout, w)))
+    try:
+        rows = {r.doc_id: r for r in lm.score_documents(d, d).collect()}
+    finally:
+        lm.Tables.of = real
+    words = lambda t: (t or "").encode().lower().split()
+    c = Counter(w for t in texts for w in words(t))
+    types = len(c) + 1
+    frequent = min(len(c), int(lm.GROWTH * types ** (1 / 3)))
+    ranked = sorted(c, key=lambda t: (-c[t], t))
+    number = {t: i + 1 if i < frequent else 1 + frequent + zlib.crc32(t[:3]) % lm.CLASSES for i, t in enumerate(ranked)}
+    mass = Counter()
+    for t in ranked[frequent:]:
+        mass[number[t]] += c[t] + 0.1
+    for k in range(1 + frequent, 1 + frequent + lm.CLASSES):
+        mass[k] += 0.1
+    for i, t in enumerate(texts):
+        w = words(t)
+        ids = np.array([*(number[x] for x in w), 0])
+        want = float(lm.Tables.log10(kept["tables"], ids).sum())
+        want += sum(log10((c[x] + 0.1) / mass[number[x]]) for x in w if number[x] > frequent)
+        assert abs(rows[i].score - want) < 1e-4 * max(1, abs(want)), i
+
+
+def test_lm_learns_more_than_the_base(spark):
+    rng = random.Random(21)
+    texts = [" ".join(x for _ in range(60) for x in rng.choice([("red", "apple"), ("blue", "sky"), ("old", "tree")])) for _ in range(400)]
+    d = docs_of(spark, texts, extra=False)
+    got = lm.score_documents(d, d.where("doc_id % 10 <> 0")).where("doc_id % 10 = 0").collect()
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.1 * sum(r.n_tokens for r in got)
+
+
+def test_lm_runs_where_the_package_is_not_installed(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(lm.__file__).parents[2])
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__
+for name in ("op10_lm_score", "op5_url_filter", "op6_toxicity", "op9_decontamination", "op7_line_dedup"):
+    if name in __spark_entry__.queries():
+        print(name, __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count())
+print("done")
+"""
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "done" in done.stdout, done.stderr[-2000:]
+
+
+def test_lm_query(spark):
+    rows = lm.op10_lm_score(spark, "/root/testdata/sf0.001").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) and r.score < 0 and r.base_score < 0 for r in rows)
+    assert sum(r.held_out for r in rows) > 0
 
 
 def test_lm_empty(spark):
