@@ -5,7 +5,8 @@ have it. A match of text place i and template place p votes for the diagonal i -
 summed by text, template and diagonal before anything is shuffled, so what is exchanged is a
 few rows a text. A base phrase stands wherever a diagonal has all its votes. For the
 method's own labels, neighbouring diagonals (words put in or left out) are merged, and a span
-is accepted if enough of the template is covered within a stretch of text not much longer.
+is accepted if enough of the template's places, each counted once however often the text has
+it, are covered within a stretch of text not much longer.
 
 DataFrame functions only; templates are a fixed, small table.
 """
@@ -19,8 +20,33 @@ from tessera.llm.text import load_documents
 
 #: Phrases that are found word by word, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Notices of common licenses, and the labels that a close likeness gives.
+#: Notices and whole short texts of common licenses, and the labels that a close likeness gives.
 NOTICES = (
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+        " subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+        " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+        " in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise"
+        " arising from out of or in connection with the software or the use or other dealings in the software",
+        "mit",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+        " redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+        " redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+        " this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to"
+        " the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+        "bsd",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+        " provided that the above copyright notice and this permission notice appear in all copies"
+        " the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+        " in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits"
+        " whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "isc",
+    ),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "mit"),
     ("released under the mit license", "mit"),
     ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache-2"),
@@ -41,7 +67,9 @@ NOTICES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
 K = 3
-#: Diagonals this close are merged; a span may be this many words longer than its template, and has to have this share of its 3-grams.
+#: Places of a template whose marks one long holds, and longs: templates have 186 3-grams at most.
+MARKS, LONGS = 62, 3
+#: Diagonals this close are merged; a span may be this many words (or an eighth) longer than its template, and has to have this share of its 3-grams.
 SLACK, STRETCH, COVER = 3, 12, 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,6 +80,7 @@ def template_grams(base=BASE, notices=NOTICES) -> list[tuple]:
     rows = []
     for number, (text, label) in enumerate((*base, *notices)):
         words = text.split()
+        assert len(words) - K + 1 <= MARKS * LONGS
         for p in range(len(words) - K + 1):
             rows.append((number, label, number < len(base), len(words) - K + 1, p, *words[p : p + K]))
     return rows
@@ -68,10 +97,10 @@ def words(text: Column) -> Column:
 
 
 def votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (row, doc_id, template, label, base, grams, diagonal, n, low, high, last).
+    """(doc_id, text) -> (row, doc_id, template, label, base, grams, diagonal, n, low, high, last, m0, m1, m2).
 
     A row for each text, template and diagonal with its votes, the first and last template
-    place and the last word's number; one row a text without a template for its other words.
+    place, the last word's number and marks (bits) of the template places met; one row a text without a template for its other words.
     """
     cut = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
     three = F.arrays_zip(F.col("w").alias("w1"), F.expr("slice(w, 2, size(w))").alias("w2"), F.expr("slice(w, 3, size(w))").alias("w3"))
@@ -80,8 +109,14 @@ def votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
     t = templates.withColumnRenamed("gram", "tgram")
     met = each.join(t, (F.col("gram") == F.col("tgram")) & (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")) & (F.col("w3") == F.col("t3")), "left")
     return met.groupBy("row", "doc_id", "template", "label", "base", "grams", (F.col("i") - F.col("at")).alias("diagonal")).agg(
-        F.count("i").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"), F.max("i").alias("last")
-    )
+        F.count("i").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"), F.max("i").alias("last"),
+        *(F.bit_or(_mark(k)).alias(f"m{k}") for k in range(LONGS)),
+    )
+
+
+def _mark(k: int) -> Column:
+    """The bit of the place in the k-th long, 0 if it lies in another."""
+    return F.expr(f"if(at >= {MARKS * k} and at < {MARKS * (k + 1)}, shiftleft(1L, at - {MARKS * k}), 0L)")
 
 
 def scan(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
@@ -89,7 +124,7 @@ def scan(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
 
     spans: label, template, first word, word after and share covered of each accepted span.
     Null, empty and wordless texts have no words and no labels (empty strings); repeated rows
-    are scanned one by one; extra columns are ignored.
+    are scanned one by one; extra columns are ignored. score: the largest share covered by an accepted span, else 0.
     """
     templates = template_table(docs.sparkSession, base, notices)
     v = votes(docs, templates)
@@ -97,12 +132,12 @@ def scan(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
     step = F.col("diagonal") - F.lag("diagonal").over(near)
     v = v.withColumn("group", F.when(F.col("template").isNotNull(), F.sum(F.when(step <= SLACK, 0).otherwise(1)).over(near)))
     spans = v.groupBy("row", "doc_id", "template", "label", "base", "grams", "group").agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("n") == F.col("grams"), 1).otherwise(0)).alias("whole"),
+        *(F.bit_or(f"m{k}").alias(f"m{k}") for k in range(LONGS)), F.sum(F.when(F.col("n") == F.col("grams"), 1).otherwise(0)).alias("whole"),
         F.min(F.when(F.col("n") == F.col("grams"), F.col("diagonal"))).alias("first"), F.max(F.when(F.col("n") == F.col("grams"), F.col("diagonal"))).alias("final"),
         F.min(F.col("diagonal") + F.col("low")).alias("start"), F.max(F.col("diagonal") + F.col("high") + K).alias("stop"), F.max("last").alias("last"),
     )
-    cover = F.least(F.lit(1.0), F.col("n") / F.col("grams"))
-    close = F.col("stop") - F.col("start") <= F.col("grams") + K - 1 + STRETCH
+    cover = sum((F.bit_count(f"m{k}") for k in range(LONGS)), F.lit(0)) / F.col("grams")
+    close = F.col("stop") - F.col("start") <= F.col("grams") + K - 1 + F.greatest(F.lit(STRETCH), F.expr("grams div 8"))
     good = F.when(F.col("base"), F.col("whole") > 0).otherwise((cover >= COVER) & (close | (F.col("whole") > 0)))
     labels = lambda wanted: F.array_join(F.array_sort(F.collect_set(F.when(wanted, F.col("label")))), ",")
     spans = spans.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("cover", cover)
@@ -117,7 +152,7 @@ def scan(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
         F.coalesce(F.max("last") + 1, F.lit(0)).cast("long").alias("n_words"), F.coalesce(F.sum(places), F.lit(0)).alias("n_base"),
         F.min(F.when(F.col("base"), F.col("first"))).cast("long").alias("first_word"), F.max(F.when(F.col("base"), F.col("final"))).cast("long").alias("last_word"),
         labels(F.col("base") & (F.col("whole") > 0)).alias("base_labels"), labels(F.col("good")).alias("labels"),
-        F.coalesce(F.max(F.when(F.col("template").isNotNull(), F.col("cover"))), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max(F.when(F.col("good"), F.col("cover"))), F.lit(0.0)).alias("score"),
         F.collect_list(F.when(F.col("good"), F.struct("label", "template", "start", "stop", "cover"))).alias("spans"),
     ).drop("row")
 
@@ -128,23 +163,27 @@ def op4_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     values = ", ".join("(" + ", ".join(repr(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in template_grams())
+    each = range(LONGS)
+    marks = ", ".join(f"bit_or(CASE WHEN place >= {MARKS * k} AND place < {MARKS * (k + 1)} THEN 1::BIGINT << (place - {MARKS * k}) ELSE 0 END) AS m{k}" for k in each)
+    merged = ", ".join(f"bit_or(m{k}) AS m{k}" for k in each)
+    counted = " + ".join(f"bit_count(m{k})" for k in each)
     return f"""
 WITH t AS (SELECT * FROM (VALUES {values}) AS t(template, label, base, grams, place, t1, t2, t3)),
 d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{GAPS}'), lambda x: x <> '') AS w FROM documents),
 e AS (SELECT row, i - 1 AS i, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
-v AS (SELECT row, template, label, base, grams, i - place AS diagonal, count(*) AS n, min(place) AS low, max(place) AS high
+v AS (SELECT row, template, label, base, grams, i - place AS diagonal, count(*) AS n, min(place) AS low, max(place) AS high, {marks}
   FROM e JOIN t ON w1 = t1 AND w2 = t2 AND w3 = t3 GROUP BY ALL),
 g AS (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) AS step FROM v),
 h AS (SELECT *, sum(CASE WHEN step <= {SLACK} THEN 0 ELSE 1 END) OVER (PARTITION BY row, template ORDER BY diagonal) AS grp FROM g),
-s AS (SELECT row, template, label, base, grams, grp, sum(n) AS n, count(*) FILTER (n = grams) AS whole, min(diagonal) FILTER (n = grams) AS first, max(diagonal) FILTER (n = grams) AS final,
+s AS (SELECT row, template, label, base, grams, grp, {merged}, count(*) FILTER (n = grams) AS whole, min(diagonal) FILTER (n = grams) AS first, max(diagonal) FILTER (n = grams) AS final,
     min(diagonal + low) AS start, max(diagonal + high + {K}) AS stop FROM h GROUP BY ALL),
-c AS (SELECT *, least(1.0, n / grams) AS cover FROM s),
-k AS (SELECT *, CASE WHEN base THEN whole > 0 ELSE cover >= {COVER} AND (stop - start <= grams + {K - 1 + STRETCH} OR whole > 0) END AS good FROM c),
+c AS (SELECT *, ({counted}) / grams AS cover FROM s),
+k AS (SELECT *, CASE WHEN base THEN whole > 0 ELSE cover >= {COVER} AND (stop - start <= grams + {K - 1} + greatest({STRETCH}, grams // 8) OR whole > 0) END AS good FROM c),
 m AS (SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY row, base, good ORDER BY start, stop, template ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM k),
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY row, base, good ORDER BY start, stop, template ROWS UNBOUNDED PRECEDING) AS cluster FROM m),
 b AS (SELECT * REPLACE (good AND (base OR cover = max(cover) OVER (PARTITION BY row, base, good, cluster)) AS good) FROM n),
 a AS (SELECT row, sum(CASE WHEN base THEN whole ELSE 0 END) AS n_base, min(first) FILTER (base) AS first_word, max(final) FILTER (base) AS last_word,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND whole > 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (good) AS labels, max(cover) AS score FROM b GROUP BY row)
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND whole > 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (good) AS labels, max(cover) FILTER (good) AS score FROM b GROUP BY row)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN a USING (row)"""
 

@@ -282,6 +282,42 @@ def test_license_scan_base_is_brute_force(spark):
     assert licenses.scan(docs_of(spark, [])).count() == 0
 
 
+def cover_brute(words, template):
+    """The largest share of the template's 3-grams that any stretch of text, an eighth (or twelve words) longer, has."""
+    t = template.split()
+    grams = [tuple(t[i : i + 3]) for i in range(len(t) - 2)]
+    size = len(t) + max(12, (len(t) - 2) // 8)
+    best = 0
+    for a in range(max(1, len(words) - size + 1)):
+        part = words[a : a + size]
+        have = {tuple(part[i : i + 3]) for i in range(len(part) - 2)}
+        best = max(best, sum(g in have for g in grams))
+    return best / len(grams)
+
+
+def test_license_labels_need_distinct_places(spark):
+    rng = random.Random(4)
+    mit, isc = licenses.NOTICES[0][0], licenses.NOTICES[2][0]
+    edited = mit.split()
+    for at in (20, 60, 120):
+        edited[at] = "changed"
+    bsd = licenses.NOTICES[1][0].replace(" redistributions of", " 1 Redistributions of").replace(" redistributions in", " 2. Redistributions in")
+    texts = [
+        "licensed under the " * 5, "under the software is provided " * 9, "Copyright (c) X\n\n" + mit.title() + " end", " ".join(edited), isc, bsd,
+        prose(rng, 300) + " licensed under the gnu general public license version 2 " + prose(rng, 30), "the software is provided as is", "of the license or " * 20,
+    ]
+    got = {r.doc_id: r for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert [got[i].labels for i in range(len(texts))] == ["", "", "mit", "mit", "isc", "bsd", "gpl-2", "", ""]
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        covers = [(cover_brute(words, n), label) for n, label in licenses.NOTICES]
+        # What is labelled is covered well somewhere, by this count; what isn't, is not.
+        assert all(max(c for c, l in covers if l == label) >= licenses.COVER for label in filter(None, got[i].labels.split(",")))
+        assert got[i].labels or max(covers)[0] < licenses.COVER
+        assert got[i].score == 0 if not got[i].labels else 0.6 <= got[i].score <= max(covers)[0] + 1e-9
+    assert got[2].score == 1
+
+
 def url_brute(url):
     if url is None or "://" not in url:
         return "", "", None
