@@ -18,8 +18,8 @@ MAX_HALVES = 30
 MAD_CUT, DEVIATIONS = 20, 3
 #: Soft-clipped shares of a read below which it is proper, and above which it is split.
 PROPER_CLIP, SPLIT_CLIP = 0.20, 0.30
-#: Width of the bins of interval joins, and the bins from which on an interval is joined without them.
-BIN, WIDE = 16_384, 64
+#: Width of the finest bins of interval joins.
+BIN = 16_384
 
 
 @dataclass(frozen=True)

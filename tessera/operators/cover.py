@@ -4,11 +4,17 @@ A set that outweighs every set it shares a name with is taken by the one-by-one
 before any of them, and nothing that happens elsewhere changes its weight: weights only fall,
 and only through names of taken sets. So all such sets are taken in one round, their names are
 used up, the others are weighed anew and the too light ones dropped. The outcome is that of
-the one-by-one procedure, and no connected group of sets has to fit into one task.
+the one-by-one procedure, and no connected group of sets has to fit into one task. Once no more
+than ``FEW`` rows are left, one task finishes them one by one, so that long chains of equal
+sets, which allow few sets a round, take no round each.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +22,8 @@ from tessera.session import cut
 
 #: Digits that weights are compared by, so the order of summing can't decide.
 DIGITS = 9
+#: Rows of members that one task may finish.
+FEW = 100_000
 
 
 def weights(members: DataFrame) -> DataFrame:
@@ -33,29 +41,64 @@ def touched_sets(members: DataFrame) -> DataFrame:
     return members.join(shared_names(members), "name", "left_semi").select("set_id").distinct()
 
 
-def greedy_cover(sets: DataFrame, members: DataFrame, min_support: float, min_reads: int, max_rounds: int = 200) -> DataFrame:
+def one_by_one(members: list[tuple[str, str, int]], min_support: float) -> list[tuple[str, float]]:
+    """The procedure itself: take the heaviest set (of equal ones the smallest id), use its names up, weigh anew."""
+    names: dict[str, dict[str, int]] = {}
+    sets: dict[str, list[str]] = {}
+    for set_id, name, mapcount in members:
+        names.setdefault(set_id, {})[name] = mapcount
+        sets.setdefault(name, []).append(set_id)
+    weigh = lambda s: round(sum(1.0 / m for m in names[s].values()), DIGITS)
+    now = {s: weigh(s) for s in names}
+    heap = [(-w, s) for s, w in now.items()]
+    heapq.heapify(heap)
+    taken = []
+    while heap:
+        w, s = heapq.heappop(heap)
+        if now.get(s) != -w:
+            continue
+        del now[s]
+        if -w < min_support:
+            continue
+        taken.append((s, -w))
+        for name in list(names[s]):
+            for other in sets[name]:
+                if other in now and names[other].pop(name, None) is not None:
+                    now[other] = weigh(other)
+                    heapq.heappush(heap, (-now[other], other))
+    return taken
+
+
+def greedy_cover(sets: DataFrame, members: DataFrame, min_support: float, min_reads: int, few: int = FEW) -> DataFrame:
     """(set_id, raw_reads, ...) and (set_id, name, mapcount) -> (set_id, support) of the sets taken, with the support they were taken with.
 
     Sets with fewer reads or less support go, at first and whenever support falls. Of equal
     sets the smaller set_id is taken first.
     """
     allowed = sets.where(F.col("raw_reads") >= min_reads).select("set_id")
-    live = cut(members.join(allowed, "set_id", "left_semi"))
+    live = members.join(allowed, "set_id", "left_semi").select("set_id", "name", "mapcount")
     taken = None
-    for _ in range(max_rounds):
+    while True:
         heavy = weights(live).where(F.col("support") >= min_support)
         live = cut(live.join(heavy, "set_id").select("set_id", "name", "mapcount", "support"))
-        if live.isEmpty():
-            return taken if taken is not None else live.select("set_id", "support")
+        left = live.count()
+        if left <= few:
+            break
         # Of each name the first set in the order: most support, then smallest id.
         rank = F.struct((-F.col("support")).alias("w"), F.col("set_id").alias("id"))
         first = live.groupBy("name").agg(F.min(rank).alias("best"))
         won = live.join(first, "name").groupBy("set_id", "support").agg(F.min(F.col("best.id") == F.col("set_id")).alias("won")).where("won").select("set_id", "support")
         won = cut(won)
-        taken = won if taken is None else taken.union(won)
+        taken = won if taken is None else cut(taken.union(won))
         used = live.join(won, "set_id", "left_semi").select("name").distinct()
         live = live.join(won, "set_id", "left_anti").join(used, "name", "left_anti").select("set_id", "name", "mapcount")
-    raise RuntimeError(f"the cover did not end in {max_rounds} rounds")
+
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [r for f in frames for r in f.itertuples(index=False, name=None)]
+        yield pd.DataFrame(one_by_one(rows, min_support), columns=["set_id", "support"])
+
+    rest = live.select("set_id", "name", "mapcount").coalesce(1).mapInPandas(finish, "set_id string, support double")
+    return rest if taken is None else taken.union(rest)
 
 
 def calls(sets: DataFrame, taken: DataFrame, all_types: bool = False) -> DataFrame:

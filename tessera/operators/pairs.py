@@ -23,24 +23,32 @@ def filter_reads(reads: DataFrame, limits: DataFrame) -> DataFrame:
 def alternative_hits(reads: DataFrame) -> DataFrame:
     """One row for each hit of the ``xa`` tag (chr,+-pos,cigar,edits;): the read's row with that chr and pos.
 
-    Hits on the reverse strand start a read length earlier; flags stay the primary's.
+    Hits on the reverse strand start a read length earlier; flags stay the primary's. Hits
+    without a place are left out.
     """
     hit = F.split(F.col("hit"), ",")
-    place = F.regexp_extract(hit.getItem(1), "([+-])([0-9]+)", 2)
-    sign = F.regexp_extract(hit.getItem(1), "([+-])([0-9]+)", 1)
+    place = F.regexp_extract(F.get(hit, F.lit(1)), "([+-])([0-9]+)", 2)
+    sign = F.regexp_extract(F.get(hit, F.lit(1)), "([+-])([0-9]+)", 1)
     rows = reads.withColumn("hit", F.explode(F.split("xa", ";"))).where(F.col("hit") != "").where(place != "")
-    rows = rows.select("*", hit.getItem(0).alias("hit_chr"), (place.cast("long") - F.when(sign == "-", F.col("len")).otherwise(0)).alias("hit_pos"))
+    rows = rows.select("*", F.get(hit, F.lit(0)).alias("hit_chr"), (place.cast("long") - F.when(sign == "-", F.col("len")).otherwise(0)).alias("hit_pos"))
     return rows.withColumns({"chr": F.col("hit_chr"), "pos": F.col("hit_pos")}).drop("hit", "hit_chr", "hit_pos")
 
 
 def mate_pairs(reads: DataFrame) -> DataFrame:
-    """Every first with every second mate's row of a fragment: one equi-join on (rg, clone)."""
-    side = lambda n: reads.where(F.col("num") == n).select("rg", "clone", *(F.col(c).alias(f"{c}{n}") for c in ("chr", "pos", "orient", "mapq", "len")))
+    """Every first with every second mate's row of a fragment: one equi-join on (rg, clone).
+
+    Where reads have ``edits`` or ``qual``, pairs have ``edits``, the mean edit distance, and
+    ``quality``, the mean of the mates' mean base qualities.
+    """
+    further = {"edits": F.col("edits"), "quality": X.mean_quality(F.col("qual"))}
+    further = {n: c for n, c in further.items() if {"edits": "edits", "quality": "qual"}[n] in reads.columns}
+    side = lambda n: reads.where(F.col("num") == n).select("rg", "clone", *(F.col(c).alias(f"{c}{n}") for c in ("chr", "pos", "orient", "mapq", "len")), *(c.alias(f"{k}{n}") for k, c in further.items()))
     got = side(1).join(side(2), ["rg", "clone"])
     return got.select(
         "rg", "clone", "chr1", F.col("pos1").alias("start1"), (F.col("pos1") + F.col("len1")).alias("end1"), "orient1",
         "chr2", F.col("pos2").alias("start2"), (F.col("pos2") + F.col("len2")).alias("end2"), "orient2",
         ((X.map_probability(F.col("mapq1")) + X.map_probability(F.col("mapq2"))) / 2).alias("prob"),
+        *(((F.col(f"{k}1") + F.col(f"{k}2")) / 2).alias(k) for k in further),
     )
 
 

@@ -11,7 +11,11 @@ SLOP = 100
 
 
 def match_truth(calls: DataFrame, truth: DataFrame, slop: int = SLOP) -> DataFrame:
-    """(call_id, chr, start, end) and (truth_id, chr, start, end) -> (call_id, truth_id): each call with the first event it overlaps, by start, end and id."""
+    """(call_id, chr, start, end) and (truth_id, chr, start, end) -> (call_id, truth_id): each call with the first event it overlaps, by start, end and id.
+
+    A call is matched by itself: one whose first event is another call's too is a repeat and
+    does not move on to a second event, so the result does not depend on the order of calls.
+    """
     met = overlap_pairs(calls, truth, ["chr"], slop)
     first = F.min(F.struct("b.start", "b.end", "b.truth_id")).alias("t")
     return met.groupBy(F.col("a.call_id").alias("call_id")).agg(first).select("call_id", "t.truth_id")
@@ -25,6 +29,11 @@ def precision_recall(calls: DataFrame, truth: DataFrame, slop: int = SLOP) -> Da
     return totals.select("n_calls", "n_truth", "n_found", ratio("n_found", "n_calls").alias("precision"), ratio("n_found", "n_truth").alias("recall"))
 
 
+def counts_by_type(events: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n): events or sets for each chromosome or type."""
+    return events.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
 def support_matrix(matches: DataFrame, truth: DataFrame, callers: list[str]) -> DataFrame:
     """(caller, truth_id) hits -> a row for each event and a column of hits for each caller."""
     counts = matches.groupBy("truth_id").pivot("caller", callers).count()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import ClusterOptions, PairOptions
 from tessera.operators import cluster, cover, intervals, pairs, splits, stats
-from tessera.session import materialize
+from tessera.session import cut, materialize
 
 
 def detect(reads: DataFrame, options: PairOptions) -> dict[str, DataFrame]:
@@ -17,8 +17,8 @@ def detect(reads: DataFrame, options: PairOptions) -> dict[str, DataFrame]:
     row a read group and travel to the tasks.
     """
     r = reads if options.use_read_groups else reads.withColumn("rg", F.lit("D"))
-    limits = stats.thresholds(stats.first_of_group(stats.usable_inserts(r), options.sample, "rg", "chr", "pos", "clone", "num", "flag", "tlen", "cigar"), options.max_distance)
-    flagged = pairs.split_and_anchor_flags(pairs.filter_reads(r, limits))
+    limits = cut(stats.thresholds(stats.first_of_group(stats.usable_inserts(r), options.sample, "rg", "chr", "pos", "clone", "num", "flag", "tlen", "cigar"), options.max_distance))
+    flagged = materialize(pairs.split_and_anchor_flags(pairs.filter_reads(r, limits)))
     mapped = flagged.unionByName(pairs.alternative_hits(flagged))
     found = pairs.discordant(pairs.classify(pairs.mate_pairs(mapped), limits)).withColumn("name", F.col("clone"))
     return {
@@ -36,7 +36,8 @@ def evidence(discordant: DataFrame, anchors: DataFrame, halves: DataFrame, gaps:
         both = both.where(F.col("chr") == options.chromosome)
     if gaps is None:
         return both
-    keyed = both.withColumn("_id", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in both.columns]))
+    # The ids are those of the written rows.
+    keyed = materialize(both.withColumn("_id", F.monotonically_increasing_id()))
     return intervals.without_overlap(keyed, gaps, ["chr"], "_id").drop("_id")
 
 

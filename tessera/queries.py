@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from tessera.config import ANCHOR_REACH, MAD_CUT, ClusterOptions
 from tessera.functions import expr as X
 from tessera.operators import cluster, cover, intervals, pairs, score, splits, stats
 from tessera.plans import events
+from tessera.session import checkpoint_dir, cut, materialize
+from tessera.sources import files
 from tessera.sources import tables as T
 
 SAMPLE, MAX_DISTANCE, HALF = 2000, 60_000, 40
@@ -78,7 +81,8 @@ def _samples(r: DataFrame) -> DataFrame:
 
 
 def _limits(r: DataFrame) -> DataFrame:
-    return stats.thresholds(_samples(r), MAX_DISTANCE)
+    """A row a read group, written once: each use would sort the samples anew."""
+    return cut(stats.thresholds(cut(_samples(r)), MAX_DISTANCE))
 
 
 def _classified(r: DataFrame) -> DataFrame:
@@ -86,11 +90,12 @@ def _classified(r: DataFrame) -> DataFrame:
 
 
 def _discordant(r: DataFrame) -> DataFrame:
-    return pairs.discordant(_classified(r)).withColumn("name", F.col("clone"))
+    """Written once: counts, islands and joins read it several times."""
+    return materialize(pairs.discordant(_classified(r)).drop("edits", "quality").withColumn("name", F.col("clone")))
 
 
 def _evidence(r: DataFrame) -> DataFrame:
-    return pairs.pair_evidence(pairs.usable_pairs(_discordant(r), ClusterOptions().min_probability))
+    return materialize(pairs.pair_evidence(pairs.usable_pairs(_discordant(r), ClusterOptions().min_probability)))
 
 
 def _islands(r: DataFrame) -> DataFrame:
@@ -154,7 +159,29 @@ def xa_explode(spark, d):
 
 @query("mate_pairs", "SELECT rg, clone, chr1, start1, end1, orient1, chr2, start2, end2, orient2, round(prob, 9) AS prob FROM mates")
 def mate_pairs(spark, d):
-    return pairs.mate_pairs(T.reads(spark, d)).withColumn("prob", F.round("prob", 9))
+    return pairs.mate_pairs(T.reads(spark, d)).withColumn("prob", F.round("prob", 9)).drop("edits", "quality")
+
+
+@query("pair_quality", """, q AS (SELECT rg, clone, num, edits, CASE WHEN length(qual) > 0 THEN list_sum(list_transform(regexp_extract_all(qual, '(?s).'), lambda c: unicode(c))) / length(qual) - 33 END AS quality FROM reads)
+  SELECT rg, (a.edits + b.edits) / 2 AS edits, round((a.quality + b.quality) / 2, 6) AS quality, count(*) AS n FROM q a JOIN q b USING (rg, clone) WHERE a.num = 1 AND b.num = 2 GROUP BY ALL""")
+def pair_quality(spark, d):
+    m = pairs.mate_pairs(T.reads(spark, d))
+    return m.groupBy("rg", "edits", F.round("quality", 6).alias("quality")).agg(F.count("*").alias("n"))
+
+
+@query("pairs_file", "SELECT clone AS name, chr1, start1, end1, orient1, chr2, start2, end2, orient2, svtype, round(prob, 9) AS prob FROM discs")
+def pairs_file(spark, d):
+    """Discordant pairs written as text, a folder a read group, and read again."""
+    path = f"{checkpoint_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    files.write_pairs(_discordant(T.reads(spark, d)), path)
+    got = files.read_pairs(spark, path)
+    return got.select("name", "chr1", "start1", "end1", "orient1", "chr2", "start2", "end2", "orient2", "svtype", F.round("prob", 9).alias("prob"))
+
+
+@query("sets_per_chromosome", "SELECT chr, family, count(*) AS n FROM merged GROUP BY chr, family")
+def sets_per_chromosome(spark, d):
+    e = _evidence(T.reads(spark, d)).withColumn("family", X.type_family(F.col("svtype")))
+    return score.counts_by_type(intervals.merge(e, ["chr", "family"]), ["chr", "family"])
 
 
 @query("sv_class", "SELECT chr1 AS chr, svtype, count(*) AS n, min(start1) AS first, max(end2) AS last FROM classed GROUP BY 1, 2")

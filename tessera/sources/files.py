@@ -25,7 +25,7 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment lines of SAM text: headers, short lines, rows under nine fields and unequal sequence and quality are left out."""
+    """Alignment lines of SAM text: headers, short lines, rows under eleven fields and unequal sequence and quality are left out."""
     f = F.split("value", "\t")
     rows = spark.read.text(path).where((F.length("value") >= 10) & ~F.col("value").startswith("@")).select(f.alias("f")).where(F.size("f") >= 11)
     at = lambda i, t: F.get("f", F.lit(i)).try_cast(t)
@@ -40,14 +40,14 @@ def as_reads(alignments: DataFrame, use_read_groups: bool = True) -> DataFrame:
 
     tag = lambda key: F.regexp_extract(F.coalesce(F.get(F.filter("tags", lambda t: t.startswith(f"{key}:")), F.lit(0)), F.lit("")), rf"^{key}:.:(.*)$", 1)
     rg = F.when(tag("RG") != "", tag("RG")).otherwise("D") if use_read_groups else F.lit("D")
-    d = alignments.select("*", rg.alias("rg"), X.clone_name(F.col("name")).alias("clone"), X.mate_number(F.col("name"), F.col("flag")).cast("long").alias("num"), tag("XA").alias("xa"))
+    d = alignments.select("*", rg.alias("rg"), X.clone_name(F.col("name")).alias("clone"), X.mate_number(F.col("name"), F.col("flag")).cast("long").alias("num"), tag("XA").alias("xa"), tag("NM").try_cast("long").alias("edits"))
     return d.withColumns({"orient": F.when(X.has_bits(F.col("flag"), X.REVERSE), "R").otherwise("F"), "len": F.length("seq").cast("long"), "mapq": F.col("mapq").cast("long"), "tlen": F.coalesce("tlen", F.lit(0))})
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
-    """One folder a read group, in the layout of schemas.PAIRS."""
+    """One folder a read group, in the layout of schemas.PAIRS; fields that pairs lack are empty."""
     given = set(pairs.columns)
-    cols = [F.col(f.name) if f.name in given else F.lit(0).cast(f.dataType).alias(f.name) for f in schemas.PAIRS]
+    cols = [F.col(f.name) if f.name in given else F.lit(0 if f.name == "concordant" else None).cast(f.dataType).alias(f.name) for f in schemas.PAIRS]
     pairs.select("rg", *cols).write.mode("overwrite").partitionBy("rg").csv(path, sep="\t")
 
 

@@ -32,6 +32,7 @@ READS = {
     "cigar": "CASE WHEN l_linenumber % 2 = 0 THEN CONCAT(CAST(l_partkey % 50 AS STRING), 'S', CAST(100 - l_partkey % 50 AS STRING), 'M')"
     " ELSE CONCAT(CAST(l_partkey % 25 AS STRING), 'S', CAST(100 - l_partkey % 25 - l_suppkey % 20 AS STRING), 'M', CAST(l_suppkey % 20 AS STRING), 'S') END",
     "xa": "CASE WHEN rn = 1 THEN CONCAT('chr', CAST(l_partkey % 5 AS STRING), ',+', CAST(l_partkey * 37 AS STRING), ',100M,2;chr', CAST(l_suppkey % 5 AS STRING), ',-', CAST(l_suppkey * 991 + 100 AS STRING), ',100M,1;') ELSE '' END",
+    "edits": "CAST(l_partkey % 4 AS BIGINT)",
     "seq": "SUBSTRING(REPEAT('ACGT', 30), 1, CASE WHEN l_linenumber = 7 THEN 75 ELSE 100 - CAST(l_suppkey % 7 AS INT) END)",
     "qual": "SUBSTRING(REPEAT('IIHGF', 30), 1, CASE WHEN l_linenumber = 7 THEN 75 ELSE 100 - CAST(l_suppkey % 7 AS INT) END + CASE WHEN l_partkey % 97 = 0 THEN 1 ELSE 0 END)",
 }

@@ -17,7 +17,7 @@ def test_pairs_round_trip(spark, tmp_path):
     d = spark.createDataFrame(rows, "rg string, name string, chr1 string, start1 long, end1 long, orient1 string, chr2 string, start2 long, end2 long, orient2 string, svtype string, prob double")
     files.write_pairs(d, str(tmp_path / "p"))
     got = files.read_pairs(spark, str(tmp_path / "p")).first()
-    assert (got.name, got.start2, got.svtype, got.prob, got.concordant) == ("c1", 5, "deletion", 0.9, 0)
+    assert (got.name, got.start2, got.svtype, got.prob, got.concordant, got.edits) == ("c1", 5, "deletion", 0.9, 0, None)
     (tmp_path / "z.tsv.gz").write_bytes(gzip.compress(b"a\tb\n" + b"\t".join([b"n", b"c", b"1", b"2", b"F", b"c", b"3", b"4", b"R", b"deletion", b"0", b"1", b"0.5", b"0"]) + b"\n"))
     assert [r.name for r in files.read_pairs(spark, str(tmp_path / "z.tsv.gz")).collect()] == ["n"]
 

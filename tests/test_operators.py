@@ -10,6 +10,7 @@ from tessera.config import ClusterOptions, PairOptions
 from tessera.functions import expr as X
 from tessera.operators import cluster, components, cover, intervals, pairs, score, splits, stats
 from tessera.plans import events
+from tessera.queries import QUERIES
 
 
 def one(spark, column, **values):
@@ -94,6 +95,11 @@ def test_alternative_hits(spark):
     assert [(r.chr, r.pos) for r in pairs.alternative_hits(d).collect()] == [("chr2", 100), ("chr3", 150)]
 
 
+def test_malformed_alternative_hits(spark):
+    d = spark.createDataFrame([("c", "chr1", 5, 50, x) for x in ("chr1;", ";", "chr1,;chr2,+7,50M,0;", "chr1,x;", None)], "clone string, chr string, pos long, len long, xa string")
+    assert [(r.chr, r.pos) for r in pairs.alternative_hits(d).collect()] == [("chr2", 7)]
+
+
 ANCHOR = "clone string, chr string, start long, forward boolean, prob double"
 HALF = "clone string, chr string, start long, end long, forward boolean, is_first boolean"
 
@@ -275,16 +281,33 @@ def greedy_brute(sets, members, support, reads):
         used |= set(left.pop(top))
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_parallel_cover_is_the_greedy_one(spark, seed):
+@pytest.mark.parametrize("few", [0, 20, 10_000])
+@pytest.mark.parametrize("seed", range(3))
+def test_parallel_cover_is_the_greedy_one(spark, seed, few):
     rng = random.Random(seed)
     sets = [(f"s{i:02}", rng.randrange(1, 5)) for i in range(40)]
     members = sorted({(s, f"n{rng.randrange(60)}") for s, _ in sets for _ in range(rng.randrange(1, 8))})
     members = [(s, n, 1 + sum(map(ord, n)) % 3) for s, n in members]
-    got = cover.greedy_cover(spark.createDataFrame(sets, "set_id string, raw_reads long"), spark.createDataFrame(members, "set_id string, name string, mapcount long"), 1.0, 2).collect()
+    got = cover.greedy_cover(spark.createDataFrame(sets, "set_id string, raw_reads long"), spark.createDataFrame(members, "set_id string, name string, mapcount long"), 1.0, 2, few=few).collect()
     assert {r.set_id: r.support for r in got} == greedy_brute(sets, members, 1.0, 2)
 
 
+def test_cover_of_a_long_chain_ends(spark):
+    sets = [(f"s{i:04}", 2) for i in range(450)]
+    members = [(s, f"n{i + k}", 1) for i, (s, _) in enumerate(sets) for k in (0, 1)]
+    frames = spark.createDataFrame(sets, "set_id string, raw_reads long"), spark.createDataFrame(members, "set_id string, name string, mapcount long")
+    got = {r.set_id: r.support for r in cover.greedy_cover(*frames, 1.0, 2).collect()}
+    assert got == greedy_brute(sets, members, 1.0, 2) and len(got) > 200
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4, 5])
+def test_one_by_one_is_brute_force(seed):
+    rng = random.Random(seed)
+    members = sorted({(f"s{rng.randrange(60):02}", f"n{rng.randrange(80)}") for _ in range(250)})
+    members = [(s, n, 1 + sum(map(ord, n)) % 3) for s, n in members]
+    assert dict(cover.one_by_one(members, 1.0)) == greedy_brute([(s, 9) for s in {m[0] for m in members}], members, 1.0, 2)
+
+
 def test_cover_drops_the_second_of_two(spark):
     sets = spark.createDataFrame([("a", 2), ("b", 2)], "set_id string, raw_reads long")
     members = spark.createDataFrame([("a", "x", 1), ("a", "y", 1), ("b", "y", 1), ("b", "z", 1)], "set_id string, name string, mapcount long")
@@ -344,3 +367,9 @@ def test_stream_of_pairs(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert {(r.svtype, r.n) for r in spark.table("counts").collect()} == {("deletion", 10)}
+
+
+@pytest.mark.parametrize("name", ["gap_anti", "merge_islands", "shared_names"])
+def test_shared_lineage_is_read_once(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "lineitem" not in plan and plan.count("FileScan") <= 14
