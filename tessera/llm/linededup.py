@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -182,13 +182,26 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = fingerprints(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"), min_words)
     dealt = found.withColumn("salt", F.hash("doc_id").bitwiseAND(SALTS - 1)).repartition("fp", "salt")
     # With used, both readers of the exchange need the same columns, so it is made once.
-    parts = dealt.groupBy("fp", "salt").agg(F.count("*").alias("n"), F.max(F.size("h") + F.col("at") + F.col("back")).alias("used"))
-    shared = parts.withColumn("all", F.sum("n").over(Window.partitionBy("fp"))).where("all > 1 and used >= 0").select("fp", "salt")
-    kept = materialize(dealt.join(shared, ["fp", "salt"]).select("fp", "doc_id", "at", "back", "h"))
-    each = kept.select("fp", "doc_id", "at", "back", F.explode(F.expr(f"transform(slice(h, 1, size(h) - 1), (x, i) -> named_struct('a', x, 'b', get(h, i + 1), 'off', back - {STEP} * i))")).alias("w"))
-    each = each.select(F.xxhash64("fp", "w.a", "w.b", "w.off").alias("key"), "doc_id", (F.col("at") - F.col("w.off")).alias("start"))
+    shared = dealt.groupBy("fp").agg(F.count("*").alias("n"), F.expr("bit_or(shiftleft(1L, salt))").alias("salts"), F.max(F.size("h") + F.col("at") + F.col("back")).alias("used"))
+    shared = shared.where("n > 1 and used >= 0").select("fp", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> getbit(salts, s) = 1)")).alias("salt"))
+    kept = dealt.join(shared.hint("shuffle_hash"), ["fp", "salt"]).select("fp", "doc_id", "at", "back", "h")
+    each = materialize(kept.mapInArrow(_single, "key long, doc_id long, start int"))
     first = each.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final")).where("first < final").select("key", "first")
-    return each.join(first, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    return each.join(first.hint("shuffle_hash"), "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``fingerprints`` -> (key, doc_id, start): a row for each window, known by its fingerprint, its place to it and its two hashes."""
+    for b in batches:
+        fp, doc, at, back, h = b.columns
+        cuts, h = h.offsets.to_numpy().astype(np.int64), h.values.to_numpy().view(np.uint32).astype(np.uint64)
+        sizes = np.diff(cuts) - 1
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        one = cuts[:-1][row] + place
+        off = back.to_numpy()[row] - STEP * place
+        key = _mix(_mix(fp.to_numpy().view(np.uint64)[row] + _mix((h[one] << np.uint64(32)) | h[one + 1])) + off.astype(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc.to_numpy()[row]), pa.array((at.to_numpy()[row] - off).astype(np.int32))], ["key", "doc_id", "start"])
 
 
 def removed(words: Words, starts: list, window: int) -> list[tuple[int, int, int, int]]:
