@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.text import hash_share, load_documents, space_words
 from tessera.operators.components import connected_components
-from tessera.session import cut
+from tessera.session import cut, materialize
 
 #: Shingles whose bits are counted at once; bounds memory on very long texts.
 BLOCK = 1 << 15
@@ -38,15 +38,6 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.fromiter((digest(s, 42) for s in shingles), np.uint64, max(1, len(words) - k + 1))
 
 
-def _remix(h: np.ndarray, lane: int) -> np.ndarray:
-    """Other, independent bits of the same hashes, for fingerprints beyond the first."""
-    if lane == 0:
-        return h
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * lane)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def majority_bits(h: np.ndarray) -> int:
     """The signed 64-bit integer whose bits are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
@@ -56,8 +47,8 @@ def majority_bits(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1) -> DataFrame:
-    """(doc_id, text) -> (doc_id, f0, f1, ...): one signed 64-bit SimHash for each lane.
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """(doc_id, text) -> (doc_id, f0): the signed 64-bit SimHash.
 
     A text with fewer words than a shingle counts as one shingle; null, empty and blank
     texts have the fingerprint 0.
@@ -65,11 +56,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [shingle_hashes(t.as_py(), shingle) for t in b.column(1)]
-            cols = [pa.array([majority_bits(_remix(h, i)) for h in rows], pa.int64()) for i in range(lanes)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *cols], ["doc_id", *(f"f{i}" for i in range(lanes))])
+            bits = pa.array([majority_bits(shingle_hashes(t.as_py(), shingle)) for t in b.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), bits], ["doc_id", "f0"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"f{i} long" for i in range(lanes)))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, f0 long")
 
 
 def _segments(count: int) -> list[tuple[int, int]]:
@@ -85,74 +75,101 @@ def _mask(lo: int, hi: int) -> Column:
     return _long((1 << hi) - (1 << lo))
 
 
-def signatures(nodes: DataFrame, segments: int, lanes: int) -> DataFrame:
-    """A row for each (lane, wiped-out bit): ``sig`` has the slot, 64 * lane + bit, from bit 40 on and the rest of the segment below."""
+def signatures(nodes: DataFrame, segments: int) -> DataFrame:
+    """A row for each wiped-out bit: ``sig`` has the bit's number from bit 40 on and the rest of its segment below."""
     out = []
-    for lane in range(lanes):
-        for lo, hi in _segments(segments):
-            for bit in range(lo, hi):
-                rest = F.shiftrightunsigned(F.col(f"f{lane}").bitwiseAND(_long((1 << hi) - (1 << lo) - (1 << bit))), lo)
-                out.append(rest.bitwiseOR(F.lit((64 * lane + bit) << 40)))
+    for lo, hi in _segments(segments):
+        for bit in range(lo, hi):
+            rest = F.shiftrightunsigned(F.col("f0").bitwiseAND(_long((1 << hi) - (1 << lo) - (1 << bit))), lo)
+            out.append(rest.bitwiseOR(F.lit(bit << 40)))
     return nodes.select("*", F.explode(F.array(*out)).alias("sig"))
 
 
-def _first_shared(segments: int, lanes: int) -> Column:
-    """Whether no earlier slot is shared too, for two rows a and b that share a signature."""
-    checks = []
-    earlier = F.lit(True)
-    slot = F.shiftright("a.sig", 40)
-    for lane in range(lanes):
-        x = F.col(f"a.f{lane}").bitwiseXOR(F.col(f"b.f{lane}"))
-        for lo, hi in _segments(segments):
-            inside = x.bitwiseAND(_mask(lo, hi))
-            here = (slot >= 64 * lane + lo) & (slot < 64 * lane + hi)
-            checks.append(here & earlier & ((inside != 0) | (slot == 64 * lane + lo)))
-            earlier = earlier & (F.bit_count(inside) >= 2)
-    whole = checks[0]
-    for c in checks[1:]:
-        whole = whole | c
-    return whole
-
+def _first_shared(segments: int) -> Column:
+    """Whether no earlier signature is shared too, for two rows a and b that share one."""
+    x = F.col("a.f0").bitwiseXOR(F.col("b.f0"))
+    bit = F.shiftright("a.sig", 40)
+    first, earlier = F.lit(False), F.lit(True)
+    for lo, hi in _segments(segments):
+        inside = x.bitwiseAND(_mask(lo, hi))
+        first = first | ((bit >= lo) & (bit < hi) & earlier & ((inside != 0) | (bit == lo)))
+        earlier = earlier & (F.bit_count(inside) >= 2)
+    return first
 
-def _pieces(count: int) -> list[Column]:
-    return [_mask(lo, hi) for lo, hi in _segments(count)]
 
+def leader_links(nodes: DataFrame, max_bits: int, segments: int) -> DataFrame:
+    """(node, f0) -> (u, v): each node with two leaders of each of its signatures, if within ``max_bits`` bits.
 
-def similar_pairs(nodes: DataFrame, max_bits: int, segments: int, lanes: int = 1, hot: int = HOT) -> DataFrame:
-    """(node, f0, ...) with distinct fingerprints -> (a, b) node pairs within ``max_bits`` bits in all lanes together.
-
-    With one lane and ``segments > max_bits / 2`` every such pair is found. Signatures that
-    more than ``hot`` nodes share are joined on a second key too: of ``max_bits + 1`` pieces
-    of the fingerprint, a pair within the distance has one in common.
+    At most two rows a signature of a node, however many share it. The leaders are the smallest
+    node and the one of smallest hash, so that a leader that lies apart does not hide a group.
+    """
+    keys = signatures(nodes.select("node", "f0"), segments)
+    two = keys.groupBy("sig").agg(F.min(F.struct("node", "f0")).alias("x"), F.min(F.struct(F.xxhash64("node").alias("r"), "node", "f0")).alias("y"), F.count("*").alias("n"))
+    two = two.where("n > 1").select("sig", F.array("x", F.struct("y.node", "y.f0")).alias("leaders"))
+    met = keys.join(two, "sig").select("node", "f0", F.explode("leaders").alias("l"))
+    near = F.bit_count(F.col("f0").bitwiseXOR(F.col("l.f0"))) <= max_bits
+    return met.where((F.col("node") != F.col("l.node")) & near).select(F.greatest("node", "l.node").alias("u"), F.least("node", "l.node").alias("v")).distinct()
+
+
+def similar_pairs(nodes: DataFrame, max_bits: int, segments: int, hot: int = HOT) -> DataFrame:
+    """(node, f0) with distinct fingerprints -> (a, b) node pairs within ``max_bits`` bits.
+
+    With ``segments > max_bits / 2`` every such pair is found. Where nodes have ``component`` and
+    ``size`` (its number of nodes), only pairs of two components are compared: of the rows with a
+    signature, those in the largest component there meet the others but not each other, so a
+    group that is linked already costs no pairs. Signatures that more than ``hot`` nodes share
+    are joined on a second key too: of ``max_bits + 1`` pieces of the fingerprint, a pair within
+    the distance has one in common.
     """
-    cols = ["node", *(f"f{i}" for i in range(lanes))]
-    keys = signatures(nodes.select(*cols), segments, lanes)
+    known = "component" in nodes.columns
+    cols = ["node", "f0", *(["component", "minor"] if known else [])]
     apart = F.bit_count(F.col("a.f0").bitwiseXOR(F.col("b.f0")))
-    for i in range(1, lanes):
-        apart = apart + F.bit_count(F.col(f"a.f{i}").bitwiseXOR(F.col(f"b.f{i}")))
-    verified = (apart <= max_bits) & _first_shared(segments, lanes)
+    verified = (apart <= max_bits) & _first_shared(segments)
+    if known:
+        keys = signatures(nodes.select("node", "f0", "component", "size"), segments)
+        groups = keys.groupBy("sig").agg(F.max(F.struct("size", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
+        keys = materialize(keys.join(groups.select("sig", "n", F.col("top.component").alias("major")), "sig").select("node", "f0", "component", (F.col("component") != F.col("major")).alias("minor"), "sig", "n"))
+        verified = verified & (F.col("a.component") != F.col("b.component")) & (~F.col("b.minor") | (F.col("a.node") < F.col("b.node")))
+    else:
+        keys = signatures(nodes.select(*cols), segments)
+        keys = keys.join(keys.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "sig")
+        verified = verified & (F.col("a.node") < F.col("b.node"))
 
-    def meet(left: DataFrame, on: Column) -> DataFrame:
-        a, b = left.alias("a"), left.alias("b")
-        return a.join(b, on & (F.col("a.node") < F.col("b.node")) & verified).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    def meet(rows: DataFrame, on: Column) -> DataFrame:
+        a, b = (rows.where("minor") if known else rows).alias("a"), rows.alias("b")
+        return a.join(b, on & verified).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
     same = F.col("a.sig") == F.col("b.sig")
-    busy = cut(keys.groupBy("sig").count().where(F.col("count") > hot).select("sig"))
-    if busy.isEmpty():
-        return meet(keys, same)
-    cold = meet(keys.join(busy, "sig", "left_anti").select(*cols, "sig"), same)
-    pieces = [F.struct(F.lit(lane * 64 + p).alias("p"), F.col(f"f{lane}").bitwiseAND(m).alias("q")) for lane in range(lanes) for p, m in enumerate(_pieces(max_bits // lanes + 1))]
-    warm = keys.join(busy, "sig", "left_semi").select(*cols, "sig", F.explode(F.array(*pieces)).alias("pq")).select(*cols, "sig", "pq.p", "pq.q")
-    first = F.lit(False)
-    earlier = F.lit(True)
-    for lane in range(lanes):
-        x = F.col(f"a.f{lane}").bitwiseXOR(F.col(f"b.f{lane}"))
-        for p, m in enumerate(_pieces(max_bits // lanes + 1)):
-            first = first | ((F.col("a.p") == lane * 64 + p) & earlier)
-            earlier = earlier & (x.bitwiseAND(m) != 0)
+    cold = meet(keys.where(F.col("n") <= hot).select(*cols, "sig"), same)
+    pieces = [_mask(lo, hi) for lo, hi in _segments(max_bits + 1)]
+    pq = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.col("f0").bitwiseAND(m).alias("q")) for p, m in enumerate(pieces))))
+    warm = keys.where(F.col("n") > hot).select(*cols, "sig", pq.alias("pq")).select(*cols, "sig", "pq.p", "pq.q")
+    x = F.col("a.f0").bitwiseXOR(F.col("b.f0"))
+    first, earlier = F.lit(False), F.lit(True)
+    for p, m in enumerate(pieces):
+        first = first | ((F.col("a.p") == p) & earlier)
+        earlier = earlier & (x.bitwiseAND(m) != 0)
     return cold.union(meet(warm, same & (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q")) & first))
 
 
+def linked_fingerprints(nodes: DataFrame, max_bits: int, segments: int, hot: int = HOT) -> DataFrame:
+    """(node, f0) with distinct fingerprints -> (node, component): the smallest node that links of ``max_bits`` bits lead to.
+
+    Leaders' links come first and their components are contracted; what is left to compare are
+    pairs of two components, of which each is passed on once. So a group of near copies is never
+    written out in pairs, and no link is lost.
+    """
+    first = cut(connected_components(cut(leader_links(nodes, max_bits, segments))))
+    sizes = first.groupBy("component").agg(F.count("*").alias("size"))
+    led = first.join(sizes, "component").select(F.col("vertex").alias("node"), "component", "size")
+    named = cut(nodes.join(led, "node", "left").select("node", "f0", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1).cast("long")).alias("size")))
+    pairs = similar_pairs(named, max_bits, segments, hot)
+    of = lambda side: named.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b").select(F.greatest("a_component", "b_component").alias("u"), F.least("a_component", "b_component").alias("v")).distinct()
+    again = connected_components(pairs).select(F.col("vertex").alias("component"), F.col("component").alias("joined"))
+    return named.join(again, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, text) -> (doc_id, fingerprint, component_id), a row for each input row.
 
@@ -163,10 +180,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     Extra columns are ignored.
     """
     found = cut(fingerprints(docs, shingle))
-    nodes = cut(found.groupBy("f0").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    pairs = similar_pairs(nodes, max_bits, max_bits // 2 + 1)
-    linked = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = nodes.join(linked.select(F.col("vertex").alias("node"), "component"), "node", "left").select("f0", F.coalesce("component", "node").alias("component_id"))
+    # As many parts as the input has: each row is spread to 64 next.
+    parts = max(found.rdd.getNumPartitions(), 1)
+    nodes = cut(found.groupBy("f0").agg(F.min("doc_id").alias("node")).where("node is not null").repartition(parts, "f0"))
+    linked = linked_fingerprints(nodes, max_bits, max_bits // 2 + 1)
+    named = nodes.join(linked, "node").select("f0", F.col("component").alias("component_id"))
     return found.join(named, "f0", "left").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -80,6 +80,30 @@ def test_simhash_hot_signatures_lose_no_link(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("hot", [1, 20, 10_000])
+def test_simhash_contracted_links_are_brute_force(spark, hot):
+    rng = random.Random(14)
+    values = set()
+    for _ in range(6):
+        # Chains of near copies, each a few bits from one before it.
+        chain = [rng.getrandbits(64)]
+        for _ in range(60):
+            chain.append(rng.choice(chain) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 7))))
+        values |= set(chain)
+    values |= {rng.getrandbits(64) for _ in range(60)}
+    values = list(values)
+    rng.shuffle(values)
+    rows = [(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)]
+    nodes = spark.createDataFrame(rows, "node long, f0 long")
+    links = [(a, b) for a, x in enumerate(values) for b in range(a) if (x ^ values[b]).bit_count() <= 4]
+    got = {r.node: r.component for r in simhash.linked_fingerprints(nodes, 4, 3, hot=hot).collect()}
+    assert got == components_brute(list(range(len(values))), links)
+    # Within a bundle of copies that leaders link, no pair is left.
+    bundle = [values[0], *(values[0] ^ 1 << b for b in range(40))]
+    named = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v, 0, 41) for i, v in enumerate(bundle)], "node long, f0 long, component long, size long")
+    assert simhash.similar_pairs(named, 4, 3, hot=hot).count() == 0
+
+
 def test_simhash_empty_repeated_and_null_ids(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
     got = simhash.near_duplicates(docs_of(spark, ["a b c d e", "a b c d e", "x y"], [7, 7, None])).collect()
