@@ -105,51 +105,49 @@ def leader_links(nodes: DataFrame, max_bits: int, segments: int) -> DataFrame:
     """
     keys = signatures(nodes.select("node", "f0"), segments)
     two = keys.groupBy("sig").agg(F.min(F.struct("node", "f0")).alias("x"), F.min(F.struct(F.xxhash64("node").alias("r"), "node", "f0")).alias("y"), F.count("*").alias("n"))
-    two = two.where("n > 1").select("sig", F.array("x", F.struct("y.node", "y.f0")).alias("leaders"))
-    met = keys.join(two, "sig").select("node", "f0", F.explode("leaders").alias("l"))
-    near = F.bit_count(F.col("f0").bitwiseXOR(F.col("l.f0"))) <= max_bits
-    return met.where((F.col("node") != F.col("l.node")) & near).select(F.greatest("node", "l.node").alias("u"), F.least("node", "l.node").alias("v")).distinct()
+    two = two.where("n > 1").select("sig", "x", F.struct("y.node", "y.f0").alias("y"))
+    near = lambda leader: (F.col("a.node") != F.col(f"{leader}.node")) & (F.bit_count(F.col("a.f0").bitwiseXOR(F.col(f"{leader}.f0"))) <= max_bits)
+    # Distances are part of the join's condition: signatures that texts share by chance give no rows.
+    met = keys.alias("a").join(two.alias("t"), (F.col("a.sig") == F.col("t.sig")) & (near("t.x") | near("t.y")))
+    met = met.select("a.node", F.explode(F.filter(F.array(F.when(near("t.x"), F.col("t.x.node")), F.when(near("t.y"), F.col("t.y.node"))), lambda v: v.isNotNull())).alias("leader"))
+    return met.select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct()
 
 
 def similar_pairs(nodes: DataFrame, max_bits: int, segments: int, hot: int = HOT) -> DataFrame:
     """(node, f0) with distinct fingerprints -> (a, b) node pairs within ``max_bits`` bits.
 
     With ``segments > max_bits / 2`` every such pair is found. Where nodes have ``component`` and
-    ``size`` (its number of nodes), only pairs of two components are compared: of the rows with a
-    signature, those in the largest component there meet the others but not each other, so a
-    group that is linked already costs no pairs. Signatures that more than ``hot`` nodes share
-    are joined on a second key too: of ``max_bits + 1`` pieces of the fingerprint, a pair within
-    the distance has one in common.
+    ``size`` (its number of nodes), only pairs of two components pass. Signatures that more than
+    ``hot`` nodes share are joined on a second key too: of ``max_bits + 1`` pieces of the
+    fingerprint, a pair within the distance has one in common. There the nodes of the largest
+    component meet the others but not each other, so a group that is linked already costs no
+    comparisons in pairs.
     """
-    known = "component" in nodes.columns
-    cols = ["node", "f0", *(["component", "minor"] if known else [])]
-    apart = F.bit_count(F.col("a.f0").bitwiseXOR(F.col("b.f0")))
-    verified = (apart <= max_bits) & _first_shared(segments)
-    if known:
-        keys = signatures(nodes.select("node", "f0", "component", "size"), segments)
-        groups = keys.groupBy("sig").agg(F.max(F.struct("size", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-        keys = materialize(keys.join(groups.select("sig", "n", F.col("top.component").alias("major")), "sig").select("node", "f0", "component", (F.col("component") != F.col("major")).alias("minor"), "sig", "n"))
-        verified = verified & (F.col("a.component") != F.col("b.component")) & (~F.col("b.minor") | (F.col("a.node") < F.col("b.node")))
-    else:
-        keys = signatures(nodes.select(*cols), segments)
-        keys = keys.join(keys.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "sig")
-        verified = verified & (F.col("a.node") < F.col("b.node"))
+    if "component" not in nodes.columns:
+        nodes = nodes.select("node", "f0", F.col("node").alias("component"), F.lit(1).alias("size"))
+    cols = ["node", "f0", "component", "sig"]
+    keys = signatures(nodes.select("node", "f0", "component", "size"), segments)
+    verified = (F.bit_count(F.col("a.f0").bitwiseXOR(F.col("b.f0"))) <= max_bits) & _first_shared(segments) & (F.col("a.component") != F.col("b.component"))
 
-    def meet(rows: DataFrame, on: Column) -> DataFrame:
-        a, b = (rows.where("minor") if known else rows).alias("a"), rows.alias("b")
-        return a.join(b, on & verified).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    def meet(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+        return left.alias("a").join(right.alias("b"), on & verified).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
 
     same = F.col("a.sig") == F.col("b.sig")
-    cold = meet(keys.where(F.col("n") <= hot).select(*cols, "sig"), same)
+    once = F.col("a.node") < F.col("b.node")
+    busy = cut(keys.groupBy("sig").agg(F.count("*").alias("n"), F.max(F.struct("size", "component")).alias("top")).where(F.col("n") > hot).select("sig", F.col("top.component").alias("major")))
+    if busy.isEmpty():
+        return meet(keys.select(*cols), keys.select(*cols), same & once)
+    calm = keys.join(busy, "sig", "left_anti").select(*cols)
     pieces = [_mask(lo, hi) for lo, hi in _segments(max_bits + 1)]
     pq = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.col("f0").bitwiseAND(m).alias("q")) for p, m in enumerate(pieces))))
-    warm = keys.where(F.col("n") > hot).select(*cols, "sig", pq.alias("pq")).select(*cols, "sig", "pq.p", "pq.q")
+    warm = materialize(keys.join(busy, "sig").select(*cols, (F.col("component") != F.col("major")).alias("minor"), pq.alias("pq")).select(*cols, "minor", "pq.p", "pq.q"))
     x = F.col("a.f0").bitwiseXOR(F.col("b.f0"))
     first, earlier = F.lit(False), F.lit(True)
     for p, m in enumerate(pieces):
         first = first | ((F.col("a.p") == p) & earlier)
         earlier = earlier & (x.bitwiseAND(m) != 0)
-    return cold.union(meet(warm, same & (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q")) & first))
+    on = same & (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q")) & first & (~F.col("b.minor") | once)
+    return meet(calm, calm, same & once).union(meet(warm.where("minor"), warm, on))
 
 
 def linked_fingerprints(nodes: DataFrame, max_bits: int, segments: int, hot: int = HOT) -> DataFrame:
