@@ -6,19 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.intervals import overlap_pairs
+from tessera.session import cut
 
 SLOP = 100
 
 
 def match_truth(calls: DataFrame, truth: DataFrame, slop: int = SLOP) -> DataFrame:
-    """(call_id, chr, start, end) and (truth_id, chr, start, end) -> (call_id, truth_id): each call with the first event it overlaps, by start, end and id.
+    """(call_id, chr, start, end) and (truth_id, chr, start, end) -> (call_id, truth_id): each call with the first event that it overlaps and no earlier call has.
 
-    A call is matched by itself: one whose first event is another call's too is a repeat and
-    does not move on to a second event, so the result does not depend on the order of calls.
+    Calls come by chr, start, end and id, events by start, end and id. A call all of whose events
+    are taken is a repeat and has no row. Calls propose to their first event left and an event
+    keeps its earliest call; as all events rank calls alike, this settles on what matching the
+    calls one by one would give. Later calls leave a taken event's list at once, so rounds are few.
     """
     met = overlap_pairs(calls, truth, ["chr"], slop)
-    first = F.min(F.struct("b.start", "b.end", "b.truth_id")).alias("t")
-    return met.groupBy(F.col("a.call_id").alias("call_id")).agg(first).select("call_id", "t.truth_id")
+    call, event = F.struct("a.chr", "a.start", "a.end", "a.call_id"), F.struct("b.start", "b.end", "b.truth_id")
+    left = cut(met.select(call.alias("call"), event.alias("event"), F.col("b.chr").alias("chr")).distinct())
+    while True:
+        asked = left.groupBy("call").agg(F.min(F.struct("event", "chr")).alias("first")).select("call", "first.event", "first.chr")
+        held = asked.groupBy("chr", "event").agg(F.min("call").alias("holder"))
+        judged = left.join(held, ["chr", "event"], "left")
+        if not judged.where("call > holder").limit(1).count():
+            return held.select("holder.call_id", "event.truth_id")
+        left = cut(judged.where("holder is null or call <= holder").select("call", "event", "chr"))
 
 
 def precision_recall(calls: DataFrame, truth: DataFrame, slop: int = SLOP) -> DataFrame:

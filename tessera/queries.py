@@ -70,7 +70,7 @@ def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = "WITH " + ", ".join(f"{k} AS ({v})" for k, v in WITH.items()) + " " + sql
+            ORACLES[name] = "WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in WITH.items()) + " " + sql
         return f
 
     return register
@@ -349,7 +349,17 @@ def support_names(spark, d):
     return _island_members(T.reads(spark, d)).groupBy("set_id").agg(F.concat_ws(";", F.sort_array(F.collect_list("name"))).alias("names"))
 
 
-@query("precision_recall", """, hit AS (SELECT c.call_id, arg_min(t.truth_id, (t."start", t."end", t.truth_id)) AS truth_id FROM called c JOIN truth t ON t.chr = c.chr AND t."start" - 100 < c."end" AND t."end" + 100 > c."start" GROUP BY c.call_id),
+#: Calls one by one, each with the first of its events that is still free.
+MATCHED = """, met AS (SELECT c.call_id, c.chr, c."start", c."end", list(t.truth_id ORDER BY t."start", t."end", t.truth_id) AS events FROM called c JOIN truth t
+    ON t.chr = c.chr AND t."start" - 100 < c."end" AND t."end" + 100 > c."start" GROUP BY ALL),
+  offers AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY "start", "end", call_id) AS k FROM met),
+  hit_list AS (SELECT chr, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::VARCHAR AS call_id, NULL::BIGINT AS truth_id FROM (SELECT DISTINCT chr FROM offers)
+    UNION ALL SELECT chr, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, call_id, pick
+    FROM (SELECT o.chr, o.k, h.used, o.call_id, list_filter(o.events, lambda x: NOT list_contains(h.used, x))[1] AS pick FROM hit_list h JOIN offers o ON o.chr = h.chr AND o.k = h.k + 1)),
+  hit AS (SELECT call_id, truth_id FROM hit_list WHERE truth_id IS NOT NULL)"""
+
+
+@query("precision_recall", MATCHED + """,
   n AS (SELECT (SELECT count(*) FROM called) AS n_calls, (SELECT count(*) FROM truth) AS n_truth, (SELECT count(DISTINCT truth_id) FROM hit) AS n_found)
   SELECT *, CASE WHEN n_calls > 0 THEN n_found / n_calls ELSE 0.0 END AS precision, CASE WHEN n_truth > 0 THEN n_found / n_truth ELSE 0.0 END AS recall FROM n""")
 def precision_recall(spark, d):
@@ -362,7 +372,7 @@ def _calls(spark, d):
     return m.select(F.concat_ws(":", "chr", F.col("start").cast("string")).alias("call_id"), "chr", "start", "end")
 
 
-@query("truth_match", """SELECT c.call_id, arg_min(t.truth_id, (t."start", t."end", t.truth_id)) AS truth_id FROM called c JOIN truth t ON t.chr = c.chr AND t."start" - 100 < c."end" AND t."end" + 100 > c."start" GROUP BY c.call_id""")
+@query("truth_match", MATCHED + " SELECT call_id, truth_id FROM hit")
 def truth_match(spark, d):
     return score.match_truth(_calls(spark, d), T.truth(spark, d))
 

@@ -330,6 +330,22 @@ def test_scoring(spark):
     assert score.precision_recall(calls.limit(0), truth).first().precision == 0
 
 
+def test_a_repeated_call_moves_on(spark):
+    rng = random.Random(8)
+    truth = [(i, "ab"[i % 2], s, s + rng.randrange(50, 900)) for i, s in enumerate(rng.randrange(20_000) for _ in range(60))]
+    calls = [(f"c{i}", "ab"[i % 2], s, s + rng.randrange(50, 2000)) for i, s in enumerate(rng.randrange(20_000) for _ in range(90))]
+    calls += [("x1", "z", 0, 900), ("x2", "z", 10, 900)]
+    truth += [(100, "z", 100, 200), (101, "z", 150, 300)]
+    got = {r.call_id: r.truth_id for r in score.match_truth(spark.createDataFrame(calls, "call_id string, chr string, start long, end long"), spark.createDataFrame(truth, "truth_id long, chr string, start long, end long")).collect()}
+    want, used = {}, set()
+    for c, chrom, s, e in sorted(calls, key=lambda c: (c[1:], c[0])):
+        free = [t for t in sorted(truth, key=lambda t: (*t[2:], t[0])) if t[1] == chrom and t[2] - 100 < e and t[3] + 100 > s and t[0] not in used]
+        if free:
+            want[c] = free[0][0]
+            used.add(free[0][0])
+    assert got == want and (got["x1"], got["x2"]) == (100, 101)
+
+
 def test_detection_plan(spark):
     rows = []
     for i in range(60):
