@@ -160,7 +160,9 @@ def linked_fingerprints(nodes: DataFrame, max_bits: int, segments: int, hot: int
     first = cut(connected_components(cut(leader_links(nodes, max_bits, segments))))
     sizes = first.groupBy("component").agg(F.count("*").alias("size"))
     led = first.join(sizes, "component").select(F.col("vertex").alias("node"), "component", "size")
-    named = cut(nodes.join(led, "node", "left").select("node", "f0", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1).cast("long")).alias("size")))
+    named = nodes.join(led, "node", "left").select("node", "f0", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
+    # As many parts as the nodes have: each row is spread to 64 again.
+    named = cut(named.repartition(max(nodes.rdd.getNumPartitions(), 1), "node"))
     pairs = similar_pairs(named, max_bits, segments, hot)
     of = lambda side: named.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
     pairs = pairs.join(of("a"), "a").join(of("b"), "b").select(F.greatest("a_component", "b_component").alias("u"), F.least("a_component", "b_component").alias("v")).distinct()
