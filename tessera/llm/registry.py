@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "toxicity", "packing", "decontam", "linededup", "urlfilter", "lm", "warc", "licenses", "omh")
+MODULES = ("simhash", "toxicity", "packing", "decontam", "linededup", "urlfilter", "lm", "warc", "licenses", "omh", "resample", "runs", "chat")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
