@@ -30,7 +30,7 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v: two vertex ids of one orderable type) -> (vertex, component).
 
     ``component`` is the smallest vertex id that can be reached. Only vertices with an
@@ -42,11 +42,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = _state(e)
     if before[0] == 0:
         return e.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
-    for _ in range(max_rounds):
+    while True:
         e = cut(_small_star(_large_star(e)))
         now = _state(e)
         if now == before:
             roots = e.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
             return e.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(roots)
         before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -41,13 +41,8 @@ def evidence(discordant: DataFrame, anchors: DataFrame, halves: DataFrame, gaps:
     return intervals.without_overlap(keyed, gaps, ["chr"], "_id").drop("_id")
 
 
-def sets(found: DataFrame) -> DataFrame:
-    """Evidence sets, written once: the cover reads them in every round."""
-    return materialize(cluster.evidence_sets(found))
-
-
 def call_events(found: DataFrame, options: ClusterOptions) -> DataFrame:
     """Evidence -> ranked calls."""
-    s = sets(found)
-    taken = cover.greedy_cover(s, cluster.set_members(s, options.unify_names), options.min_support, options.min_reads)
-    return cover.ranked(cover.calls(s, taken, options.emit_all_types))
+    made = cluster.evidence_sets(found)
+    taken = cover.greedy_cover(made.sets, cluster.set_members(made, options.unify_names), options.min_support, options.min_reads)
+    return cover.ranked(cover.calls(made.sets, taken, options.emit_all_types))

@@ -409,29 +409,31 @@ def final_sort(spark, d):
     return score.rank_within(m, ["chr"], F.desc("n"), "start", "end", "family").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("evidence_sets")
-def evidence_sets(spark, d):
-    return events.sets(_all_evidence(spark, d)).drop("members")
-
-
 def _all_evidence(spark, d):
     r = T.reads(spark, d)
     return events.evidence(_discordant(r), T.anchors(r), T.halves(r), T.gaps(spark, d), ClusterOptions())
 
 
+SHOWN = ["set_id", "chr", "family", "start", "inner_start", "inner_end", "end", "svtype", "raw_reads", "disc_support", "split_support", "unbalanced_support"]
+
+
+@query("evidence_sets")
+def evidence_sets(spark, d):
+    return cluster.evidence_sets(_all_evidence(spark, d)).sets.select(SHOWN)
+
+
 @query("set_merge")
 def set_merge(spark, d):
-    return events.sets(_all_evidence(spark, d)).where("disc_support > 0 and split_support > 0").drop("members")
+    """Pairs of two files (odd and even clones), each clustered by itself, folded in order."""
+    e = _evidence(T.reads(spark, d))
+    odd = F.substring("name", 2, 20).cast("long") % 2
+    return cluster.fold_sets([cluster.pair_sets(e.where(odd == k), f"{k}:") for k in (0, 1)]).sets.select(SHOWN)
 
 
 @query("greedy_cover")
 def greedy_cover(spark, d):
-    sets = events.sets(_all_evidence(spark, d))
-    return cover.greedy_cover(sets, cover_members(sets), 1.0, 2)
-
-
-def cover_members(sets):
-    return cluster.set_members(sets)
+    made = cluster.evidence_sets(_all_evidence(spark, d))
+    return cover.greedy_cover(made.sets, cluster.set_members(made), 1.0, 2)
 
 
 @query("calls")

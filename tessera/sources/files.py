@@ -71,10 +71,10 @@ def write_calls(calls: DataFrame, path: str) -> None:
     ranked.select(*schemas.CALLS.names, "event").write.mode("overwrite").partitionBy("event").csv(path, sep="\t")
 
 
-def write_support(sets: DataFrame, taken: DataFrame, path: str) -> None:
+def write_support(sets: DataFrame, members: DataFrame, taken: DataFrame, path: str) -> None:
     """Calls with the names that support them, joined by semicolons."""
-    names = F.concat_ws(";", F.array_sort(F.array_distinct(F.col("members.name"))))
-    rows = sets.join(taken, "set_id", "left_semi").select("chr", "start", "inner_start", "inner_end", "end", "svtype", "disc_support", "split_support", "unbalanced_support", names.alias("names"))
+    names = members.join(taken.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.concat_ws(";", F.array_sort(F.collect_set("name"))).alias("names"))
+    rows = sets.join(names, "set_id").select("chr", "start", "inner_start", "inner_end", "end", "svtype", "disc_support", "split_support", "unbalanced_support", "names")
     rows.write.mode("overwrite").csv(path, sep="\t")
 
 

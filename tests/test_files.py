@@ -67,8 +67,9 @@ def test_bam_source(spark, tmp_path):
 
 
 def test_support_and_split_sinks(spark, tmp_path):
-    sets = spark.createDataFrame([("s", "c", 1, 2, 3, 4, "DELETION", 1, 0, 0, [{"name": "b"}, {"name": "a"}, {"name": "b"}])], "set_id string, chr string, start long, inner_start long, inner_end long, end long, svtype string, disc_support long, split_support long, unbalanced_support long, members array<struct<name: string>>")
-    files.write_support(sets, sets.select("set_id"), str(tmp_path / "s"))
+    sets = spark.createDataFrame([("s", "c", 1, 2, 3, 4, "DELETION", 1, 0, 0), ("t", "c", 1, 2, 3, 4, "DELETION", 1, 0, 0)], "set_id string, chr string, start long, inner_start long, inner_end long, end long, svtype string, disc_support long, split_support long, unbalanced_support long")
+    members = spark.createDataFrame([("s", "b"), ("s", "a"), ("s", "b"), ("t", "c")], "set_id string, name string")
+    files.write_support(sets, members, sets.where("set_id = 's'").select("set_id"), str(tmp_path / "s"))
     assert spark.read.text(str(tmp_path / "s")).first().value.endswith("\ta;b")
     files.write_split_reads(spark.createDataFrame([("b",), ("a",)], "name string"), str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r")).count() == 2

@@ -1,6 +1,7 @@
 """Column functions and operators against brute force and hand-made edge cases."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -206,66 +207,151 @@ def evidence(rng, n):
 EVIDENCE = "name string, chr string, start long, inner_start long, inner_end long, end long, svtype string, kind string, forward boolean, mapcount long"
 
 
-def whole_replay(rows):
-    """All evidence of a family as one island."""
+def pieces(rows):
+    """Evidence rows as pieces, in order."""
     names = [c.split()[0] for c in EVIDENCE.split(", ")]
-    by = {}
-    for r in rows:
-        e = dict(zip(names, r))
-        by.setdefault("DELETION" if e["kind"] == "unbalanced" else cluster._family(e["svtype"]), []).append(e)
-    out = []
-    for es in by.values():
-        es.sort(key=lambda e: tuple((e[c] is not None, e[c]) for c in cluster.ORDER))
-        out += [(s.svtype, s.start, s.inner_start, s.inner_end, s.end, s.disc, s.split, s.unbalanced) for s in cluster.cluster_island(es)]
-    return sorted(out)
+    es = [cluster.Piece(**{c: v for c, v in zip(names, r)}) for r in rows]
+    return sorted(es, key=lambda e: tuple((getattr(e, c) is not None, getattr(e, c)) for c in cluster.ORDER))
 
 
-def naive_island(rows):
-    """Every set is tried, in the order of making."""
+def naive_sets(es):
+    """Every set is tried, in the order of making: pairs, then splits by themselves; the pairs' sets are folded, then the splits' onto them."""
     pair_sets, split_sets = [], []
     for kind, sets in (("disc", pair_sets), ("split", split_sets), ("unbalanced", split_sets)):
-        for e in (e for e in rows if e["kind"] == kind):
+        for e in (e for e in es if e.kind == kind):
             hit = next((s for s in sets if s.agrees(e)), None)
-            if hit and (kind == "unbalanced" or e["inner_end"] > hit.inner_start):
+            if hit and (kind == "unbalanced" or e.inner_end > hit.inner_start):
                 hit.add(e)
             elif not hit and kind != "unbalanced":
-                sets.append(cluster.EvidenceSet.of(e))
-    for other in split_sets:
-        hit = next((s for s in pair_sets if s.meets(other)), None)
+                sets.append(cluster.EvidenceSet.of(f"{kind}{len(sets)}", len(sets), e))
+    return naive_fold(naive_fold([], pair_sets), split_sets)
+
+
+def naive_fold(first, second):
+    first = list(first)
+    for other in second:
+        hit = next((s for s in first if s.meets(other)), None)
         if hit and other.inner_end > hit.inner_start:
             hit.absorb(other)
         elif not hit:
-            pair_sets.append(other)
-    return pair_sets
+            first.append(other)
+    return first
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_looked_up_sets_are_those_of_trying_all(seed):
-    names = [c.split()[0] for c in EVIDENCE.split(", ")]
-    rows = [dict(zip(names, r)) for r in evidence(random.Random(100 + seed), 400)]
-    for r in rows:
-        r["svtype"] = "DELETION" if r["kind"] != "unbalanced" else r["svtype"]
-    rows.sort(key=lambda e: tuple((e[c] is not None, e[c]) for c in cluster.ORDER))
-    of = lambda sets: [(s.start, s.inner_start, s.inner_end, s.end, s.disc, s.split, s.unbalanced) for s in sets]
-    assert of(cluster.cluster_island(rows)) == of(naive_island(rows))
+def told(sets):
+    return sorted((s.svtype, s.start, s.inner_start, s.inner_end, s.end, s.disc, s.split, s.unbalanced) for s in sets)
+
+
+def told_rows(rows):
+    return sorted((r["svtype"], r["start"], r["inner_start"], r["inner_end"], r["end"], r["disc_support"], r["split_support"], r["unbalanced_support"]) for r in rows)
+
+
+def naive_families(rows):
+    by = {}
+    for e in pieces(rows):
+        by.setdefault("DELETION" if e.kind == "unbalanced" else cluster._family(e.svtype), []).append(e)
+    return [s for es in by.values() for s in naive_sets(es)]
+
+
+def swept(es):
+    """One unit's pieces through the three sweeps; also the most sets that any of them held."""
+    first, second, last, most = [], [], [], 0
+    for kinds, sweep in ((("disc",), cluster.Sweep("u", first)), (("split", "unbalanced"), cluster.SplitSweep("v", second))):
+        for e in es:
+            if e.kind in kinds:
+                sweep.feed(e)
+                most = max(most, len(sweep.shelf.sets) + len(getattr(sweep, "deletions", sweep.shelf).sets) + len(getattr(sweep, "waiting", ())))
+        sweep.end()
+    rank = lambda r: (r["start"], r["number"], r["set_id"])
+    there, passed = [], first + second
+    for table in (first, second):
+        fold = cluster.Fold(last := [])
+        sets = [(False, r) for r in there] + [(True, r) for r in table if r["tag"] == "set"]
+        for later, r in sorted(sets, key=lambda x: rank(x[1])):
+            fold.feed(later, cluster.EvidenceSet(*(r[c] for c in ("set_id", "number", "chr", "svtype", "start", "inner_start", "inner_end", "end", "disc_support", "split_support", "unbalanced_support")), [[*x.values()] for x in r["steps"]]))
+            most = max(most, len(fold.shelf.sets) + len(fold.queue))
+        fold.end()
+        there, passed = [r for r in last if r["tag"] == "set"], passed + last
+    return there, passed, most
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_sweeps_are_those_of_trying_all(seed):
+    rng = random.Random(100 + seed)
+    rows = [r if r[7] == "unbalanced" else (*r[:6], rng.choice(["DELETION", "DELINV"] if seed % 2 else ["DELETION"]), *r[7:]) for r in evidence(rng, 400)]
+    es = pieces(rows)
+    sets, _, _ = swept(es)
+    assert told_rows(sets) == told(naive_sets(es))
+
+
+def test_a_long_island_is_swept_with_few_sets_held():
+    """200,000 pieces, every one of which overlaps the next ones' hulls: one island. What is held doesn't grow with it."""
+    rng = random.Random(1)
+    most = {}
+    for n in (20_000, 200_000):
+        es = []
+        for i in range(n):
+            start, kind = 40 * i + rng.randrange(40), rng.choice(["disc", "disc", "split", "unbalanced"])
+            inner = start + rng.randrange(50, 200)
+            end = inner + rng.randrange(200, 20_000)
+            es.append(cluster.Piece("c", start, start + 50 if kind == "unbalanced" else end + 100, *((None, None) if kind == "unbalanced" else (inner, end)), kind, f"n{i}", "DELETION", rng.random() < 0.5, 1))
+        es.sort(key=lambda e: (e.start, e.end))
+        sets, rows, most[n] = swept(es)
+        joined = sum(r["tag"] == "member" for r in rows)
+        swallowed = sum(r["tag"] == "fold" and r["into"] is None for r in rows)
+        assert joined >= sum(r["disc_support"] + r["split_support"] + r["unbalanced_support"] for r in sets) > 0.7 * n and (swallowed or joined)
+    assert most[200_000] < 1.5 * most[20_000] < 3000
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_sets_by_island_equal_the_whole(spark, seed):
+def test_sets_by_unit_equal_the_whole(spark, seed):
     rows = evidence(random.Random(seed), 150)
     for parts in (1, 7):
-        d = spark.createDataFrame(rows, EVIDENCE).repartition(parts)
-        got = cluster.evidence_sets(d).collect()
-        assert sorted((r.svtype, r.start, r.inner_start, r.inner_end, r.end, r.disc_support, r.split_support, r.unbalanced_support) for r in got) == whole_replay(rows)
-    for r in got:
-        assert r.start <= r.inner_start and r.inner_end <= r.end and r.raw_reads == len(r.members)
+        got = cluster.evidence_sets(spark.createDataFrame(rows, EVIDENCE).repartition(parts))
+        sets = got.sets.collect()
+        assert told_rows([r.asDict() for r in sets]) == told(naive_families(rows))
+    for r in sets:
+        assert r.start <= r.inner_start and r.inner_end <= r.end
+    counts = {r.set_id: r["count"] for r in got.members.groupBy("set_id").count().collect()}
+    assert counts == {r.set_id: r.raw_reads for r in sets}
+
+
+def test_sets_of_nothing(spark):
+    got = cluster.evidence_sets(spark.createDataFrame([], EVIDENCE))
+    assert got.sets.count() == 0 and got.members.count() == 0
+
+
+def test_files_are_folded_in_order(spark):
+    """Pairs of both files, then splits of both."""
+    seen = set()  # no two start at one place, so the order of sets is plain
+    files_of = [[r for r in evidence(random.Random(50 + k), 60) if r[2] not in seen and not seen.add(r[2])] for k in range(2)]
+    got = cluster.evidence_sets(*(spark.createDataFrame(rows, EVIDENCE) for rows in files_of))
+    want = []
+    for family in ("DELETION", "INSERTION", "EVERSION"):
+        of = lambda rows, kinds: [e for e in pieces(rows) if e.kind in kinds and family == ("DELETION" if e.kind == "unbalanced" else cluster._family(e.svtype))]
+        whole = []
+        for kinds in (("disc",), ("split", "unbalanced")):
+            for rows in files_of:
+                made = []
+                for kind in kinds:
+                    for e in (e for e in of(rows, kinds) if e.kind == kind):
+                        hit = next((s for s in made if s.agrees(e)), None)
+                        if hit and (kind == "unbalanced" or e.inner_end > hit.inner_start):
+                            hit.add(e)
+                        elif not hit and kind != "unbalanced":
+                            made.append(cluster.EvidenceSet.of("", len(made), e))
+                whole = naive_fold(sorted(whole, key=lambda s: s.start), made)
+        want += whole
+    assert told_rows([r.asDict() for r in got.sets.collect()]) == told(want)
 
 
 def test_equal_pairs_do_not_merge():
-    e = {"name": "a", "chr": "c", "start": 1, "inner_start": 101, "inner_end": 500, "end": 600, "svtype": "DELETION", "kind": "disc", "forward": True, "mapcount": 1}
-    assert len(cluster.cluster_island([e, dict(e)])) == 2
-    inside = dict(e, inner_start=90, inner_end=510)
-    assert len(cluster.cluster_island([e, inside])) == 1
+    e = cluster.Piece("c", 1, 600, 101, 500, "disc", "a", "DELETION", True, 1)
+    sets = []
+    for x in (e, e):
+        next((s for s in sets if s.agrees(x)), None) or sets.append(cluster.EvidenceSet.of("", 0, x))
+    assert len(sets) == 2 and len(swept([e, e])[0]) == 1  # the sets' merging has them in one
+    assert len(swept([e, e._replace(inner_start=90, inner_end=510)])[0]) == 1
 
 
 def greedy_brute(sets, members, support, reads):
@@ -281,14 +367,13 @@ def greedy_brute(sets, members, support, reads):
         used |= set(left.pop(top))
 
 
-@pytest.mark.parametrize("few", [0, 20, 10_000])
-@pytest.mark.parametrize("seed", range(3))
-def test_parallel_cover_is_the_greedy_one(spark, seed, few):
+@pytest.mark.parametrize("seed,giant", [(0, 0), (1, 20), (0, 10_000), (2, 10_000)])
+def test_parallel_cover_is_the_greedy_one(spark, seed, giant):
     rng = random.Random(seed)
     sets = [(f"s{i:02}", rng.randrange(1, 5)) for i in range(40)]
     members = sorted({(s, f"n{rng.randrange(60)}") for s, _ in sets for _ in range(rng.randrange(1, 8))})
     members = [(s, n, 1 + sum(map(ord, n)) % 3) for s, n in members]
-    got = cover.greedy_cover(spark.createDataFrame(sets, "set_id string, raw_reads long"), spark.createDataFrame(members, "set_id string, name string, mapcount long"), 1.0, 2, few=few).collect()
+    got = cover.greedy_cover(spark.createDataFrame(sets, "set_id string, raw_reads long"), spark.createDataFrame(members, "set_id string, name string, mapcount long"), 1.0, 2, giant=giant).collect()
     assert {r.set_id: r.support for r in got} == greedy_brute(sets, members, 1.0, 2)
 
 
@@ -305,7 +390,16 @@ def test_one_by_one_is_brute_force(seed):
     rng = random.Random(seed)
     members = sorted({(f"s{rng.randrange(60):02}", f"n{rng.randrange(80)}") for _ in range(250)})
     members = [(s, n, 1 + sum(map(ord, n)) % 3) for s, n in members]
-    assert dict(cover.one_by_one(members, 1.0)) == greedy_brute([(s, 9) for s in {m[0] for m in members}], members, 1.0, 2)
+    assert {s: w / 10**cover.DIGITS for s, w in cover.one_by_one(members, 10**cover.DIGITS)} == greedy_brute([(s, 9) for s in {m[0] for m in members}], members, 1.0, 2)
+
+
+def test_many_common_names_are_used_up_in_one_go():
+    """Two sets with 50,000 names in common, and a chain of sets that share 5,000 each."""
+    members = [(s, f"n{i}", 1 + i % 7) for s in "ab" for i in range(50_000)] + [("b", "own", 1)]
+    members += [(f"c{k}", f"m{i}", 1) for k in range(20) for i in range(5000 * k, 5000 * k + 10_000)]
+    at = time.time()
+    got = cover.one_by_one(members, 1)
+    assert time.time() - at < 10 and [s for s, _ in got[:2]] == ["b", "c0"] and "a" not in dict(got)
 
 
 def test_cover_drops_the_second_of_two(spark):
