@@ -95,7 +95,8 @@ def islands(rows: DataFrame, keys: list[str], start: str = "start", end: str = "
     d = d.withColumn("_head", F.when(F.col("_max").isNull() | (F.col(start) > F.col("_max")), F.col(start)))
     heads = d.groupBy(*piece).agg(F.max("_head").alias("_from")).withColumn("_from", F.max("_from").over(over))
     d = _join_pieces(d, heads, piece)
-    here = F.max("_head").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # By range, as rows of one start may come in another order than above.
+    here = F.max("_head").over(Window.partitionBy(*piece).orderBy(start).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return d.withColumn("island", F.greatest(here, F.col("_from"))).select(*rows.columns, "island")
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import oracles
 from tessera.config import ANCHOR_REACH, MAD_CUT, ClusterOptions
 from tessera.functions import expr as X
 from tessera.operators import cluster, cover, intervals, pairs, score, splits, stats
@@ -56,7 +57,7 @@ WITH = {
     "ids": 'SELECT *, row_number() OVER (ORDER BY name, chr, "start", "end", inner_start, inner_end, svtype, prob, mapcount, forward) AS id FROM evidence',
     "spans": 'SELECT *, CASE WHEN svtype IN (\'DELETION\', \'DELINV\') THEN \'DELETION\' WHEN svtype IN (\'INSERTION\', \'INSINV\') THEN \'INSERTION\' ELSE svtype END AS family FROM evidence',
     "marked": 'SELECT *, CASE WHEN "start" <= max("end") OVER (PARTITION BY chr, family ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN NULL ELSE "start" END AS head FROM spans',
-    "islands": 'SELECT *, max(head) OVER (PARTITION BY chr, family ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM marked',
+    "islands": 'SELECT *, max(head) OVER (PARTITION BY chr, family ORDER BY "start") AS island FROM marked',
     "merged": 'SELECT chr, family, island AS "start", max("end") AS "end", count(*) AS n FROM islands GROUP BY chr, family, island',
     "members": "SELECT chr || ':' || family || ':' || island AS set_id, name, max(mapcount) AS mapcount FROM islands GROUP BY 1, 2",
     "weighed": "SELECT set_id, round(sum(1.0 / mapcount), 6) AS support, count(*) AS names FROM members GROUP BY set_id",
@@ -64,13 +65,13 @@ WITH = {
 }
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a query and, with the common tables, its SQL."""
+def query(name: str, sql: str | None = None, more: dict[str, str] | None = None):
+    """Registers a query and, with the common tables and ``more`` of its own, its SQL."""
 
     def register(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = "WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in WITH.items()) + " " + sql
+            ORACLES[name] = "WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in {**WITH, **(more or {})}.items()) + " " + sql
         return f
 
     return register
@@ -414,15 +415,43 @@ def _all_evidence(spark, d):
     return events.evidence(_discordant(r), T.anchors(r), T.halves(r), T.gaps(spark, d), ClusterOptions())
 
 
+_FAMILY = oracles.FAMILY.format("svtype")
+_PIECES = 'name, chr, "start", inner_start, inner_end, "end", svtype, kind, forward, mapcount'
+#: Pairs and paired halves that touch no gap, and their sets.
+SETS = {
+    "both_halves": f"""SELECT s.clone AS name, s.chr, list_sort({_FOUR})[1] AS "start", list_sort({_FOUR})[2] AS inner_start, list_sort({_FOUR})[3] AS inner_end, list_sort({_FOUR})[4] AS "end", {_HALF_TYPE} AS svtype, 'split' AS kind, NULL::BOOLEAN AS forward
+      FROM anchors a JOIN sided s USING (clone) JOIN sided t ON t.clone = s.clone AND s.is_first AND NOT t.is_first WHERE s.n < 30 AND least(abs(s."start" - t."end"), abs(t."start" - s."end")) > 5 AND ({_NEAR} OR (s.n > 2 AND {_NEAR.replace('s.', 't.')}))""",
+    "one_half": f"""SELECT s.clone AS name, s.chr, s."start", NULL::BIGINT AS inner_start, NULL::BIGINT AS inner_end, s."end", 'UNBALANCEDINV' AS svtype, 'unbalanced' AS kind, s.forward
+      FROM anchors a JOIN sided s USING (clone) WHERE (n = 1 AND {_NEAR}) OR (n > 1 AND n < 30 AND (n_first = 0 OR n_first = n))""",
+    "anchor_counts": "SELECT clone AS name, count(*) AS mapcount FROM anchors GROUP BY clone",
+    "half_pieces": "SELECT h.*, coalesce(c.mapcount, 1) AS mapcount FROM (SELECT * FROM both_halves UNION ALL SELECT * FROM one_half) h LEFT JOIN anchor_counts c USING (name)",
+    "pieces": f"""SELECT '' AS file, *, CASE WHEN kind = 'unbalanced' THEN 'DELETION' ELSE {_FAMILY} END AS family FROM (SELECT {_PIECES} FROM evidence UNION ALL SELECT {_PIECES} FROM half_pieces) e
+      WHERE NOT EXISTS (SELECT 1 FROM gaps g WHERE g.chr = e.chr AND g."start" < e."end" AND g."end" > e."start")""",
+    "pair_pieces": "SELECT * FROM pieces WHERE kind = 'disc'",
+    "split_pieces": "SELECT * FROM pieces WHERE kind <> 'disc'",
+    **oracles.clustered("pair_sets", "pair_pieces", "inner_start", "d"),
+    **oracles.clustered("split_sets", "split_pieces", "CASE WHEN family = 'DELETION' THEN \"end\" ELSE inner_start END", "s"),
+    **oracles.folded("merged_pairs", None, "pair_sets"),
+    **oracles.folded("sets", "merged_pairs", "split_sets"),
+}
+FILES = {
+    "named": f"SELECT *, (substr(name, 2)::BIGINT % 2)::VARCHAR || ':' AS file, {_FAMILY} AS family FROM evidence",
+    **{f"named{k}": f"SELECT * FROM named WHERE file = '{k}:'" for k in (0, 1)},
+    **oracles.clustered("sets0", "named0", "inner_start", "d"),
+    **oracles.clustered("sets1", "named1", "inner_start", "d"),
+    **oracles.folded("first", None, "sets0"),
+    **oracles.folded("sets", "first", "sets1"),
+}
+COVER = {**SETS, **oracles.covered("taken", "sets", 2, 1)}
 SHOWN = ["set_id", "chr", "family", "start", "inner_start", "inner_end", "end", "svtype", "raw_reads", "disc_support", "split_support", "unbalanced_support"]
 
 
-@query("evidence_sets")
+@query("evidence_sets", f"SELECT {oracles.SHOWN} FROM sets", SETS)
 def evidence_sets(spark, d):
     return cluster.evidence_sets(_all_evidence(spark, d)).sets.select(SHOWN)
 
 
-@query("set_merge")
+@query("set_merge", f"SELECT {oracles.SHOWN} FROM sets", FILES)
 def set_merge(spark, d):
     """Pairs of two files (odd and even clones), each clustered by itself, folded in order."""
     e = _evidence(T.reads(spark, d))
@@ -430,12 +459,13 @@ def set_merge(spark, d):
     return cluster.fold_sets([cluster.pair_sets(e.where(odd == k), f"{k}:") for k in (0, 1)]).sets.select(SHOWN)
 
 
-@query("greedy_cover")
+@query("greedy_cover", "SELECT set_id, support FROM taken", COVER)
 def greedy_cover(spark, d):
     made = cluster.evidence_sets(_all_evidence(spark, d))
     return cover.greedy_cover(made.sets, cluster.set_members(made), 1.0, 2)
 
 
-@query("calls")
+@query("calls", """SELECT set_id, chr, x.s AS "start", x.si AS inner_start, x.ei AS inner_end, x.e AS "end", CASE WHEN x.svtype IN ('DELETION', 'DELINV') THEN 'DELETION' WHEN x.svtype IN ('INSERTION', 'INSINV') THEN 'INSERTION' ELSE 'TANDEM' END AS svtype,
+  x.disc AS disc_support, x.split AS split_support, x.unb AS unbalanced_support, support AS weighted_support FROM sets JOIN taken ON taken.set_id = x.id WHERE x.svtype IN ('DELETION', 'DELINV', 'INSERTION', 'INSINV', 'EVERSION')""", COVER)
 def calls(spark, d):
     return events.call_events(_all_evidence(spark, d), ClusterOptions())
