@@ -1,5 +1,7 @@
 """SQL of the clustering and the cover: recursive tables that take one piece, set or round at a time.
 
+All tables but the recursive ones (``_w``, read once, by ``_v``) are to be materialized.
+
 A set is a struct: n (order), its id, type and borders (s, si, ei, e), supports, and steps (see
 operators.cluster). Each recursion handles the next row of every unit at once.
 """
@@ -57,8 +59,9 @@ def clustered(name: str, rows: str, reach: str, letter: str) -> dict[str, str]:
           FROM (SELECT *, p.name AS name, p.kind AS kind, p.mapcount AS mapcount, p.kind = 'unbalanced' OR p.inner_end > hit.si AS keeps, CASE WHEN p.kind = 'unbalanced' THEN {faced.replace('x.', 'hit.')} ELSE {wide.replace('x.', 'hit.')} END AS moved
             FROM (SELECT w.file, w.chr, w.family, w.unit, w.prefix, p.k, w.sets, p, list_filter(w.sets, lambda x: {agrees})[1] AS hit, {new} AS fresh
               FROM {name}_w w JOIN {name}_k p ON p.place = w.prefix || (w.k + 1)))""",
-        name: f"SELECT file, chr, family, unnest(sets) AS x FROM (SELECT file, chr, family, arg_max(sets, k) AS sets FROM {name}_w GROUP BY file, chr, family, unit)",
-        f"{name}_members": f"SELECT joined AS id, name, kind, mapcount FROM {name}_w WHERE joined IS NOT NULL",
+        f"{name}_v": f"SELECT * FROM {name}_w",
+        name: f"SELECT file, chr, family, unnest(sets) AS x FROM (SELECT file, chr, family, arg_max(sets, k) AS sets FROM {name}_v GROUP BY file, chr, family, unit)",
+        f"{name}_members": f"SELECT joined AS id, name, kind, mapcount FROM {name}_v WHERE joined IS NOT NULL",
     }
 
 
@@ -89,11 +92,12 @@ def folded(name: str, first: str | None, second: str) -> dict[str, str]:
           FROM (SELECT *, {taken} AS b FROM (SELECT *, {begin} AS begin FROM (SELECT *, list_sort(list_filter(near, lambda x: {meets}))[1] AS hit FROM (
             SELECT w.chr, w.family, n.k, n.o, list_filter(list_concat(w.live, n.enter), lambda x: x.s + {SET_REACH} >= n.o.s) AS near, list_filter(list_concat(w.live, n.enter), lambda x: x.s + {SET_REACH} < n.o.s) AS done
             FROM {name}_w w JOIN {name}_n n ON n.place = w.chr || ':' || w.family || ':' || (w.k + 1)))))""",
-        f"{name}_last": f"SELECT chr, family, arg_max(live, k) AS live, max(k) AS k FROM {name}_w GROUP BY chr, family",
-        name: f"""SELECT chr, family, unnest(done) AS x FROM {name}_w UNION ALL SELECT chr, family, unnest(live) AS x FROM {name}_last
+        f"{name}_v": f"SELECT * FROM {name}_w",
+        f"{name}_last": f"SELECT chr, family, arg_max(live, k) AS live, max(k) AS k FROM {name}_v GROUP BY chr, family",
+        name: f"""SELECT chr, family, unnest(done) AS x FROM {name}_v UNION ALL SELECT chr, family, unnest(live) AS x FROM {name}_last
           UNION ALL SELECT chr, family, x FROM {name}_a a WHERE NOT EXISTS (SELECT 1 FROM {name}_o o WHERE o.chr = a.chr AND o.family = a.family AND a.x.s <= o.o.s + {SET_REACH})""",
         f"{name}_members": (f"SELECT * FROM {first}_members UNION ALL " if first else "")
-        + f"SELECT coalesce(w.target, m.id) AS id, m.name, m.kind, m.mapcount FROM {second}_members m LEFT JOIN (SELECT gone, target FROM {name}_w WHERE gone IS NOT NULL) w ON w.gone = m.id WHERE w.gone IS NULL OR w.target IS NOT NULL",
+        + f"SELECT coalesce(w.target, m.id) AS id, m.name, m.kind, m.mapcount FROM {second}_members m LEFT JOIN (SELECT gone, target FROM {name}_v WHERE gone IS NOT NULL) w ON w.gone = m.id WHERE w.gone IS NULL OR w.target IS NOT NULL",
     }
 
 

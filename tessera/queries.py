@@ -71,7 +71,8 @@ def query(name: str, sql: str | None = None, more: dict[str, str] | None = None)
     def register(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = "WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in {**WITH, **(more or {})}.items()) + " " + sql
+            own = [f"{k} AS {'' if k.endswith('_w') else 'MATERIALIZED '}({v})" for k, v in (more or {}).items()]
+            ORACLES[name] = "WITH RECURSIVE " + ", ".join([*(f"{k} AS ({v})" for k, v in WITH.items()), *own]) + " " + sql
         return f
 
     return register
