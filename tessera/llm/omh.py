@@ -1,8 +1,8 @@
 """Document fingerprints by Order MinHash.
 
-A text is a row of words; runs without white space are cut every 16 characters, and characters
-from U+2E80 on (scripts that write no spaces) are words by themselves, so one rule serves all
-texts. Its k-mers are two words in a row, numbered by occurrence, so a repeated k-mer counts as
+A text is a row of words; runs without white space are cut every ``PIECE`` characters, so that a
+short text has k-mers enough and an edit within a long word spares its other pieces, and characters
+from U+2E80 on (scripts that write no spaces) are words by themselves: one rule serves all texts. Its k-mers are two words in a row, numbered by occurrence, so a repeated k-mer counts as
 often as it stands there. The hash of a numbered k-mer places it on a circle with ``BINS`` marks.
 For every mark the two next k-mers on the circle are put in the order in which they stand in the
 text and hashed together: in long texts these are the two smallest of the mark's bin, in short
@@ -27,8 +27,9 @@ BINS = 64
 PLACE_BITS, BIN_BITS = 26, 6
 PLACE = (1 << PLACE_BITS) - 1
 SHIFT = 63 - BIN_BITS
-#: Where a space is put in: after 16 characters that are none, around characters of scripts without spaces.
-CUTS = r"(\S{16}|[^\x00-\x{2E7F}])"
+PIECE = 6
+#: Where a space is put in: after PIECE characters that are none, around characters of scripts without spaces.
+CUTS = rf"(\S{{{PIECE}}}|[^\x00-\x{{2E7F}}])"
 SPACES = r"[ \t\n\x0B\f\r]+"
 
 
@@ -54,7 +55,7 @@ def with_words(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` and t: the words of a text, one empty word for a text without any. Only texts with something to cut are cut."""
     d = df.select("*", F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r")).alias("__text"))
     d = d.select(*keep, "__text", F.split("__text", SPACES).alias("__plain"))
-    long = F.exists("__plain", lambda w: F.octet_length(w) > 16) | F.col("__text").rlike(r"[^\x00-\x{2E7F}]")
+    long = F.exists("__plain", lambda w: F.octet_length(w) > PIECE) | F.col("__text").rlike(r"[^\x00-\x{2E7F}]")
     return d.select(*keep, F.when(long, F.split(F.btrim(F.regexp_replace("__text", CUTS, "$1 "), F.lit(" ")), SPACES)).otherwise(F.col("__plain")).alias("t"))
 
 
