@@ -21,6 +21,7 @@ import gzip
 import json
 import os
 import re
+import shutil
 import struct
 import uuid
 import zlib
@@ -318,32 +319,30 @@ class Written(WriterCommitMessage):
 
 
 class BamWriter(DataSourceWriter):
-    """A file a task, under a hidden name until the job commits. Options: sequences (JSON, [[name, length], ...]), text (of the header)."""
+    """A file a task, in a hidden folder of the job until that commits. Options: sequences (JSON, [[name, length], ...]), text (of the header)."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite = options["path"].removeprefix("file://"), overwrite
         self.sequences, self.text = json.loads(options.get("sequences", "[]")), options.get("text", "")
+        # Made here and not by the tasks, so one that outlives a failed job finds no folder.
+        self.hidden = os.path.join(self.path, f"_{uuid.uuid4().hex}")
+        os.makedirs(self.hidden)
 
     def write(self, rows: Iterator) -> Written:
-        os.makedirs(self.path, exist_ok=True)
         name = f"part-{uuid.uuid4().hex}.bam"
-        done = Written(os.path.join(self.path, f"_{name}.writing"), os.path.join(self.path, name))
+        done = Written(os.path.join(self.hidden, name), os.path.join(self.path, name))
         index = {n: i for i, (n, _) in enumerate(self.sequences)}
         text = self.text.encode()
         data = bytearray(b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(self.sequences)))
         for n, length in self.sequences:
             data += struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", length)
-        try:
-            with open(done.temporary, "wb") as f:
-                for row in rows:
-                    data += encode(row, index)
-                    while len(data) >= 0xFF00:
-                        f.write(block(bytes(data[:0xFF00])))
-                        del data[:0xFF00]
-                f.write(block(bytes(data)) + LAST)
-        except BaseException:
-            os.remove(done.temporary)
-            raise
+        with open(done.temporary, "wb") as f:
+            for row in rows:
+                data += encode(row, index)
+                while len(data) >= 0xFF00:
+                    f.write(block(bytes(data[:0xFF00])))
+                    del data[:0xFF00]
+            f.write(block(bytes(data)) + LAST)
         return done
 
     def commit(self, messages: list) -> None:
@@ -352,11 +351,10 @@ class BamWriter(DataSourceWriter):
             os.remove(p)
         for m in new:
             os.replace(m.temporary, m.final)
+        shutil.rmtree(self.hidden, ignore_errors=True)
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            if m and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+        shutil.rmtree(self.hidden, ignore_errors=True)
 
 
 class BamDataSource(DataSource):
