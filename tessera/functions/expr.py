@@ -112,6 +112,14 @@ def hull(*coords: Column) -> tuple[Column, Column, Column, Column]:
     return tuple(ordered.getItem(i) for i in range(4))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names for helper columns, with underscores put before them until no column has one of them."""
+    taken = {c.lower() for c in columns}
+    while taken & {n.lower() for n in names}:
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
+
+
 def overlaps(start_a, end_a, start_b, end_b) -> Column:
     return (start_a < end_b) & (end_a > start_b)
 
@@ -123,10 +131,6 @@ def shared_share(start_a, end_a, start_b, end_b) -> Column:
     return F.when(common > 0, common / longer).otherwise(0.0)
 
 
-def too_long(a, b, c, d, length) -> Column:
-    return F.greatest(a, b, c, d) - F.least(a, b, c, d) > length * PAIR_REACH
-
-
 def closest_ends(start1, end1, start2, end2) -> Column:
     return F.least(F.abs(start1 - end2), F.abs(start2 - end1))
 

@@ -48,8 +48,8 @@ def weights(members: DataFrame) -> DataFrame:
 
 
 def shared_names(members: DataFrame) -> DataFrame:
-    """(name, sets): names of more than one set."""
-    return members.groupBy("name").agg(F.count("*").alias("sets")).where("sets > 1")
+    """(name, sets, first): names of more than one set, with the number of their sets and the smallest id of these."""
+    return members.groupBy("name").agg(F.count("*").alias("sets"), F.min("set_id").alias("first")).where("sets > 1")
 
 
 def touched_sets(members: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import BIN
-from tessera.functions.expr import overlaps
+from tessera.functions.expr import overlaps, unused
 
 WIDTHS = [BIN << (3 * k) for k in range(6)]
 #: Width of the pieces in which islands are looked for.
@@ -49,18 +49,19 @@ def overlap_pairs(left: DataFrame, right: DataFrame, on: list[str], slop: int =
     Rows with nulls in the columns concerned meet nothing.
     """
     (ls, le), (rs, re) = left_cols, right_cols
-    right = right.withColumns({"_s": F.col(rs) - slop, "_e": F.col(re) + slop})
-    a, b = _binned(left.where(F.col(ls).isNotNull() & F.col(le).isNotNull()), ls, le, "a"), _binned(right.where(F.col("_s").isNotNull() & F.col("_e").isNotNull()), "_s", "_e", "b")
+    s, e = unused(right.columns, "_s", "_e")
+    right = right.withColumns({s: F.col(rs) - slop, e: F.col(re) + slop})
+    a, b = _binned(left.where(F.col(ls).isNotNull() & F.col(le).isNotNull()), ls, le, "a"), _binned(right.where(F.col(s).isNotNull() & F.col(e).isNotNull()), s, e, "b")
     a, b = [d.select(*(F.col(f"{n}.{c}").alias(f"k{i}") for i, c in enumerate(on)), *d.columns) for d, n in ((a, "a"), (b, "b"))]
     keys = [f"k{i}" for i in range(len(on))]
     b = b.withColumnsRenamed({"home": "bhome", "first": "bfirst"})
-    meet = overlaps(F.col(f"a.{ls}"), F.col(f"a.{le}"), F.col("b._s"), F.col("b._e")) & (F.col("bin") == F.greatest("first", "bfirst"))
+    meet = overlaps(F.col(f"a.{ls}"), F.col(f"a.{le}"), F.col(f"b.{s}"), F.col(f"b.{e}")) & (F.col("bin") == F.greatest("first", "bfirst"))
 
     def join(x: DataFrame, y: DataFrame) -> DataFrame:
         return x.join(y, [*keys, "level", "bin"]).where(meet).select("a", "b")
 
     found = join(a.where("home = level"), b).union(join(a.where("home < level"), b.where("bhome = level")))
-    return found.withColumn("b", F.col("b").dropFields("_s", "_e"))
+    return found.withColumn("b", F.col("b").dropFields(s, e))
 
 
 def without_overlap(left: DataFrame, right: DataFrame, on: list[str], key: str, **cols) -> DataFrame:
@@ -83,21 +84,22 @@ def islands(rows: DataFrame, keys: list[str], start: str = "start", end: str = "
     Windows run over pieces of a chromosome. What a piece has to know of those before it (how
     far they reach, where their last island began) is a prefix over one row a piece.
     """
-    piece = [*keys, "_piece"]
-    d = rows.withColumn("_piece", _bin(F.col(start), ISLAND_BIN))
+    at, far, top, head, origin = unused([*rows.columns, "island"], "_piece", "_far", "_max", "_head", "_from")
+    piece = [*keys, at]
+    d = rows.withColumn(at, _bin(F.col(start), ISLAND_BIN))
     along = Window.partitionBy(*piece).orderBy(start, end)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    reach = d.groupBy(*piece).agg(F.max(end).alias("_far")).withColumn("_far", F.max("_far").over(over))
+    over = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    reach = d.groupBy(*piece).agg(F.max(end).alias(far)).withColumn(far, F.max(far).over(over))
     # Every row has a piece of its own table, so the join loses none; keys are compared null-safe.
     d = _join_pieces(d, reach, piece)
-    d = d.withColumn("_max", F.greatest(F.max(end).over(before), F.col("_far")))
-    d = d.withColumn("_head", F.when(F.col("_max").isNull() | (F.col(start) > F.col("_max")), F.col(start)))
-    heads = d.groupBy(*piece).agg(F.max("_head").alias("_from")).withColumn("_from", F.max("_from").over(over))
+    d = d.withColumn(top, F.greatest(F.max(end).over(before), F.col(far)))
+    d = d.withColumn(head, F.when(F.col(top).isNull() | (F.col(start) > F.col(top)), F.col(start)))
+    heads = d.groupBy(*piece).agg(F.max(head).alias(origin)).withColumn(origin, F.max(origin).over(over))
     d = _join_pieces(d, heads, piece)
     # By range, as rows of one start may come in another order than above.
-    here = F.max("_head").over(Window.partitionBy(*piece).orderBy(start).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return d.withColumn("island", F.greatest(here, F.col("_from"))).select(*rows.columns, "island")
+    here = F.max(head).over(Window.partitionBy(*piece).orderBy(start).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return d.withColumn("island", F.greatest(here, F.col(origin))).select(*rows.columns, "island")
 
 
 def _join_pieces(rows: DataFrame, small: DataFrame, piece: list[str]) -> DataFrame:

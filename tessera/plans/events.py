@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.config import ClusterOptions, PairOptions
+from tessera.functions.expr import unused
 from tessera.operators import cluster, cover, intervals, pairs, splits, stats
 from tessera.session import cut, materialize
 
 
-def detect(reads: DataFrame, options: PairOptions) -> dict[str, DataFrame]:
+def detect(reads: DataFrame, options: PairOptions, seen: Observation | None = None) -> dict[str, DataFrame]:
     """Reads -> limits of the read groups, discordant pairs, split reads and anchors.
 
     One exchange by (rg, clone) serves the mate join and the fragment flags; thresholds are a
-    row a read group and travel to the tasks.
+    row a read group and travel to the tasks. ``seen`` is told, by the one job that reads all
+    reads after that, ``reads`` and ``reads_without_limits``, those of groups that have none and are left out.
     """
     r = reads if options.use_read_groups else reads.withColumn("rg", F.lit("D"))
     limits = cut(stats.thresholds(stats.first_of_group(stats.usable_inserts(r), options.sample, "rg", "chr", "pos", "clone", "num", "flag", "tlen", "cigar"), options.max_distance))
+    if seen is not None:
+        (known,) = unused(r.columns, "_known")
+        r = r.join(F.broadcast(limits.select("rg", F.lit(True).alias(known))), "rg", "left")
+        r = r.observe(seen, F.count("*").alias("reads"), F.count_if(F.col(known).isNull()).alias("reads_without_limits")).drop(known)
     flagged = materialize(pairs.split_and_anchor_flags(pairs.filter_reads(r, limits)))
     mapped = flagged.unionByName(pairs.alternative_hits(flagged))
     found = pairs.discordant(pairs.classify(pairs.mate_pairs(mapped), limits)).withColumn("name", F.col("clone"))

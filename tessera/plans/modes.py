@@ -26,15 +26,13 @@ def preprocess(reads: DataFrame, out: str, options: PairOptions) -> dict[str, in
     expected at ``aligned/rg=...``, as the manifest tells.
     """
     r = reads if options.use_read_groups else reads.withColumn("rg", F.lit("D"))
-    found = events.detect(r, options)
+    seen = {k: Observation(k) for k in ("groups", "halves", "anchors", "pairs")}
+    found = events.detect(r, options, seen["groups"])
     limits = found["limits"]
     length = options.read_length
     if length is None:
         modes = stats.read_length_mode(r).collect()  # a row at most
         length = modes[0].len if modes else 100
-    seen = {k: Observation(k) for k in ("groups", "halves", "anchors", "pairs")}
-    known = r.select("rg").join(F.broadcast(limits.select("rg", F.lit(True).alias("known"))), "rg", "left")  # a row a read group
-    known.observe(seen["groups"], F.count("*").alias("reads"), F.count_if(F.col("known").isNull()).alias("reads_without_limits")).write.format("noop").mode("overwrite").save()
     halves = splits.halve(found["splits"], int(length) // 2)
     states = [F.count_if(F.col("status") == s).alias(f"halves_{s}") for s in ("ok", "trimmed", "short", "error")]
     files.write_halves(halves.observe(seen["halves"], F.count("*").alias("split_reads"), *states), f"{out}/halves")

@@ -83,8 +83,8 @@ def _samples(r: DataFrame) -> DataFrame:
 
 
 def _limits(r: DataFrame) -> DataFrame:
-    """A row a read group, written once: each use would sort the samples anew."""
-    return cut(stats.thresholds(cut(_samples(r)), MAX_DISTANCE))
+    """A row a read group, written once, by one aggregate over the samples."""
+    return cut(stats.thresholds(_samples(r), MAX_DISTANCE))
 
 
 def _classified(r: DataFrame) -> DataFrame:
@@ -131,6 +131,15 @@ def sample_per_rg(spark, d):
     return _samples(T.reads(spark, d)).select("rg", "clone", "rn", "size", "rank")
 
 
+@query("sample_in_parts", "SELECT rg, clone, rn, size, rank FROM samples")
+def sample_in_parts(spark, d):
+    """The same sample off a table sorted by position, read only as far as the read groups need."""
+    r = materialize(T.reads(spark, d).repartitionByRange("pos").sortWithinPartitions("pos"))
+    groups = [x.rg for x in r.select("rg").distinct().collect()]  # as a header would tell: a read group each
+    got = stats.first_of_group_in_parts(stats.position_parts(r, "pos", 1 << 12), groups, SAMPLE, "rg", "pos", "clone", "rn", usable=stats.usable_inserts)
+    return got.select("rg", "clone", "rn", "size", "rank")
+
+
 @query("ref_median_mad", "SELECT rg, n, median::BIGINT AS median, mad::BIGINT AS mad FROM mads")
 def ref_median_mad(spark, d):
     return stats.median_and_mad(_samples(T.reads(spark, d)))
@@ -322,9 +331,7 @@ def weighted_support(spark, d):
 
 @query("shared_names", "SELECT name, count(*) AS sets, min(set_id) AS first FROM members GROUP BY name HAVING count(*) > 1")
 def shared_names(spark, d):
-    m = _island_members(T.reads(spark, d))
-    shared = cover.shared_names(m)
-    return m.join(shared, "name").groupBy("name", "sets").agg(F.min("set_id").alias("first"))
+    return cover.shared_names(_island_members(T.reads(spark, d)))
 
 
 @query("touched_sets", "SELECT DISTINCT set_id FROM members WHERE name IN (SELECT name FROM members GROUP BY name HAVING count(*) > 1)")
@@ -379,6 +386,35 @@ def truth_match(spark, d):
     return score.match_truth(_calls(spark, d), T.truth(spark, d))
 
 
+#: As MATCHED, for each caller by itself; events have types.
+TYPED = """, typed AS (SELECT *, CASE WHEN truth_id % 3 = 0 THEN 'EVERSION' ELSE 'DELETION' END AS svtype FROM truth),
+  tagged AS (SELECT family AS caller, chr || ':' || "start" AS call_id, chr, "start", "end" FROM merged WHERE family IN ('DELETION', 'EVERSION') AND n >= 2),
+  met AS (SELECT c.*, list(t.truth_id ORDER BY t."start", t."end", t.truth_id) AS events FROM tagged c JOIN truth t ON t.chr = c.chr AND t."start" - 100 < c."end" AND t."end" + 100 > c."start" GROUP BY ALL),
+  offers AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY caller, chr ORDER BY "start", "end", call_id) AS k FROM met),
+  hit_list AS (SELECT caller, chr, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS truth_id FROM (SELECT DISTINCT caller, chr FROM offers)
+    UNION ALL SELECT caller, chr, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick
+    FROM (SELECT o.caller, o.chr, o.k, h.used, list_filter(o.events, lambda x: NOT list_contains(h.used, x))[1] AS pick FROM hit_list h JOIN offers o ON o.caller = h.caller AND o.chr = h.chr AND o.k = h.k + 1)),
+  n AS (SELECT f.caller, (SELECT count(*) FROM hit_list h WHERE h.caller = f.caller AND h.truth_id IS NOT NULL) AS n_found, (SELECT count(*) FROM tagged c WHERE c.caller = f.caller) AS n_calls,
+    (SELECT count(*) FROM typed t WHERE t.svtype = f.caller) AS n_known FROM (VALUES ('DELETION'), ('EVERSION')) f(caller))"""
+
+
+def _typed(spark, d):
+    """Calls of two families as two callers, and events with types."""
+    m = intervals.merge(_evidence(T.reads(spark, d)).withColumn("family", X.type_family(F.col("svtype"))), ["chr", "family"])
+    m = m.where("family in ('DELETION', 'EVERSION') and n >= 2").select(F.col("family").alias("caller"), F.concat_ws(":", "chr", F.col("start").cast("string")).alias("call_id"), "chr", "start", "end")
+    return m, T.truth(spark, d).withColumn("svtype", F.when(F.col("truth_id") % 3 == 0, "EVERSION").otherwise("DELETION"))
+
+
+@query("recall_by_type", TYPED + """ SELECT caller, n_found, n_calls, CASE WHEN n_calls > 0 THEN n_found / n_calls ELSE 0.0 END AS precision, n_known, CASE WHEN n_known > 0 THEN n_found / n_known ELSE 0.0 END AS recall FROM n""")
+def recall_by_type(spark, d):
+    return score.recall_by_type(*_typed(spark, d), {"DELETION": "DELETION", "EVERSION": "EVERSION"})
+
+
+@query("truth_support", TYPED + """ SELECT t.truth_id, t.chr, t."start", t."end", t.svtype, c.caller, c.call_id, c."start" AS call_start, c."end" AS call_end FROM typed t JOIN tagged c ON t.chr = c.chr AND t."start" - 100 < c."end" AND t."end" + 100 > c."start" """)
+def truth_support(spark, d):
+    return score.support_listing(*_typed(spark, d))
+
+
 @query("truth_matrix", """, h AS (SELECT t.truth_id, m.family FROM truth t JOIN merged m ON m.chr = t.chr AND t."start" - 100 < m."end" AND t."end" + 100 > m."start")
   SELECT t.truth_id, t.chr, t."start", t."end", count(*) FILTER (h.family = 'DELETION') AS "DELETION", count(*) FILTER (h.family = 'INSERTION') AS "INSERTION", count(*) FILTER (h.family = 'EVERSION') AS "EVERSION"
   FROM truth t LEFT JOIN h USING (truth_id) GROUP BY ALL""")
@@ -408,7 +444,7 @@ def chromosomes(spark, d):
 def final_sort(spark, d):
     e = _evidence(T.reads(spark, d)).withColumn("family", X.type_family(F.col("svtype")))
     m = intervals.merge(e, ["chr", "family"])
-    return score.rank_within(m, ["chr"], F.desc("n"), "start", "end", "family").withColumn("rank", F.col("rank").cast("long"))
+    return score.rank_within(m, ["chr"], F.desc("n"), "start", "end", "family")
 
 
 def _all_evidence(spark, d):
@@ -466,7 +502,16 @@ def greedy_cover(spark, d):
     return cover.greedy_cover(made.sets, cluster.set_members(made), 1.0, 2)
 
 
-@query("calls", """SELECT set_id, chr, x.s AS "start", x.si AS inner_start, x.ei AS inner_end, x.e AS "end", CASE WHEN x.svtype IN ('DELETION', 'DELINV') THEN 'DELETION' WHEN x.svtype IN ('INSERTION', 'INSINV') THEN 'INSERTION' ELSE 'TANDEM' END AS svtype,
-  x.disc AS disc_support, x.split AS split_support, x.unb AS unbalanced_support, support AS weighted_support FROM sets JOIN taken ON taken.set_id = x.id WHERE x.svtype IN ('DELETION', 'DELINV', 'INSERTION', 'INSINV', 'EVERSION')""", COVER)
+CALLS = """SELECT set_id, chr, x.s AS "start", x.si AS inner_start, x.ei AS inner_end, x.e AS "end", CASE WHEN x.svtype IN ('DELETION', 'DELINV') THEN 'DELETION' WHEN x.svtype IN ('INSERTION', 'INSINV') THEN 'INSERTION' ELSE 'TANDEM' END AS svtype,
+  x.disc AS disc_support, x.split AS split_support, x.unb AS unbalanced_support, support AS weighted_support FROM sets JOIN taken ON taken.set_id = x.id WHERE x.svtype IN ('DELETION', 'DELINV', 'INSERTION', 'INSINV', 'EVERSION')"""
+
+
+@query("calls", CALLS, COVER)
 def calls(spark, d):
     return events.call_events(_all_evidence(spark, d), ClusterOptions())
+
+
+@query("ranked_calls", f"""SELECT *, row_number() OVER (PARTITION BY chr ORDER BY floor(weighted_support) DESC, "start", inner_start, inner_end, "end", svtype, set_id) AS rank FROM ({CALLS})""", COVER)
+def ranked_calls(spark, d):
+    called = events.call_events(_all_evidence(spark, d), ClusterOptions())
+    return score.rank_within(called, ["chr"], F.desc(F.floor("weighted_support")), "start", "inner_start", "inner_end", "end", "svtype", "set_id")

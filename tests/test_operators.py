@@ -483,3 +483,87 @@ def test_stream_of_pairs(spark, tmp_path):
 def test_shared_lineage_is_read_once(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "lineitem" not in plan and plan.count("FileScan") <= 14
+
+
+def test_ranks_of_one_large_key_come_from_many_tasks(spark):
+    """Ranks are those of sorting each key; nulls are one key; columns named like the helpers stay."""
+    rng = random.Random(4)
+    rows = [(("a" if i % 3 else None) if i % 5 else "b", rng.randrange(40), i, f"p{i}", i % 2 == 0) for i in range(3000)]
+    d = spark.createDataFrame(rows, "chr string, n int, id int, _part string, _before boolean")
+    got = score.rank_within(d, ["chr"], F.desc("n"), "id")
+    assert got.columns == [*d.columns, "rank"] and dict(got.dtypes)["rank"] == "bigint"
+    want = {}
+    for key in ("a", "b", None):
+        for k, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))):
+            want[r] = k + 1
+    assert {tuple(r)[:-1]: r.rank for r in got.collect()} == want
+    assert score.rank_within(d.limit(0), ["chr"], "id").count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_part" in w for w in plan.split("\n") if "row_number" in w)  # no window over a whole key
+
+
+def test_sampling_stops_before_files_that_it_does_not_need(spark, tmp_path):
+    """19 of 20 files are unreadable, and yet the sample is that of the whole table."""
+    rng = random.Random(2)
+    groups = [f"g{k}" for k in range(30)]
+    rows = [(g, rng.randrange(1000) if i < 25 else rng.randrange(20_000), f"c{g}{i}", i) for g in groups for i in range(600)]
+    d = spark.createDataFrame(rows, "rg string, pos long, clone string, rank int").drop("rank")
+    want = {tuple(r) for r in stats.first_of_group(d, 20, "rg", "pos", "clone").collect()}
+    at = str(tmp_path / "reads")
+    d.withColumn("bin", F.floor(F.col("pos") / 1000)).repartition("bin").write.partitionBy("bin").parquet(at)
+    for folder in (tmp_path / "reads").glob("bin=*"):
+        if folder.name != "bin=0":
+            for f in folder.glob("*.parquet"):
+                f.write_bytes(b"not a table")
+            for f in folder.glob(".*.crc"):
+                f.unlink()
+    parts = (p for k in range(20) for p in [spark.read.schema("rg string, pos long, clone string, bin long").parquet(at).where(F.col("bin") == k)])
+    got = stats.first_of_group_in_parts(parts, groups, 20, "rg", "pos", "clone").drop("bin")
+    assert {tuple(r) for r in got.select("rg", "pos", "clone", "rank").collect()} == want and len(want) == 600
+
+
+def test_sampling_by_parts_equals_the_whole(spark):
+    """Groups that fill late, never, or have no row; rows without a group or a position; a column named like a helper."""
+    rng = random.Random(3)
+    rows = [(g, rng.randrange(lo, hi), f"c{i}", i) for g, lo, hi, n in (("early", 0, 50, 40), ("late", 3000, 9000, 40), ("few", 0, 100_000, 3), ("spread", 0, 9000, 60)) for i in range(n)]
+    rows += [(None, 5, "x", 0), ("early", None, "y", 1), ("unnamed", 1, "z", 2)]
+    d = spark.createDataFrame(rows, "rg string, pos long, clone string, _earlier int")
+    named = ["early", "late", "few", "spread", "absent"]
+    want = sorted(map(tuple, stats.first_of_group(d.where(F.col("rg").isin(named)), 10, "rg", "pos", "clone").collect()), key=repr)
+    got = stats.first_of_group_in_parts(stats.position_parts(d, "pos", 64, 8, 1 << 14), named, 10, "rg", "pos", "clone")
+    assert got.columns == ["rg", "pos", "clone", "_earlier", "rank"]
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    with pytest.raises(ValueError):
+        stats.first_of_group_in_parts([], named, 10, "rg", "pos")
+
+
+def test_recall_by_type_is_that_of_matching_each_caller(spark):
+    rng = random.Random(9)
+    truth = [(i, "DEL" if i % 3 else "TAND", "ab"[i % 2], s, s + rng.randrange(50, 900)) for i, s in enumerate(rng.randrange(20_000) for _ in range(60))]
+    calls = [(rng.choice("pq"), f"c{i % 40}", "ab"[i % 2], s, s + rng.randrange(50, 2000)) for i, s in enumerate(rng.randrange(20_000) for _ in range(90))]
+    calls += [("p", "same", "a", 10, 20_000), ("q", "same", "a", 10, 20_000)]  # equal calls of two callers
+    kinds = {"p": "DEL", "q": "TAND", "silent": "INV"}
+    t = spark.createDataFrame(truth, "truth_id long, svtype string, chr string, start long, end long")
+    c = spark.createDataFrame(calls, "caller string, call_id string, chr string, start long, end long")
+    got = {r.caller: r for r in score.recall_by_type(c, t, kinds).collect()}
+    for caller, kind in kinds.items():
+        used = set()
+        mine = [x for x in calls if x[0] == caller]
+        for _, _, chrom, s, e in sorted(mine, key=lambda x: (*x[2:], x[1])):
+            free = [x for x in sorted(truth, key=lambda x: (*x[3:], x[0])) if x[2] == chrom and x[3] - 100 < e and x[4] + 100 > s and x[0] not in used]
+            used |= {free[0][0]} if free else set()
+        known = sum(x[1] == kind for x in truth)
+        assert (got[caller].n_found, got[caller].n_calls, got[caller].n_known) == (len(used), len(mine), known)
+        assert got[caller].recall == (len(used) / known if known else 0) and got[caller].precision == (len(used) / len(mine) if mine else 0)
+    listed = {(r.truth_id, r.caller, r.call_id, r.call_start) for r in score.support_listing(c, t).collect()}
+    assert listed == {(x[0], y[0], y[1], y[3]) for x in truth for y in calls if x[2] == y[2] and x[3] - 100 < y[4] and x[4] + 100 > y[3]}
+
+
+def test_columns_named_like_helpers_stay(spark):
+    d = spark.createDataFrame([("a", 0, 10, "s", "e", 1, 2, 3, 4, 5), ("a", 5, 20, "t", "f", 6, 7, 8, 9, 0)], "chr string, start int, end int, _s string, _e string, _piece int, _far int, _max int, _head int, _from int")
+    got = intervals.islands(d, ["chr"])
+    assert got.columns == [*d.columns, "island"] and {tuple(r)[:-1] for r in got.collect()} == {tuple(r) for r in d.collect()} and {r.island for r in got.collect()} == {0}
+    met = intervals.overlap_pairs(d, d, ["chr"])
+    assert met.count() == 4 and {(r.b._s, r.b._e) for r in met.collect()} == {("s", "e"), ("t", "f")}
+    kept = stats.first_of_group(d.withColumnsRenamed({"_s": "_part", "_e": "_rank"}), 1, "chr", "start")
+    assert [(r._part, r._rank, r.rank) for r in kept.collect()] == [("s", "e", 1)]
