@@ -4,7 +4,9 @@ Benchmark items and documents are normalised to lower-cased words. The automaton
 numbers and holds anchors: of an item of ``window`` words or more, every ``STEP``-th run of
 ``ANCHOR`` words, of a shorter one all its words. Any ``window`` words of an item hold an anchor
 whole, so each place where a document can match is found in one scan; the match is then
-extended word by word both ways and counts if it is as long as a window. Matches are mapped to
+extended word by word both ways and counts if it is as long as a window. Of an anchor that stands at more than
+``BUSY`` places (the start of a template) the windows that hold it are keys instead, each with its
+items: such a match needs no extension, and a text lists a key's items once. Matches are mapped to
 word numbers and, on demand, to character offsets of the original text.
 
 The automaton takes about 15 bytes for each byte of the benchmark. What a task holds is bounded:
@@ -29,6 +31,8 @@ from tessera.session import materialize
 
 WINDOW = 10
 ANCHOR = 5
+#: Places of an anchor up to which matches are extended from it.
+BUSY = 16
 #: Bytes of benchmark text for one automaton.
 BLOCK_BYTES = 16 << 20
 #: The words as they stand in the original text.
@@ -46,7 +50,8 @@ class Benchmark:
         self.number: dict[bytes, int] = {}
         self.ids: list[int | None] = []
         row, starts = [0], []
-        places: dict[tuple, list[int]] = {}
+        places: dict[tuple, list[int]] = {}  # anchors: places in the row
+        whole: dict[tuple, list[int]] = {}  # windows and short items: the items that have them
         anchor = min(ANCHOR, window)
         step = window - anchor + 1
         for item, text in items:
@@ -58,21 +63,27 @@ class Benchmark:
             self.ids.append(item)
             row += [*words, 0]
             if len(words) < window:
-                places.setdefault(tuple(words), []).append(at)
+                whole.setdefault(tuple(words), []).append(len(starts) - 1)
             for i in range(0, len(words) - anchor + 1 if len(words) >= window else 0, step):
                 places.setdefault(tuple(words[i : i + anchor]), []).append(at + i)
         self.row = np.array(row, np.int32)
         self.starts = np.array(starts, np.int64)
         self.ends = np.append(self.starts[1:], len(row)) - 1 if starts else np.zeros(0, np.int64)
+        for key in [k for k, at in places.items() if len(at) > BUSY]:
+            at = np.array(places.pop(key))
+            for p, item in zip(at.tolist(), (np.searchsorted(self.starts, at, "right") - 1).tolist()):
+                for i in range(max(starts[item], p - step + 1), min(p, int(self.ends[item]) - window) + 1):
+                    having = whole.setdefault(tuple(row[i : i + window]), [])
+                    if not having or having[-1] != item:
+                        having.append(item)
+        keys = list(dict.fromkeys([*places, *whole]))
+        self.sizes = [len(k) for k in keys]
+        self.places, self.cuts = _joined(places, keys)
+        self.having, self.having_cuts = _joined(whole, keys)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        cuts, sizes = [0], []
-        for k, (key, at) in enumerate(places.items()):
+        for k, key in enumerate(keys):
             self.automaton.add_word(key, k)
-            cuts.append(cuts[-1] + len(at))
-            sizes.append(len(key))
-        self.cuts, self.sizes = np.array(cuts, np.int64), sizes
-        self.places = np.fromiter((p for at in places.values() for p in at), np.int64, cuts[-1])
-        if places:
+        if keys:
             self.automaton.make_automaton()
 
     def scan(self, text: str | None) -> tuple[int, np.ndarray, set[int]]:
@@ -86,21 +97,27 @@ class Benchmark:
         numbers = tuple([get(w, none) for w in words])
         doc, steps, items = None, None, set()
         done: dict[int, int] = {}  # diagonal -> where its last match ends, so that a long match is extended once
+        seen: set[int] = set()  # keys whose items are listed already
         for end, k in self.automaton.iter(numbers):
             if doc is None:
                 doc = np.array([-1, *numbers, -1], np.int32)  # words stand one place later
                 steps = np.zeros(len(words) + 1, np.int64)
             at = end + 2 - self.sizes[k]
+            if self.having_cuts[k] < self.having_cuts[k + 1]:
+                steps[at - 1] += 1
+                steps[end + 1] -= 1
+                if k not in seen:
+                    seen.add(k)
+                    items.update(self.having[self.having_cuts[k] : self.having_cuts[k + 1]].tolist())
             for place in self.places[self.cuts[k] : self.cuts[k + 1]].tolist():
                 if done.get(place - at, -1) > at:
                     continue
                 a, z = self._extend(doc, at, place, self.sizes[k])
                 done[place - at] = z
-                item = int(np.searchsorted(self.starts, place, "right")) - 1
-                if z - a >= min(self.window, int(self.ends[item] - self.starts[item])):
+                if z - a >= self.window:
                     steps[a - 1] += 1
                     steps[z - 1] -= 1
-                    items.add(item)
+                    items.add(int(np.searchsorted(self.starts, place, "right")) - 1)
         if steps is None:
             return len(words), np.zeros(0, bool), set()
         return len(words), np.cumsum(steps)[:-1] > 0, {self.ids[i] for i in items} - {None}
@@ -116,6 +133,19 @@ class Benchmark:
         return a, z
 
 
+def _joined(lists: dict[tuple, list[int]], keys: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of the keys in one array, and where each begins and ends."""
+    cuts = np.cumsum([0, *(len(lists.get(k, ())) for k in keys)])
+    return np.fromiter((x for k in keys for x in lists.get(k, ())), np.int64, int(cuts[-1])), cuts
+
+
+def built(held: dict, window: int) -> Benchmark:
+    """The automaton of a broadcast {"items": ...}, built once in a worker process: tasks that share it share the dict, too."""
+    if "made" not in held:
+        held["made"] = Benchmark(held.pop("items"), window)
+    return held["made"]
+
+
 def hit_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     """Character ranges [start, end) of the original text that the hit words cover."""
     spans: list[tuple[int, int]] = []
@@ -148,6 +178,8 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-total // block_bytes)
+    if count > 1:
+        items = materialize(items)
     for k in range(count):
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).toLocalIterator()]
 
@@ -162,11 +194,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     names = docs.columns
     found = None
     for block in blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(block)
+        sent = spark.sparkContext.broadcast({"items": block})
         first = found is None
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, first: bool = first) -> Iterator[pa.RecordBatch]:
-            items = Benchmark(sent.value, window)
+            items = built(sent.value, window)
             for b in batches:
                 count, hit, ids = [], [], []
                 for k, t in enumerate(b.column("text")):

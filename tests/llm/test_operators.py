@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -821,6 +822,37 @@ def test_decontamination_extends_anchors_exactly():
         assert (n, int(hit.sum())) == want[:2] and sorted(map(str, found)) == [x for x in want[2] if x != "None"]
 
 
+def test_decontamination_of_templates(monkeypatch):
+    """Items that begin alike: windows of their common start are keys, and the rest is found as before; BUSY changes nothing."""
+    rng = random.Random(21)
+    for busy in (0, 2, 16):
+        monkeypatch.setattr(decontam, "BUSY", busy)
+        for _ in range(60):
+            start = prose(rng, rng.randrange(5, 16), 50)
+            items = [(i, f"{start} {prose(rng, rng.randrange(0, 20), 4)}") for i in range(20)] + [(20, "w1 " * 30), (21, prose(rng, 5, 3)), (None, start)]
+            text = " ".join([prose(rng, 20, 4), items[3][1], start, start, "w1 " * 25, items[21][1], items[5][1][:40], start])
+            n, hit, found = decontam.Benchmark(items).scan(text)
+            want = decontam_brute(text, items)
+            assert (n, int(hit.sum())) == want[:2] and sorted(map(str, found)) == [x for x in want[2] if x != "None"]
+
+
+def test_decontamination_of_many_items_with_one_start_is_fast():
+    rng = random.Random(22)
+    held = decontam.Benchmark([(i, f"which of the following is true about the {prose(rng, 12, 10**6)}") for i in range(20_000)])
+    text = "which of the following is true about the " * 50
+    began = time.time()
+    for _ in range(10):
+        assert not held.scan(text)[1].any()
+    assert time.time() - began < 1
+    assert held.scan(text + prose(rng, 3, 10**6))[2] == set()
+
+
+def test_decontamination_automaton_is_built_once_a_worker():
+    held = {"items": [(1, "one two three")]}
+    made = decontam.built(held, 10)
+    assert decontam.built(held, 10) is made and "items" not in held
+
+
 def test_decontamination_automaton_is_small():
     import resource
 
