@@ -3,7 +3,7 @@
 Documents are tokenised whole, cut into pieces of at most ``capacity`` tokens, and only the
 histogram of piece lengths (at most ``capacity`` numbers, however large the corpus) goes to
 the driver. There, patterns of a few lengths that fill a sequence are enumerated, their
-repeat counts are fitted to the histogram by non-negative least squares, rounded down, and
+repeat counts are fitted to the histogram by non-negative least squares, rounded, and
 the residual lengths are packed best-fit. Pieces then learn their place from their rank
 among the pieces of their length, which is counted in salted groups.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ CAPACITY = 1024
 END = 2
 #: Pieces of one length in one numbering group.
 GROUP = 50_000
+#: Tokens that a fitted pattern may leave free.
+SLACK = 8
 
 
 def tokenizer(path: str):
@@ -111,48 +114,84 @@ def patterns(lengths: np.ndarray, capacity: int, per_length: int = 24) -> list[t
     return sorted(out)
 
 
-def fit(counts: np.ndarray, choices: list[tuple[int, ...]], rounds: int = 400) -> np.ndarray:
-    """Non-negative least squares by multiplicative updates: repeats of each pattern, so that all use up the histogram.
+def fit(counts: np.ndarray, choices: list[tuple[int, ...]], rounds: int = 60, entering: int = 128) -> np.ndarray:
+    """Non-negative least squares by an active set: repeats of each pattern, so that all use up the histogram.
 
-    Fuller patterns start higher; each row of the matrix is a length, scaled by its count so
-    that rare lengths weigh as much as frequent ones.
+    In each round the patterns that promise most (by the gradient; no two with a common length) enter,
+    and those that the least squares of all in use would make negative leave. At most as many stay in use as there
+    are lengths, so that repeats are few and large. Each row of the matrix is a length, scaled by its count, so
+    that rare lengths weigh as much as frequent ones. What is left
+    unfitted is packed like all residuals.
     """
     width = max(map(len, choices))
     slots = np.array([[*c, *[0] * (width - len(c))] for c in choices])
     want = counts.astype(float)
     want[0] = 0
     scale = np.where(want > 0, 1 / np.maximum(want, 1), 0)
-    free = slots.sum(1)
-    x = np.full(len(choices), want.sum() / max(1, slots.astype(bool).sum())) * (free / free.max()) ** 64
-    goal = (scale * scale * want)[slots].sum(1)
-    for _ in range(rounds):
-        used = np.bincount(slots.ravel(), np.repeat(x, width), len(counts))
-        used[0] = 0
-        x *= goal / np.maximum((scale * scale * used)[slots].sum(1), 1e-300)
-    return x
+    x, used = np.zeros(len(choices)), np.zeros(0, np.int64)
+    columns = np.zeros((len(counts), 0))
 
+    def column(k: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(counts), len(k)))
+        np.add.at(out, (slots[k], np.arange(len(k))[:, None]), 1)
+        return out * scale[:, None]
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that use every piece of the histogram exactly once."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        left[length] += n
-    out = []
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    if len(lengths := np.flatnonzero(left)):
-        choices = patterns(lengths, capacity)
-        x = fit(left, choices)
-        for k in np.lexsort((np.arange(len(choices)), -x)).tolist():
-            pattern = choices[k]
-            need = {a: pattern.count(a) for a in pattern}
-            n = min(int(x[k]), *(int(left[a]) // m for a, m in need.items()))
-            if n > 0 and sum(pattern) >= capacity - 8:  # looser ones are left to the residual packing
-                out.append((pattern, n))
+    goal = scale * want
+    kept, least, idle = x.copy(), float(goal @ goal), 0
+    for _ in range(rounds):
+        missing = goal - columns @ x[used]
+        gain = (scale * missing)[slots].sum(1) / np.sqrt((scale[slots] ** 2).sum(1))
+        gain[used] = 0
+        new, touched = [], set()
+        for k in np.argsort(-gain, kind="stable").tolist():
+            if gain[k] < 1e-6 or len(new) == entering:
+                break
+            if touched.isdisjoint(choices[k]):
+                new.append(k)
+                touched.update(choices[k])
+        if not new:
+            break
+        columns, used = np.hstack([columns, column(np.array(new))]), np.append(used, new)
+        while len(used):
+            best = np.linalg.solve(columns.T @ columns + 1e-9 * np.eye(len(used)), columns.T @ goal)
+            stays = best > 1e-9
+            x[used] = np.maximum(best, 0)
+            columns, used = columns[:, stays], used[stays]
+            if stays.all():
+                break
+        missing = goal - columns @ x[used]
+        error = float(missing @ missing)
+        idle = 0 if error < 0.99 * least else idle + 1
+        if error < least:
+            kept, least = x.copy(), error
+        if idle == 3 or least < 1e-6 * float(goal @ goal):
+            break
+    return kept
+
+
+def fitted(counts: np.ndarray, choices: list[tuple[int, ...]], x: np.ndarray, least: float) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """(pattern, repeats) of the fitted, rounded repeats, and the pieces that these leave.
+
+    Whole repeats come first, then one more of each pattern with a fraction of ``least`` or more, the
+    largest first, as long as its pieces last.
+    """
+    left, out = counts.copy(), []
+    whole = np.floor(x + 1e-6)
+    for repeats, order in ((whole, np.argsort(-x, kind="stable")), (x - whole >= least, np.argsort(whole - x, kind="stable"))):
+        for k in order.tolist():
+            need = Counter(choices[k])
+            n = min(int(repeats[k]), *(int(left[a]) // m for a, m in need.items()))
+            if n > 0:
+                out.append((choices[k], n))
                 for a, m in need.items():
                     left[a] -= m * n
-    while left.any():  # best fit: the longest piece, then whatever fills the room best, as often as it all lasts
+    return out, left
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats): the longest piece, then whatever fills the room best, as often as it all lasts."""
+    left, out = counts.copy(), []
+    while left.any():
         pattern, room, rest = [], capacity, left.copy()
         while len(fits := np.flatnonzero(rest[: room + 1])):
             a = int(fits[-1])
@@ -166,6 +205,32 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     return out
 
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) that use every piece of the histogram exactly once.
+
+    Fractions are rounded up from a half on, or, where that takes fewer sequences (histograms
+    of a few pieces a length), not at all.
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        left[length] += n
+    out = []
+    if left[capacity]:
+        out.append(((capacity,), int(left[capacity])))
+        left[capacity] = 0
+    lengths = np.flatnonzero(left)
+    # Looser patterns are left to the residual packing.
+    choices = [c for c in patterns(lengths, capacity) if sum(c) >= capacity - SLACK] if len(lengths) else []
+    if not choices:
+        return out + best_fit(left, capacity)
+    x = fit(left, choices)
+    ways = []
+    for least in (0.5, 1.0):
+        used, rest = fitted(left, choices, x, least)
+        ways.append(used + best_fit(rest, capacity))
+    return out + min(ways, key=lambda way: sum(n for _, n in way))
+
+
 def places(packed: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     """For each length: rows (first rank, first sequence, offset), by rank; ranks of a row go to consecutive sequences."""
     rows: dict[int, list[tuple[int, int, int]]] = {}

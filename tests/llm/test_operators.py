@@ -782,6 +782,21 @@ def test_pattern_plan_uses_all_once():
         assert used == dict(zip(lengths.tolist(), counts.tolist()))
 
 
+def test_fitted_patterns_place_most_pieces():
+    """Of a histogram with several pieces a length, most are placed by fitted patterns, and no more sequences are used than best fit alone uses."""
+    rng = np.random.default_rng(5)
+    lengths = np.clip((rng.lognormal(5.2, 0.9, 20_000)).astype(int), 1, 1023)
+    counts = np.bincount(lengths, minlength=1025)
+    choices = [c for c in packing.patterns(np.flatnonzero(counts), 1024) if sum(c) >= 1024 - packing.SLACK]
+    x = packing.fit(counts, choices)
+    assert (x >= 0).all() and (x > 0).sum() <= len(np.flatnonzero(counts))
+    used, rest = packing.fitted(counts, choices, x, 0.5)
+    assert rest.min() >= 0 and rest.sum() < counts.sum() / 2
+    assert sum(len(c) * n for c, n in used) + rest.sum() == counts.sum()
+    made = sum(n for _, n in packing.plan(dict(enumerate(counts.tolist()))))
+    assert made <= sum(n for _, n in packing.best_fit(counts, 1024)) and made * 1024 < lengths.sum() * 1.001 + 1024
+
+
 def decontam_brute(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w, hit, found = words(text), set(), set()
