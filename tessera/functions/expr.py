@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.config import ANCHOR_REACH, MIN_HALF_GAP, PAIR_REACH, PROPER_CLIP, SPLIT_CLIP
+from tessera.config import ANCHOR_REACH, MIN_HALF_GAP, PROPER_CLIP, SPLIT_CLIP
 
 PAIRED, PROPER, UNMAPPED, MATE_UNMAPPED, REVERSE, FIRST, SECOND, SECONDARY = 0x1, 0x2, 0x4, 0x8, 0x10, 0x40, 0x80, 0x100
 #: Evidence types by the name of a pair's class; anything else is MAXDIST.
