@@ -8,9 +8,9 @@ matrix products over about a square root of the outputs give normalised log-prob
 rare class a token has its smoothed share of the class's corpus count, so the probabilities of all
 tokens add up to one.
 
-Every training text is learned from (a random quarter of its tokens as what is to be predicted): in rounds over ever larger parts of the corpus each task
-trains numpy weights on its texts from the same start, and a Spark aggregate averages the tasks'
-weights by their tokens.
+Every training text is learned from, each of its tokens as what is to be predicted once: in rounds
+over ever larger parts of the corpus each task trains numpy weights on its texts from the same
+start, and a Spark aggregate averages the tasks' weights by their tokens.
 
 Counts come from the whole corpus too: tokens are counted for each task, summed by token, and
 joined back. The ``LOCAL`` most frequent ones (a fixed number) travel to the tasks, which
@@ -42,10 +42,8 @@ LOCAL = 1 << 17
 #: Rounds of training: sixteenths of the corpus that each takes (all of it in the end), and the learning rate.
 ROUNDS = ((1, 0.2), (3, 0.2), (12, 0.1))
 DIMENSIONS, NOISE, NEAR_NOISE, BATCH, BUFFER = 16, 24, 2, 2048, 1 << 17
-#: Of the tokens of every text, the share (drawn at random) that is predicted in training.
-TARGETS = 0.25
-#: Bytes of text that are scored at once.
-CHUNK = 1 << 20
+#: Bytes of text that are scored at once, and that are taken into the buffer of training at once.
+CHUNK, TRAIN_CHUNK = 1 << 20, 1 << 19
 #: Distinct tokens that a task counts before it passes them on.
 FLUSH = 300_000
 #: The end of a text. Words hold no white space, so it is none of them.
@@ -74,6 +72,10 @@ class Numbers:
             ids[i] = 1 + self.frequent + rare_class(words[i])
         return at, ids
 
+    def texts(self, split: list[list[bytes]]) -> np.ndarray:
+        """Output numbers of the words of texts in a row, each ended by 0."""
+        return np.insert(self(list(chain.from_iterable(split)))[1], np.cumsum([len(w) for w in split], dtype=np.int64), 0)
+
 
 class Layout:
     """Where the parts of the model lie in one matrix of weights: contexts, outputs, blocks, three square matrices.
@@ -110,22 +112,22 @@ def contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
-def _sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers and the sums of their rows."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[begin], np.add.reduceat(rows[order], begin, axis=0)
+def _sums(at: np.ndarray, rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which numbers occur, and the sums of their rows. places: the flat places of each number's row."""
+    seen = np.flatnonzero(np.bincount(at, minlength=len(places)))
+    sums = np.bincount(places.take(at, 0).ravel(), rows.ravel(), places.size).reshape(places.shape)
+    return seen, sums.take(seen, 0).astype(np.float32)
 
 
 class Trainer:
     """Noise-contrastive estimation with AdaGrad steps on a copy of the weights.
 
     For blocks, NOISE samples of the block unigram are shared by a batch; for outputs within a
-    block, each token has NEAR_NOISE samples of the unigram within its block.
+    block, each token has NEAR_NOISE samples of the unigram within its block. Every token is
+    predicted once; a ``share`` under 1 (not used by ``fit``) draws that part of them.
     """
 
-    def __init__(self, layout: Layout, weights: np.ndarray, unigram: np.ndarray, rate: float, share: float = TARGETS, seed: int = 2):
+    def __init__(self, layout: Layout, weights: np.ndarray, unigram: np.ndarray, rate: float, share: float = 1.0, seed: int = 2):
         self.share = share
         self.o, self.w, self.rate = layout, weights.copy(), np.float32(rate)
         self.past = np.full(weights.shape, 1e-6, np.float32)
@@ -136,12 +138,14 @@ class Trainer:
         self.log_block = np.log(NOISE * self.block_share).astype(np.float32)
         self.log_inner = np.log(NEAR_NOISE * share / np.repeat(self.block_share, layout.width)[: layout.outputs]).astype(np.float32)
         self.sum = np.concatenate([[0.0], np.cumsum(share)])
+        self.wide = np.arange(layout.outputs * (layout.dimensions + 1)).reshape(layout.outputs, -1)
+        self.narrow = np.arange(layout.outputs * layout.dimensions).reshape(layout.outputs, -1)
         self.tokens = 0
         self.held: list[np.ndarray] = []
         self.waiting = 0
 
     def add(self, ids: np.ndarray) -> None:
-        """Takes in one text. A buffer of texts is learned from in random order."""
+        """Takes in whole texts in a row, each ending in 0. A buffer of texts is learned from in random order."""
         self.held.append(ids)
         self.waiting += len(ids)
         if self.waiting >= BUFFER:
@@ -161,43 +165,53 @@ class Trainer:
 
     def _step(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         o, d, n = self.o, self.o.dimensions, len(word)
-        c, t, u = self.w[o.context, :d], self.w[o.target], self.w[o.block]
-        first, second, inner = (self.w[s, :d] for s in (o.first, o.second, o.inner))
-        a, b = c[one], c[two]
+        c, t, u = self.w[o.context], self.w[o.target], self.w[o.block]
+        # What the token before gives: to the hidden vector, then to that within the block.
+        before = np.hstack([self.w[o.first, :d], self.w[o.inner, :d]])
+        second = np.ascontiguousarray(self.w[o.second, :d])
+        a, b = c.take(one, 0)[:, :d], c.take(two, 0)[:, :d]
         block = word // o.width
+        # Hidden vectors have a last column of ones, for the biases.
+        hidden, inside = np.ones((2, n, d + 1), np.float32)
+        both = a @ before
+        hidden[:, :d] = both[:, :d] + b @ second
+        inside[:, :d] = both[:, d:]
         # Blocks: one hidden vector for each token, the noise shared.
-        hidden = a @ first + b @ second
         noise = self.draw.choice(o.blocks, NOISE, p=self.block_share)
-        own = 1 / (1 + np.exp(-((hidden * u[block, :d]).sum(1) + u[block, d] - self.log_block[block]))) - 1
-        other = 1 / (1 + np.exp(-(hidden @ u[noise, :d].T + u[noise, d] - self.log_block[noise])))
-        d_hidden = own[:, None] * u[block, :d] + other @ u[noise, :d]
-        ones = np.ones((n, 1), np.float32)
-        g_block = np.zeros_like(u)
-        at, sums = _sums(block, own[:, None] * np.hstack([hidden, ones]))
-        g_block[at] = sums
-        np.add.at(g_block, noise, other.T @ np.hstack([hidden, ones]))
+        own_row, noise_rows = u.take(block, 0), u[noise]
+        own = 1 / (1 + np.exp(self.log_block.take(block) - np.einsum("nd,nd->n", hidden, own_row))) - 1
+        other = 1 / (1 + np.exp(self.log_block[noise] - hidden @ noise_rows.T))
+        d_hidden = own[:, None] * own_row[:, :d] + other @ noise_rows[:, :d]
+        # Rows of the sum by block: a matrix product, as blocks are few.
+        member = np.zeros((o.blocks, n), np.float32)
+        member[block, np.arange(n)] = own
+        g_block = member @ hidden
+        np.add.at(g_block, noise, other.T @ hidden)
         # Outputs of the block: the token and its own noise.
-        inside = a @ inner
-        low, high = self.sum[block * o.width], self.sum[np.minimum((block + 1) * o.width, o.outputs)]
+        begin, end = block * o.width, np.minimum((block + 1) * o.width, o.outputs)
+        low, high = self.sum.take(begin), self.sum.take(end)
         drawn = np.searchsorted(self.sum, low[:, None] + self.draw.random((n, NEAR_NOISE)) * (high - low)[:, None], "right") - 1
-        drawn = np.clip(drawn, (block * o.width)[:, None], np.minimum((block + 1) * o.width, o.outputs)[:, None] - 1)
+        drawn = np.clip(drawn, begin[:, None], end[:, None] - 1)
         chosen = np.hstack([word[:, None], drawn])
-        rows = t[chosen]
-        score = np.einsum("nkd,nd->nk", rows[:, :, :d], inside) + rows[:, :, d] - self.log_inner[chosen]
-        error = 1 / (1 + np.exp(-score))
+        rows = t.take(chosen, 0)
+        error = 1 / (1 + np.exp(self.log_inner.take(chosen) - np.einsum("nkd,nd->nk", rows, inside)))
         error[:, 0] -= 1
-        d_inside = np.einsum("nk,nkd->nd", error, rows[:, :, :d])
-        at_t, g_t = _sums(chosen.ravel(), (error[:, :, None] * np.hstack([inside, ones])[:, None, :]).reshape(-1, d + 1))
-        at_c, g_c = _sums(np.concatenate([one, two]), np.concatenate([d_hidden @ first.T + d_inside @ inner.T, d_hidden @ second.T]))
+        d_inside = np.einsum("nk,nkd->nd", error, rows)[:, :d]
+        at_t, g_t = _sums(chosen.ravel(), (error[:, :, None] * inside[:, None, :]).reshape(-1, d + 1), self.wide)
+        at_c, g_c = _sums(np.concatenate([one, two]), np.concatenate([np.hstack([d_hidden, d_inside]) @ before.T, d_hidden @ second.T]), self.narrow)
         self._move(o.target.start + at_t, g_t / n)
-        self._move(np.arange(o.block.start, o.block.stop), g_block / n)
+        self._move(o.block, g_block / n)
         for part, g in ((o.first, a.T @ d_hidden), (o.second, b.T @ d_hidden), (o.inner, a.T @ d_inside)):
-            self._move(np.arange(part.start, part.stop), np.hstack([g, np.zeros((d, 1), np.float32)]) / n)
-        self._move(at_c, np.hstack([g_c, np.zeros((len(g_c), 1), np.float32)]) / n)
+            self._move(part, g / n)
+        self._move(at_c, g_c / n)
 
-    def _move(self, at: np.ndarray, g: np.ndarray) -> None:
-        self.past[at] += g * g
-        self.w[at] -= self.rate * g / np.sqrt(self.past[at])
+    def _move(self, at: np.ndarray | slice, g: np.ndarray) -> None:
+        """A step of the first columns of rows, as many as ``g`` has."""
+        k = g.shape[1]
+        past = self.past[at, :k] + g * g
+        self.past[at, :k] = past
+        np.sqrt(past, out=past)
+        self.w[at, :k] -= np.divide(self.rate * g, past, out=past)
 
 
 class Tables:
@@ -280,9 +294,8 @@ def fit(training: DataFrame, ranked: list[bytes], frequent: int, unigram: np.nda
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, rate: float = rate) -> Iterator[pa.RecordBatch]:
             numbers, trainer = Numbers(frequent, vocabulary.value), Trainer(layout, sent.value, unigram, rate)
-            for b in batches:
-                for text in b.column(0):
-                    trainer.add(np.append(numbers(space_words(text.as_py()))[1], 0))
+            for b in _parts(batches, 0, TRAIN_CHUNK):
+                trainer.add(numbers.texts([space_words(text.as_py()) for text in b.column(0)]))
             trainer.flush()
             if trainer.tokens:
                 cols = [pa.array(np.arange(layout.rows, dtype=np.int32)), pa.array(np.full(layout.rows, float(trainer.tokens)))]

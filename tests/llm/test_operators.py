@@ -939,6 +939,23 @@ def test_lm_probabilities_add_up_and_learn():
     assert after(5, 9)[9] > 0.8 and after(7, 3)[3] > 0.8
 
 
+def test_lm_predicts_every_token_once(monkeypatch):
+    """As ``fit`` trains: over several buffers, each token of each text is a target, after the two before it."""
+    rng = np.random.default_rng(8)
+    texts = [np.r_[rng.integers(1, 40, rng.integers(0, 90)), 0] for _ in range(60)]
+    seen = Counter()
+    monkeypatch.setattr(lm, "BUFFER", 500)
+    monkeypatch.setattr(lm.Trainer, "_step", lambda self, word, one, two: seen.update(zip(word.tolist(), one.tolist(), two.tolist())))
+    layout = lm.Layout(40)
+    unigram = np.bincount(np.concatenate(texts), minlength=40).astype(float)
+    trainer = lm.Trainer(layout, layout.start(unigram), unigram, 0.1)
+    for t in texts:
+        trainer.add(t)
+    trainer.flush()
+    want = Counter((int(w), int(t[i - 1]) if i else 0, int(t[i - 2]) if i > 1 else 0) for t in texts for i, w in enumerate(t))
+    assert seen == want and trainer.tokens == sum(map(len, texts))
+
+
 def test_lm_score_is_brute_force(spark):
     """Scores from the model's own probabilities and the corpus counts, token by token; all tokens' probabilities add up."""
     texts = corpus(13, 40)
