@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.text import hash_share, load_documents, space_words
@@ -170,6 +170,18 @@ def linked_fingerprints(nodes: DataFrame, max_bits: int, segments: int, hot: int
     return named.join(again, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
 
 
+def neighbour_pairs(prints: DataFrame, max_bits: int, segments: int) -> DataFrame:
+    """(f0, distinct) -> (f0, other): each fingerprint with the first and the one before it under each of its signatures, if within ``max_bits`` bits.
+
+    One shuffle of signatures, and at most two rows for each, however many share it.
+    """
+    order = Window.partitionBy("sig").orderBy("f0")
+    met = signatures(prints.select("f0"), segments).select("f0", F.first("f0").over(order).alias("lead"), F.lag("f0").over(order).alias("last"))
+    near = lambda other: F.coalesce((F.col(other) != F.col("f0")) & (F.bit_count(F.col("f0").bitwiseXOR(F.col(other))) <= max_bits), F.lit(False))
+    met = met.where(near("lead") | near("last"))
+    return met.select("f0", F.explode(F.array(F.when(near("lead"), F.col("lead")), F.when(near("last"), F.col("last")))).alias("other")).where("other is not null").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, text) -> (doc_id, fingerprint, component_id), a row for each input row.
 
@@ -223,12 +235,16 @@ def frequent_shingles(docs: DataFrame, shingle: int, bound: int = ORDER_ROWS) ->
     return table[np.argsort(np.ascontiguousarray(table[:, 0]).view(np.uint64))]
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float = 0.8, busy: int = BUSY) -> DataFrame:
+def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float = 0.8, busy: int = BUSY, max_bits: int = 4) -> DataFrame:
     """(doc_id, text) -> (doc_id, component_id) by the Jaccard similarity of the sets of word shingles.
 
     Texts with equal sets are one node. Nodes of ``min_similarity`` or more are linked, every
-    such pair: all sets are put in one order, rare shingles first, and a set of n shares one of
-    its first n - ceil(min_similarity * n) + 1 with each set that similar. Whole sets decide.
+    such pair. SimHash comes first: nodes whose fingerprints are equal or meet under a
+    one-wildcard signature within ``max_bits`` bits are compared, and those linked are
+    contracted. Fingerprints of similar sets may lie further apart, so nodes of two components
+    are then compared by an exact join: all sets are put in one order, rare shingles first, and a
+    set of n shares one of its first n - ceil(min_similarity * n) + 1 with each set that similar.
+    Whole sets decide in both.
     """
     distance = 1.0 - min_similarity
     sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
@@ -236,9 +252,11 @@ def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = np.ascontiguousarray(sent.value[:, 0]).view(np.uint64), sent.value[:, 1]
         for b in batches:
-            keys, sizes, heads = [], [], []
+            keys, sizes, prints, heads = [], [], [], []
             for t in b.column(1):
-                h = shingle_set(t.as_py(), shingle)
+                h = shingle_hashes(t.as_py(), shingle)
+                prints.append(majority_bits(h))
+                h = np.unique(h)
                 n = len(h)
                 keys.append(_set_key(h))
                 sizes.append(n)
@@ -246,14 +264,13 @@ def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float
                     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                     h = h[np.argsort(np.where(hashes[at] == h, counts[at], 0), kind="stable")]
                 heads.append(h[: n - math.ceil(min_similarity * n - 1e-9) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "key", "n", "head"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "key", "n", "f0", "head"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = cut(base.mapInArrow(first, "doc_id long, key binary, n int, head array<long>"))
-    grouped = found.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("head").alias("head")).where("node is not null")
+    found = cut(base.mapInArrow(first, "doc_id long, key binary, n int, f0 long, head array<long>"))
+    grouped = found.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.min("f0").alias("f0"), F.first("head").alias("head")).where("node is not null")
     # The ids are those of the written rows.
     nodes = cut(grouped.withColumn("v", F.monotonically_increasing_id()))
-    rows = nodes.where("n > 0").select("v", "n", F.posexplode("head").alias("at", "h"))
 
     def compared(pairs: DataFrame) -> DataFrame:
         """(a, b) -> a, b, near: whether they are similar, d: one less their similarity."""
@@ -273,13 +290,26 @@ def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float
         both = both.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("c"), (F.size("ha") + F.size("hb")).alias("total"))
         return both.select("a", "b", (F.col("c") >= F.lit(min_similarity) * (F.col("total") - F.col("c")) - 1e-9).alias("near"), (1 - F.col("c") / (F.col("total") - F.col("c"))).alias("d"))
 
+    # As many parts as the input has: each fingerprint is spread to 64 next.
+    prints = nodes.where("n > 0").groupBy("f0").agg(F.min("v").alias("a"))
+    prints = cut(prints.repartition(max(found.rdd.getNumPartitions(), 1), "f0"))
+    close = neighbour_pairs(prints, max_bits, max_bits // 2 + 1)
+    close = close.join(prints, "f0").select("a", "other").join(prints.select(F.col("f0").alias("other"), F.col("a").alias("b")), "other").select("a", "b")
+    equal = nodes.where("n > 0").select("v", "f0").join(prints, "f0").where("v <> a").select("a", F.col("v").alias("b"))
+    hashed = cut(compared(cut(close.union(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())).where("near"))
+    joined = cut(connected_components(hashed.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("vertex").alias("v"), F.col("component").alias("c")))
+    if joined.count() <= BROADCAST_IDS:
+        joined = F.broadcast(joined)
+    # c is null for nodes that no fingerprint links.
+    rows = nodes.where("n > 0").join(joined, "v", "left").select("v", "n", "c", F.posexplode("head").alias("at", "h"))
+
     def meet(left: DataFrame, more: Column) -> DataFrame:
-        """Pairs with a common shingle, the smaller set first, of which enough follows it in both sets."""
+        """Pairs of two components with a common shingle, the smaller set first, of which enough follows it in both sets."""
         a, b = left.alias("a"), left.alias("b")
         smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.v") < F.col("b.v")))
         needed = F.lit(min_similarity / (1 + min_similarity)) * (F.col("a.n") + F.col("b.n")) - 1e-6
         left_over = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-        on = (F.col("a.h") == F.col("b.h")) & smaller & (left_over >= needed) & more
+        on = (F.col("a.h") == F.col("b.h")) & smaller & (left_over >= needed) & F.coalesce(F.col("a.c") != F.col("b.c"), F.lit(True)) & more
         return a.join(b, on).select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
 
     many = cut(rows.groupBy("h").count().where(F.col("count") > busy).select("h"))
@@ -291,10 +321,11 @@ def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float
         star = warm.join(warm.groupBy("h").agg(F.min("v").alias("lead")), "h")
         led = cut(compared(cut(star.where("v <> lead").select(F.col("lead").alias("a"), F.col("v").alias("b")).distinct())))
         placed = star.join(led.select(F.col("a").alias("lead"), F.col("b").alias("v"), "near", "d"), ["lead", "v"], "left")
-        placed = placed.select("v", "n", "at", "h", F.coalesce("near", F.lit(True)).alias("near"), F.coalesce("d", F.lit(0.0)).alias("d"))
+        placed = placed.select("v", "n", "c", "at", "h", F.coalesce("near", F.lit(True)).alias("near"), F.coalesce("d", F.lit(0.0)).alias("d"))
         # Two that are linked to the leader are linked; distances to it that differ by more than the pair's are out (it is a metric).
         rest = meet(placed, ~(F.col("a.near") & F.col("b.near")) & (F.abs(F.col("a.d") - F.col("b.d")) <= distance + 1e-6))
         near = led.where("near").union(compared(cut(cold.union(rest).distinct())).where("near"))
+    near = near.union(hashed)
     links = near.join(nodes.select(F.col("v").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("v").alias("b"), F.col("node").alias("w")), "b")
     linked = connected_components(links.select("u", F.col("w").alias("v")))
     named = nodes.join(linked.select(F.col("vertex").alias("node"), "component"), "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))

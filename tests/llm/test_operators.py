@@ -159,6 +159,29 @@ def test_near_dedup_pairs_alone(spark):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_near_dedup_links_by_fingerprints_first(spark, monkeypatch):
+    """Pairs within four bits come from signatures and are verified; only pairs of two components are left to the exact join."""
+    rng = random.Random(34)
+    texts = []
+    for _ in range(20):
+        base = prose(rng, 400, 10**6).split()
+        texts += [" ".join(base), " ".join([*base[:-1], f"c{rng.randrange(10**6)}"])]
+    filler = "| " * 900
+    texts += [filler + prose(rng, 100, 10**6) for _ in range(3)]
+    met = []
+    real = simhash.neighbour_pairs
+    monkeypatch.setattr(simhash, "neighbour_pairs", lambda *args: met.append(real(*args)) or met[-1])
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(docs_of(spark, texts, extra=False)).collect()}
+    fp = [simhash.majority_bits(simhash.shingle_hashes(t, 5)) & (1 << 64) - 1 for t in texts]
+    want = {frozenset((x, y)) for x in fp for y in fp if 0 < (x ^ y).bit_count() <= 4}
+    assert {frozenset(v & (1 << 64) - 1 for v in r) for r in met[0].collect()} == want and len(want) >= 15
+    assert len(set(fp[-3:])) == 1 and got == {i: i - i % 2 if i < 40 else i for i in range(len(texts))}
+    # Without the exact join (no shingle is a key), the same links but for pairs further apart.
+    monkeypatch.setattr(F, "posexplode", lambda column, real=F.posexplode: real(F.slice(column, 1, 0)))
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(docs_of(spark, texts, extra=False)).collect()}
+    assert got == components_brute(list(range(len(texts))), [(i, i + 1) for i in range(0, 40, 2) if (fp[i] ^ fp[i + 1]).bit_count() <= 4])
+
+
 def test_near_dedup_filler_does_not_merge_different_texts(spark):
     rng = random.Random(33)
     filler = "| " * 400
