@@ -20,9 +20,7 @@ leaves a small part of the occurrences for the exact join.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import crc_mod, load_documents, space_words
+from tessera.llm.text import crc_mod, load_documents, space_words_of
 from tessera.session import materialize
 
 #: Classes of rare tokens.
@@ -42,10 +40,10 @@ LOCAL = 1 << 17
 #: Rounds of training: sixteenths of the corpus that each takes (all of it in the end), and the learning rate.
 ROUNDS = ((1, 0.2), (3, 0.2), (12, 0.1))
 DIMENSIONS, NOISE, NEAR_NOISE, BATCH, BUFFER = 16, 24, 2, 2048, 1 << 17
-#: Bytes of text that are scored at once, and that are taken into the buffer of training at once.
-CHUNK, TRAIN_CHUNK = 1 << 20, 1 << 19
-#: Distinct tokens that a task counts before it passes them on.
-FLUSH = 300_000
+#: Bytes of text that are numbered and scored at once, and that are taken into the buffer of training at once.
+CHUNK, TRAIN_CHUNK = 1 << 22, 1 << 19
+#: Bytes of words that a task counts before it passes the counts on.
+FLUSH = 24 << 20
 #: The end of a text. Words hold no white space, so it is none of them.
 END = b"\n"
 ADD = 0.1
@@ -56,26 +54,27 @@ def rare_class(token: bytes) -> int:
     return zlib.crc32(token[:3]) % CLASSES
 
 
+def rare_classes(words: pa.Array) -> np.ndarray:
+    """``rare_class`` of each word: computed once for each beginning that occurs."""
+    heads = pc.binary_slice(words, 0, 3).dictionary_encode()
+    return np.array([rare_class(h) for h in heads.dictionary.to_pylist()], np.int64)[heads.indices.to_numpy()]
+
+
 class Numbers:
     """Output numbers of tokens: 0 the end, then the frequent ones, then classes. ranked: the most frequent tokens, in order."""
 
-    def __init__(self, frequent: int, ranked: list[bytes]):
-        self.index = dict(zip(ranked, range(len(ranked))))
-        self.frequent = frequent
-        self.of = np.array([i + 1 if i < frequent else 1 + frequent + rare_class(t) for i, t in enumerate(ranked)] + [0], np.int64)
+    def __init__(self, frequent: int, ranked: pa.Array):
+        self.ranked, self.frequent = ranked, frequent
+        self.of = np.concatenate([np.arange(1, frequent + 1), 1 + frequent + rare_classes(ranked[frequent:]), [0]])
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ranked, -1 for none; output number) of each word."""
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ranked, -1 for none; output number) of each word. A call hashes ``ranked``, so words come many at a time."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.ranked), -1).to_numpy().astype(np.int64)
         ids = self.of[at]
-        for i in np.flatnonzero(at < 0).tolist():
-            ids[i] = 1 + self.frequent + rare_class(words[i])
+        missing = np.flatnonzero(at < 0)
+        ids[missing] = 1 + self.frequent + rare_classes(words.take(pa.array(missing)))
         return at, ids
 
-    def texts(self, split: list[list[bytes]]) -> np.ndarray:
-        """Output numbers of the words of texts in a row, each ended by 0."""
-        return np.insert(self(list(chain.from_iterable(split)))[1], np.cumsum([len(w) for w in split], dtype=np.int64), 0)
-
 
 class Layout:
     """Where the parts of the model lie in one matrix of weights: contexts, outputs, blocks, three square matrices.
@@ -112,11 +111,12 @@ def contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
-def _sums(at: np.ndarray, rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which numbers occur, and the sums of their rows. places: the flat places of each number's row."""
-    seen = np.flatnonzero(np.bincount(at, minlength=len(places)))
-    sums = np.bincount(places.take(at, 0).ravel(), rows.ravel(), places.size).reshape(places.shape)
-    return seen, sums.take(seen, 0).astype(np.float32)
+def _sums(at: np.ndarray, rows: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Which numbers occur, and the sums of their rows. kind: the least type that holds the numbers (numpy sorts two bytes by radix)."""
+    order = np.argsort(at.astype(kind), kind="stable")
+    at = at.take(order)
+    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at.take(begin), np.add.reduceat(rows.take(order, 0), begin, axis=0)
 
 
 class Trainer:
@@ -138,8 +138,7 @@ class Trainer:
         self.log_block = np.log(NOISE * self.block_share).astype(np.float32)
         self.log_inner = np.log(NEAR_NOISE * share / np.repeat(self.block_share, layout.width)[: layout.outputs]).astype(np.float32)
         self.sum = np.concatenate([[0.0], np.cumsum(share)])
-        self.wide = np.arange(layout.outputs * (layout.dimensions + 1)).reshape(layout.outputs, -1)
-        self.narrow = np.arange(layout.outputs * layout.dimensions).reshape(layout.outputs, -1)
+        self.kind = np.min_scalar_type(layout.outputs)
         self.tokens = 0
         self.held: list[np.ndarray] = []
         self.waiting = 0
@@ -197,8 +196,8 @@ class Trainer:
         error = 1 / (1 + np.exp(self.log_inner.take(chosen) - np.einsum("nkd,nd->nk", rows, inside)))
         error[:, 0] -= 1
         d_inside = np.einsum("nk,nkd->nd", error, rows)[:, :d]
-        at_t, g_t = _sums(chosen.ravel(), (error[:, :, None] * inside[:, None, :]).reshape(-1, d + 1), self.wide)
-        at_c, g_c = _sums(np.concatenate([one, two]), np.concatenate([np.hstack([d_hidden, d_inside]) @ before.T, d_hidden @ second.T]), self.narrow)
+        at_t, g_t = _sums(chosen.ravel(), (error[:, :, None] * inside[:, None, :]).reshape(-1, d + 1), self.kind)
+        at_c, g_c = _sums(np.concatenate([one, two]), np.concatenate([np.hstack([d_hidden, d_inside]) @ before.T, d_hidden @ second.T]), self.kind)
         self._move(o.target.start + at_t, g_t / n)
         self._move(o.block, g_block / n)
         for part, g in ((o.first, a.T @ d_hidden), (o.second, b.T @ d_hidden), (o.inner, a.T @ d_inside)):
@@ -232,7 +231,7 @@ class Tables:
         return {"one": c @ w[layout.first, :d], "two": c @ w[layout.second, :d], "inside": inside, "target": t, "block": u, "z": z, "width": np.array(layout.width)}
 
     @staticmethod
-    def log10(tables: dict[str, np.ndarray], ids: np.ndarray, size: int = 1 << 15) -> np.ndarray:
+    def log10(tables: dict[str, np.ndarray], ids: np.ndarray, size: int = 1 << 13) -> np.ndarray:
         """log10 P(output | the two before) of each of ids (whole texts in a row, each ending in 0)."""
         one, two = contexts(ids)
         width, target, u, z = int(tables["width"]), tables["target"], tables["block"], tables["z"]
@@ -256,22 +255,20 @@ class Tables:
 def token_counts(docs: DataFrame) -> DataFrame:
     """(text, ...) -> (token, n): how often each token, the end included, occurs."""
 
+    def counted(held: list[pa.Array], texts: int) -> pa.RecordBatch:
+        words, n = pa.chunked_array(held, pa.binary()).value_counts().flatten()
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.concat_arrays([n, pa.array([texts], pa.int64())])], ["token", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
-            seen.clear()
-            return batch
-
-        for b in batches:
-            for text in b.column(0):
-                seen.update(space_words(text.as_py()))
-                seen[END] += 1
-                if len(seen) > FLUSH:
-                    yield out()
-        if seen:
-            yield out()
+        held, size, texts = [], 0, 0
+        for b in _parts(batches, 0):
+            held.append(space_words_of(b.column(0))[0])
+            size, texts = size + held[-1].nbytes, texts + b.num_rows
+            if size > FLUSH:
+                yield counted(held, texts)
+                held, size, texts = [], 0, 0
+        if texts:
+            yield counted(held, texts)
 
     return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -287,15 +284,19 @@ def fit(training: DataFrame, ranked: list[bytes], frequent: int, unigram: np.nda
     spark = training.sparkSession
     columns = [f"w{i}" for i in range(layout.dimensions + 1)]
     slot = F.pmod(F.xxhash64("text", F.lit(23)), F.lit(16))
-    vocabulary = spark.sparkContext.broadcast(ranked)
+    vocabulary = spark.sparkContext.broadcast(pa.array(ranked, pa.binary()))
     begun = 0
     for sixteenths, rate in ROUNDS:
         sent = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, rate: float = rate) -> Iterator[pa.RecordBatch]:
             numbers, trainer = Numbers(frequent, vocabulary.value), Trainer(layout, sent.value, unigram, rate)
-            for b in _parts(batches, 0, TRAIN_CHUNK):
-                trainer.add(numbers.texts([space_words(text.as_py()) for text in b.column(0)]))
+            for b in _parts(batches, 0):
+                words, sizes = space_words_of(b.column(0))
+                after = np.concatenate([[0], np.cumsum(sizes)])
+                ids = np.insert(numbers(words)[1], after[1:], 0)
+                for first, last in _cuts(b.column(0), TRAIN_CHUNK):
+                    trainer.add(ids[after[first] + first : after[last] + last])
             trainer.flush()
             if trainer.tokens:
                 cols = [pa.array(np.arange(layout.rows, dtype=np.int32)), pa.array(np.full(layout.rows, float(trainer.tokens)))]
@@ -313,17 +314,23 @@ def fit(training: DataFrame, ranked: list[bytes], frequent: int, unigram: np.nda
     return layout, weights
 
 
-def _parts(batches: Iterator[pa.RecordBatch], text: int, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``size`` bytes of text (one text at least), so that arrays over their tokens stay small."""
+def _cuts(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``size`` bytes of text (one text at least): first row, row after the last."""
+    first, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 1):
+        held += n
+        if held >= size:
+            yield first, i
+            first, held = i, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about CHUNK bytes of text, so that arrays over their tokens stay small."""
     for b in batches:
-        first, held = 0, 0
-        for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()):
-            held += n
-            if held >= size:
-                yield b.slice(first, i + 1 - first)
-                first, held = i + 1, 0
-        if first < b.num_rows:
-            yield b.slice(first)
+        for first, last in _cuts(b.column(text), CHUNK):
+            yield b.slice(first, last - first)
 
 
 def least_count(counts: DataFrame, most: int = LOCAL) -> int:
@@ -369,7 +376,7 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     within = np.concatenate([np.zeros(1 + frequent), np.log10(mass + ADD * (kinds + 1))])
     # Plain arrays, lists and numbers only: what is broadcast is not pickled by value as functions are.
     # The logs are log10 of the counts: what the base and the shares of rare tokens add.
-    sent = spark.sparkContext.broadcast((Tables.of(layout, weights), ranked, np.log10(np.array([local[t] for t in ranked], np.float64) + ADD), within))
+    sent = spark.sparkContext.broadcast((Tables.of(layout, weights), pa.array(ranked, pa.binary()), np.log10(np.array([local[t] for t in ranked], np.float64) + ADD), within))
     end_log = float(np.log10(unigram[0] + ADD))
     ended = unigram[0] > 0
 
@@ -377,11 +384,9 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
         tables, ranked, heavy, within = sent.value
         numbers, heavy = Numbers(frequent, ranked), np.append(heavy, 0.0)
         for b in _parts(batches, 2):
-            split = [space_words(text.as_py()) for text in b.column(2)]
-            sizes = np.array([len(w) for w in split], np.int64)
+            words, sizes = space_words_of(b.column(2))
             after = np.cumsum(sizes)
-            flat = list(chain.from_iterable(split))
-            at, ids = numbers(flat)
+            at, ids = numbers(words)
             ended_ids = np.insert(ids, after, 0)
             scored = np.concatenate([[0.0], np.cumsum(Tables.log10(tables, ended_ids) - within[ended_ids])])
             stop = after + np.arange(1, len(after) + 1)
@@ -391,13 +396,16 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
             base = end_log + sums(logs) - (sizes + 1) * whole
             rare = sums(np.where(ids > frequent, logs, 0.0))
             known = sums(at >= 0) + int(ended)
-            far: list[dict] = [{} for _ in split]
+            # Tokens that ranked lacks, each once a text.
             missing = np.flatnonzero(at < 0)
-            for i, k in zip(missing.tolist(), np.searchsorted(after, missing, "right").tolist()):
-                far[k][flat[i]] = far[k].get(flat[i], 0) + 1
-            cols = (sizes + 1, known, base, neural + rare, [list(f) for f in far], [list(f.values()) for f in far])
+            far = words.take(pa.array(missing)).dictionary_encode()
+            kinds = max(1, len(far.dictionary))
+            keys, times = np.unique(np.searchsorted(after, missing, "right") * kinds + far.indices.to_numpy(), return_counts=True)
+            begin = pa.array(np.searchsorted(keys, np.arange(len(sizes) + 1) * kinds), pa.int32())
+            lists = [pa.ListArray.from_arrays(begin, x) for x in (far.dictionary.take(pa.array(keys % kinds)), pa.array(times, pa.int64()))]
+            cols = (sizes + 1, known, base, neural + rare)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.list_(pa.binary())), pa.array(cols[5], pa.list_(pa.int64()))],
+                [b.column(0), b.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), *lists],
                 ["row", "doc_id", "n_tokens", "known", "base", "neural", "token", "times"],
             )
 

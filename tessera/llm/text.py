@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,13 @@ def space_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
 
+def space_words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``space_words`` of many texts by Arrow's kernels: their words (binary) in a row, and how many each text has."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(bare, ""), None, bare))
+    return lists.flatten().cast(pa.binary()), pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+
+
 def alnum_words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII characters."""
     return text.encode("utf-8", "surrogatepass").translate(ALNUM).split() if text else []
