@@ -30,8 +30,8 @@ LINE, STEP = 8, 3
 #: Parts that the rows of one fingerprint are dealt to, a power of two.
 SALTS = 64
 COUNTS = ("line_words", "line_removed", "line_runs")
-#: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
+#: Bytes of text that are hashed at once: each takes some 50 bytes of arrays meanwhile.
+CHUNK = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
