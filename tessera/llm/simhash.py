@@ -268,14 +268,17 @@ def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = cut(base.mapInArrow(first, "doc_id long, key binary, n int, f0 long, head array<long>"))
+    # Texts outweigh all that is kept of them, so as many parts as they have do for it: each is a file and a task.
+    parts = max(found.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
+    keep = lambda df: cut(df.coalesce(parts))
     grouped = found.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.min("f0").alias("f0"), F.first("head").alias("head")).where("node is not null")
     # The ids are those of the written rows.
-    nodes = cut(grouped.withColumn("v", F.monotonically_increasing_id()))
+    nodes = keep(grouped.withColumn("v", F.monotonically_increasing_id()))
 
     def compared(pairs: DataFrame) -> DataFrame:
         """(a, b) -> a, b, near: whether they are similar, d: one less their similarity."""
         wanted = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-        wanted = cut(wanted.join(nodes.select("v", F.col("node").alias("doc_id"), "key"), "v"))
+        wanted = keep(wanted.join(nodes.select("v", F.col("node").alias("doc_id"), "key"), "v"))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -292,12 +295,12 @@ def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float
 
     # As many parts as the input has: each fingerprint is spread to 64 next.
     prints = nodes.where("n > 0").groupBy("f0").agg(F.min("v").alias("a"))
-    prints = cut(prints.repartition(max(found.rdd.getNumPartitions(), 1), "f0"))
+    prints = cut(prints.repartition(parts, "f0"))
     close = neighbour_pairs(prints, max_bits, max_bits // 2 + 1)
     close = close.join(prints, "f0").select("a", "other").join(prints.select(F.col("f0").alias("other"), F.col("a").alias("b")), "other").select("a", "b")
     equal = nodes.where("n > 0").select("v", "f0").join(prints, "f0").where("v <> a").select("a", F.col("v").alias("b"))
-    hashed = cut(compared(cut(close.union(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())).where("near"))
-    joined = cut(connected_components(hashed.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("vertex").alias("v"), F.col("component").alias("c")))
+    hashed = keep(compared(keep(close.union(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())).where("near"))
+    joined = keep(connected_components(hashed.select(F.col("a").alias("u"), F.col("b").alias("v")), parts).select(F.col("vertex").alias("v"), F.col("component").alias("c")))
     if joined.count() <= BROADCAST_IDS:
         joined = F.broadcast(joined)
     # c is null for nodes that no fingerprint links.
@@ -312,22 +315,22 @@ def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float
         on = (F.col("a.h") == F.col("b.h")) & smaller & (left_over >= needed) & F.coalesce(F.col("a.c") != F.col("b.c"), F.lit(True)) & more
         return a.join(b, on).select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
 
-    many = cut(rows.groupBy("h").count().where(F.col("count") > busy).select("h"))
+    many = keep(rows.groupBy("h").count().where(F.col("count") > busy).select("h"))
     if many.isEmpty():
-        near = compared(cut(meet(rows, F.lit(True)).distinct())).where("near")
+        near = compared(keep(meet(rows, F.lit(True)).distinct())).where("near")
     else:
         cold = meet(rows.join(many, "h", "left_anti"), F.lit(True))
-        warm = cut(rows.join(many, "h", "left_semi"))
+        warm = keep(rows.join(many, "h", "left_semi"))
         star = warm.join(warm.groupBy("h").agg(F.min("v").alias("lead")), "h")
-        led = cut(compared(cut(star.where("v <> lead").select(F.col("lead").alias("a"), F.col("v").alias("b")).distinct())))
+        led = keep(compared(keep(star.where("v <> lead").select(F.col("lead").alias("a"), F.col("v").alias("b")).distinct())))
         placed = star.join(led.select(F.col("a").alias("lead"), F.col("b").alias("v"), "near", "d"), ["lead", "v"], "left")
         placed = placed.select("v", "n", "c", "at", "h", F.coalesce("near", F.lit(True)).alias("near"), F.coalesce("d", F.lit(0.0)).alias("d"))
         # Two that are linked to the leader are linked; distances to it that differ by more than the pair's are out (it is a metric).
         rest = meet(placed, ~(F.col("a.near") & F.col("b.near")) & (F.abs(F.col("a.d") - F.col("b.d")) <= distance + 1e-6))
-        near = led.where("near").union(compared(cut(cold.union(rest).distinct())).where("near"))
+        near = led.where("near").union(compared(keep(cold.union(rest).distinct())).where("near"))
     near = near.union(hashed)
     links = near.join(nodes.select(F.col("v").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("v").alias("b"), F.col("node").alias("w")), "b")
-    linked = connected_components(links.select("u", F.col("w").alias("v")))
+    linked = connected_components(links.select("u", F.col("w").alias("v")), parts)
     named = nodes.join(linked.select(F.col("vertex").alias("node"), "component"), "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     return found.join(named, "key", "left").select("doc_id", "component_id")
 

@@ -30,20 +30,22 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """``edges`` (u, v: two vertex ids of one orderable type) -> (vertex, component).
 
     ``component`` is the smallest vertex id that can be reached. Only vertices with an
     edge to another vertex are returned; self loops, repeated edges and edges with a
-    null end are ignored. An empty table gives an empty table.
+    null end are ignored. An empty table gives an empty table. ``parts``: that each round's table
+    is written in at most (by default as many as its shuffle has); a part is one file.
     """
+    write = lambda df: cut(df.coalesce(parts) if parts else df)
     e = edges.where("u is not null and v is not null and u <> v")
-    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = write(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(e)
     if before[0] == 0:
         return e.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     while True:
-        e = cut(_small_star(_large_star(e)))
+        e = write(_small_star(_large_star(e)))
         now = _state(e)
         if now == before:
             roots = e.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
