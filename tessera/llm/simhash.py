@@ -97,23 +97,29 @@ def _first_shared(segments: int) -> Column:
     return first
 
 
-def leader_links(nodes: DataFrame, max_bits: int, segments: int) -> DataFrame:
-    """(node, f0) -> (u, v): each node with two leaders of each of its signatures, if within ``max_bits`` bits.
+def leader_links(nodes: DataFrame, max_bits: int, segments: int, hot: int = HOT) -> DataFrame:
+    """(node, f0) with distinct fingerprints -> (u, v, hot_sig): each node with two leaders of each of its signatures, if within ``max_bits`` bits.
 
-    At most two rows a signature of a node, however many share it. The leaders are the smallest
-    node and the one of smallest hash, so that a leader that lies apart does not hide a group.
+    The leaders are the node of smallest fingerprint and the one before in order of
+    fingerprints, so that a leader that lies apart does not hide a group: at most two rows a
+    signature of a node, however many share it, after one shuffle of signatures. For each
+    signature that more than ``hot`` nodes share there is a row of nulls and ``hot_sig``.
     """
-    keys = signatures(nodes.select("node", "f0"), segments)
-    two = keys.groupBy("sig").agg(F.min(F.struct("node", "f0")).alias("x"), F.min(F.struct(F.xxhash64("node").alias("r"), "node", "f0")).alias("y"), F.count("*").alias("n"))
-    two = two.where("n > 1").select("sig", "x", F.struct("y.node", "y.f0").alias("y"))
-    near = lambda leader: (F.col("a.node") != F.col(f"{leader}.node")) & (F.bit_count(F.col("a.f0").bitwiseXOR(F.col(f"{leader}.f0"))) <= max_bits)
-    # Distances are part of the join's condition: signatures that texts share by chance give no rows.
-    met = keys.alias("a").join(two.alias("t"), (F.col("a.sig") == F.col("t.sig")) & (near("t.x") | near("t.y")))
-    met = met.select("a.node", F.explode(F.filter(F.array(F.when(near("t.x"), F.col("t.x.node")), F.when(near("t.y"), F.col("t.y.node"))), lambda v: v.isNotNull())).alias("leader"))
-    return met.select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct()
-
-
-def similar_pairs(nodes: DataFrame, max_bits: int, segments: int, hot: int = HOT) -> DataFrame:
+    order = Window.partitionBy("sig").orderBy("f0").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    me = F.struct("node", "f0")
+    met = signatures(nodes.select("node", "f0"), segments).select(
+        "node", "f0", "sig", F.first(me).over(order).alias("x"), F.lag(me).over(Window.partitionBy("sig").orderBy("f0")).alias("y"), F.row_number().over(order).alias("at")
+    )
+    near = lambda leader: F.coalesce((F.col("node") != F.col(f"{leader}.node")) & (F.bit_count(F.col("f0").bitwiseXOR(F.col(f"{leader}.f0"))) <= max_bits), F.lit(False))
+    full = F.col("at") == hot + 1
+    link = lambda leader: F.struct(F.greatest("node", f"{leader}.node").alias("u"), F.least("node", f"{leader}.node").alias("v"), F.lit(None).cast("long").alias("hot_sig"))
+    told = F.struct(F.lit(None).cast("long").alias("u"), F.lit(None).cast("long").alias("v"), F.col("sig").alias("hot_sig"))
+    met = met.where(near("x") | near("y") | full)
+    met = met.select(F.explode(F.filter(F.array(F.when(near("x"), link("x")), F.when(near("y"), link("y")), F.when(full, told)), lambda r: r.isNotNull())).alias("r"))
+    return met.select("r.u", "r.v", "r.hot_sig").distinct()
+
+
+def similar_pairs(nodes: DataFrame, max_bits: int, segments: int, hot: int = HOT, busy: DataFrame | None = None) -> DataFrame:
     """(node, f0) with distinct fingerprints -> (a, b) node pairs within ``max_bits`` bits.
 
     With ``segments > max_bits / 2`` every such pair is found. Where nodes have ``component`` and
@@ -121,7 +127,7 @@ def similar_pairs(nodes: DataFrame, max_bits: int, segments: int, hot: int = HOT
     ``hot`` nodes share are joined on a second key too: of ``max_bits + 1`` pieces of the
     fingerprint, a pair within the distance has one in common. There the nodes of the largest
     component meet the others but not each other, so a group that is linked already costs no
-    comparisons in pairs.
+    comparisons in pairs. ``busy`` (sig): those signatures, where they are known.
     """
     if "component" not in nodes.columns:
         nodes = nodes.select("node", "f0", F.col("node").alias("component"), F.lit(1).alias("size"))
@@ -134,9 +140,11 @@ def similar_pairs(nodes: DataFrame, max_bits: int, segments: int, hot: int = HOT
 
     same = F.col("a.sig") == F.col("b.sig")
     once = F.col("a.node") < F.col("b.node")
-    busy = cut(keys.groupBy("sig").agg(F.count("*").alias("n"), F.max(F.struct("size", "component")).alias("top")).where(F.col("n") > hot).select("sig", F.col("top.component").alias("major")))
+    if busy is None:
+        busy = cut(keys.groupBy("sig").count().where(F.col("count") > hot).select("sig"))
     if busy.isEmpty():
         return meet(keys.select(*cols), keys.select(*cols), same & once)
+    busy = cut(keys.join(busy, "sig").groupBy("sig").agg(F.max(F.struct("size", "component")).alias("top")).select("sig", F.col("top.component").alias("major")))
     calm = keys.join(busy, "sig", "left_anti").select(*cols)
     pieces = [_mask(lo, hi) for lo, hi in _segments(max_bits + 1)]
     pq = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.col("f0").bitwiseAND(m).alias("q")) for p, m in enumerate(pieces))))
@@ -157,16 +165,19 @@ def linked_fingerprints(nodes: DataFrame, max_bits: int, segments: int, hot: int
     pairs of two components, of which each is passed on once. So a group of near copies is never
     written out in pairs, and no link is lost.
     """
-    first = cut(connected_components(cut(leader_links(nodes, max_bits, segments))))
+    # As many parts as the nodes have: of each node's 64 signatures few give a row.
+    parts = max(nodes.rdd.getNumPartitions(), 1)
+    led = cut(leader_links(nodes, max_bits, segments, hot).coalesce(parts))
+    first = connected_components(led.select("u", "v"), parts)
     sizes = first.groupBy("component").agg(F.count("*").alias("size"))
-    led = first.join(sizes, "component").select(F.col("vertex").alias("node"), "component", "size")
-    named = nodes.join(led, "node", "left").select("node", "f0", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
+    first = first.join(sizes, "component").select(F.col("vertex").alias("node"), "component", "size")
+    named = nodes.join(first, "node", "left").select("node", "f0", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
     # As many parts as the nodes have: each row is spread to 64 again.
-    named = cut(named.repartition(max(nodes.rdd.getNumPartitions(), 1), "node"))
-    pairs = similar_pairs(named, max_bits, segments, hot)
+    named = cut(named.repartition(parts, "node"))
+    pairs = similar_pairs(named, max_bits, segments, hot, led.where("hot_sig is not null").select(F.col("hot_sig").alias("sig")))
     of = lambda side: named.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
     pairs = pairs.join(of("a"), "a").join(of("b"), "b").select(F.greatest("a_component", "b_component").alias("u"), F.least("a_component", "b_component").alias("v")).distinct()
-    again = connected_components(pairs).select(F.col("vertex").alias("component"), F.col("component").alias("joined"))
+    again = connected_components(pairs, parts).select(F.col("vertex").alias("component"), F.col("component").alias("joined"))
     return named.join(again, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
 
 

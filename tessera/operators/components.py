@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
+#: Edges of a task, about, in a round; tables of fewer have as many tasks as there are cores.
+EDGES = 200_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -19,10 +22,10 @@ def _large_star(edges: DataFrame) -> DataFrame:
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
+    return moved.union(low.select("u", F.col("m").alias("v"))).coalesce(parts).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,17 +38,20 @@ def connected_components(edges: DataFrame, parts: int | None = None) -> DataFram
 
     ``component`` is the smallest vertex id that can be reached. Only vertices with an
     edge to another vertex are returned; self loops, repeated edges and edges with a
-    null end are ignored. An empty table gives an empty table. ``parts``: that each round's table
-    is written in at most (by default as many as its shuffle has); a part is one file.
+    null end are ignored. An empty table gives an empty table. ``parts``: that the table of
+    edges is written in at most (by default as many as its shuffle has); a part is one file. The
+    rounds' tasks follow the number of edges, however many partitions a shuffle has.
     """
-    write = lambda df: cut(df.coalesce(parts) if parts else df)
     e = edges.where("u is not null and v is not null and u <> v")
-    e = write(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = cut(e.coalesce(parts) if parts else e)
     before = _state(e)
     if before[0] == 0:
         return e.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
+    cores = edges.sparkSession.sparkContext.defaultParallelism
     while True:
-        e = write(_small_star(_large_star(e)))
+        most = max(cores, -(-before[0] // EDGES))
+        e = cut(_small_star(_large_star(e.coalesce(most)).coalesce(most), most).coalesce(most))
         now = _state(e)
         if now == before:
             roots = e.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()

@@ -107,6 +107,25 @@ def test_simhash_contracted_links_are_brute_force(spark, hot):
     assert simhash.similar_pairs(named, 4, 3, hot=hot).count() == 0
 
 
+def test_simhash_leaders_and_hot_signatures_take_one_shuffle(spark):
+    rng = random.Random(24)
+    base = rng.getrandbits(64)
+    values = sorted({base} | {base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))) for _ in range(90)} | {rng.getrandbits(64) for _ in range(60)})
+    nodes = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)], "node long, f0 long")
+    plan = simhash.leader_links(nodes, 4, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(sig") == 1
+    keys = [r.sig for r in simhash.signatures(nodes, 3).collect()]
+    for hot in (20, 2000):
+        rows = simhash.leader_links(nodes, 4, 3, hot=hot).collect()
+        assert {r.hot_sig for r in rows} - {None} == {s for s in keys if keys.count(s) > hot}
+        links = [(r.u, r.v) for r in rows if r.hot_sig is None]
+        assert len(links) == len(set(links)) and all(v < u and (values[u] ^ values[v]).bit_count() <= 4 for u, v in links)
+        # Few pairs are left to the join of two components.
+        root = components_brute(range(len(values)), links)
+        near = [(a, b) for a, x in enumerate(values) for b in range(a) if (x ^ values[b]).bit_count() <= 4]
+        assert near and sum(root[a] == root[b] for a, b in near) >= 0.95 * len(near)
+
+
 def test_simhash_empty_repeated_and_null_ids(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
     got = simhash.near_duplicates(docs_of(spark, ["a b c d e", "a b c d e", "x y"], [7, 7, None])).collect()

@@ -189,6 +189,24 @@ def test_components_are_brute_force(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_component_rounds_have_as_many_tasks_as_the_edges_need(spark, monkeypatch):
+    made, real = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: made.append(real(df)) or made[-1])
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in held}
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.vertex: r.component for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
+    # A part is a file of the round's table, and 32 parts of a shuffle are files of each task that writes it.
+    assert len(made) > 2 and max(m.rdd.getNumPartitions() for m in made[1:]) <= spark.sparkContext.defaultParallelism
+
+
 def evidence(rng, n):
     rows = []
     for i in range(n):
