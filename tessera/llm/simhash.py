@@ -228,6 +228,35 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, k))
 
 
+def parity_sketch(h: np.ndarray) -> np.ndarray:
+    """A set's hashes as bits, of which each hash turns one over: a power of two of them, as many as hashes or up to twice as many, 64 at least; as longs.
+
+    Two sketches of one length differ in no more bits than there are elements that only one set
+    has, as common ones turn the same bits. A sketch that is twice as long is halved by ``xor``.
+    """
+    bits = max(64, 1 << (len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def maybe_similar(pairs: DataFrame, sketches: DataFrame, min_similarity: float) -> DataFrame:
+    """(a, b) -> (a, b) without pairs whose similarity is surely under ``min_similarity``. ``sketches``: (v, n, sketch), n the size of the set.
+
+    Sets of that similarity differ in (1 - s) / (1 + s) of their elements together at most, and a
+    sketch has a bit or two for each element, so few unlike pairs pass and whole sets need not be moved for them.
+    """
+    of = lambda side: sketches.select(F.col("v").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    xor = lambda x, y: x.bitwiseXOR(y)
+    words = F.least(F.size("sa"), F.size("sb"))
+    # Sizes that may be similar have sketches of one length or of twice that.
+    cut_to = lambda s: F.when(F.size(s) == words, F.col(s)).otherwise(F.zip_with(F.slice(s, F.lit(1), words), F.slice(s, words + 1, words), xor))
+    apart = F.aggregate(F.zip_with(cut_to("sa"), cut_to("sb"), xor), F.lit(0), lambda t, x: t + F.bit_count(x))
+    size = F.least("na", "nb") >= F.lit(min_similarity) * F.greatest("na", "nb") - 1e-6
+    most = F.lit((1 - min_similarity) / (1 + min_similarity)) * (F.col("na") + F.col("nb")) + 1e-6
+    return both.where(F.when(size, apart <= most).otherwise(False)).select("a", "b")
+
+
 def _set_key(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
@@ -255,7 +284,8 @@ def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float
     contracted. Fingerprints of similar sets may lie further apart, so nodes of two components
     are then compared by an exact join: all sets are put in one order, rare shingles first, and a
     set of n shares one of its first n - ceil(min_similarity * n) + 1 with each set that similar.
-    Whole sets decide in both.
+    Whole sets decide in both, for pairs that sketches of the sets (a bit or two an element) do
+    not rule out: chance meetings grow faster than the texts and take no more than the sketches.
     """
     distance = 1.0 - min_similarity
     sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
@@ -263,7 +293,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = np.ascontiguousarray(sent.value[:, 0]).view(np.uint64), sent.value[:, 1]
         for b in batches:
-            keys, sizes, prints, heads = [], [], [], []
+            keys, sizes, prints, sketches, heads = [], [], [], [], []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py(), shingle)
                 prints.append(majority_bits(h))
@@ -271,23 +301,28 @@ def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float
                 n = len(h)
                 keys.append(_set_key(h))
                 sizes.append(n)
+                sketches.append(parity_sketch(h))
                 if len(hashes) and n:
                     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                     h = h[np.argsort(np.where(hashes[at] == h, counts[at], 0), kind="stable")]
                 heads.append(h[: n - math.ceil(min_similarity * n - 1e-9) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "key", "n", "f0", "head"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "key", "n", "f0", "sketch", "head"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = cut(base.mapInArrow(first, "doc_id long, key binary, n int, f0 long, head array<long>"))
+    # The ids v are those of the written rows.
+    found = cut(base.mapInArrow(first, "doc_id long, key binary, n int, f0 long, sketch array<long>, head array<long>").withColumn("v", F.monotonically_increasing_id()))
     # Texts outweigh all that is kept of them, so as many parts as they have do for it: each is a file and a task.
     parts = max(found.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
     keep = lambda df: cut(df.coalesce(parts))
-    grouped = found.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.min("f0").alias("f0"), F.first("head").alias("head")).where("node is not null")
-    # The ids are those of the written rows.
-    nodes = keep(grouped.withColumn("v", F.monotonically_increasing_id()))
+    firsts = keep(found.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "v")).alias("first")).select("key", F.col("first.doc_id").alias("node"), F.col("first.v").alias("v")))
+    others = keep(found.select("v").join(firsts, "v", "left_anti"))
+    own = found.withColumnRenamed("doc_id", "node")
+    # With few repeated sets, no row's hashes are written again.
+    nodes = own.join(F.broadcast(others), "v", "left_anti") if others.count() <= BROADCAST_IDS else keep(own.join(firsts.select("v"), "v"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """(a, b) -> a, b, near: whether they are similar, d: one less their similarity."""
+        """(a, b) -> a, b, near: whether they are similar, d: one less their similarity; pairs that sketches rule out have no row."""
+        pairs = keep(maybe_similar(pairs, nodes.select("v", "n", "sketch"), min_similarity))
         wanted = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
         wanted = keep(wanted.join(nodes.select("v", F.col("node").alias("doc_id"), "key"), "v"))
 
@@ -327,7 +362,10 @@ def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float
         return a.join(b, on).select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
 
     many = keep(rows.groupBy("h").count().where(F.col("count") > busy).select("h"))
-    if many.isEmpty():
+    found_many = many.count()
+    if found_many <= BROADCAST_IDS:  # else every row is written for this join as well
+        many = F.broadcast(many)
+    if not found_many:
         near = compared(keep(meet(rows, F.lit(True)).distinct())).where("near")
     else:
         cold = meet(rows.join(many, "h", "left_anti"), F.lit(True))
@@ -335,14 +373,14 @@ def similar_components(docs: DataFrame, shingle: int = 5, min_similarity: float
         star = warm.join(warm.groupBy("h").agg(F.min("v").alias("lead")), "h")
         led = keep(compared(keep(star.where("v <> lead").select(F.col("lead").alias("a"), F.col("v").alias("b")).distinct())))
         placed = star.join(led.select(F.col("a").alias("lead"), F.col("b").alias("v"), "near", "d"), ["lead", "v"], "left")
-        placed = placed.select("v", "n", "c", "at", "h", F.coalesce("near", F.lit(True)).alias("near"), F.coalesce("d", F.lit(0.0)).alias("d"))
-        # Two that are linked to the leader are linked; distances to it that differ by more than the pair's are out (it is a metric).
-        rest = meet(placed, ~(F.col("a.near") & F.col("b.near")) & (F.abs(F.col("a.d") - F.col("b.d")) <= distance + 1e-6))
+        placed = placed.select("v", "n", "c", "at", "h", F.coalesce("near", F.col("v") == F.col("lead")).alias("near"), F.when(F.col("v") == F.col("lead"), 0.0).otherwise(F.col("d")).alias("d"))
+        # Two that are linked to the leader are linked; distances to it, where known, that differ by more than the pair's are out (it is a metric).
+        rest = meet(placed, ~(F.col("a.near") & F.col("b.near")) & F.coalesce(F.abs(F.col("a.d") - F.col("b.d")) <= distance + 1e-6, F.lit(True)))
         near = led.where("near").union(compared(keep(cold.union(rest).distinct())).where("near"))
     near = near.union(hashed)
     links = near.join(nodes.select(F.col("v").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("v").alias("b"), F.col("node").alias("w")), "b")
     linked = connected_components(links.select("u", F.col("w").alias("v")), parts)
-    named = nodes.join(linked.select(F.col("vertex").alias("node"), "component"), "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    named = firsts.join(linked.select(F.col("vertex").alias("node"), "component"), "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     return found.join(named, "key", "left").select("doc_id", "component_id")
 
 

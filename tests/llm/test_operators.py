@@ -180,6 +180,35 @@ def test_near_dedup_pairs_alone(spark):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_near_dedup_sketches_lose_no_similar_pair(spark):
+    """Sets of 0.8 and more always pass, whatever their sizes; unlike ones hardly ever, so their hashes aren't moved."""
+    rng = np.random.default_rng(35)
+    sets, alike, unlike = [], [], []
+    for n in [1, 2, 5, 10, 63, 64, 65, 127, 129, 300, 1000, 5000] * 6:
+        base = rng.integers(0, 1 << 63, n, np.uint64)
+        lost = rng.integers(0, n // 5 + 1)  # of the larger set, so n - lost of n are shared
+        at = len(sets)
+        sets += [np.unique(base), np.unique(base[lost:]), np.unique(np.concatenate([base[: n // 2], rng.integers(0, 1 << 63, n, np.uint64)]))]
+        alike.append((at, at + 1))
+        unlike += [(at, at + 2), (at + 2, at + 1)] if n > 50 else []
+    assert all(len(sets[b]) >= 0.8 * len(sets[a]) for a, b in alike)
+    sketches = spark.createDataFrame([(v, len(h), simhash.parity_sketch(h).tolist()) for v, h in enumerate(sets)], "v long, n int, sketch array<long>")
+    got = {(r.a, r.b) for r in simhash.maybe_similar(spark.createDataFrame(alike + unlike, "a long, b long"), sketches, 0.8).collect()}
+    assert got >= set(alike) and len(got & set(unlike)) <= 0.05 * len(unlike)
+
+
+def test_near_dedup_of_many_equal_sets(spark, monkeypatch):
+    """Where repeated sets are too many to be broadcast; ids repeat or are null."""
+    rng = random.Random(36)
+    base = [prose(rng, 120, 10**6) for _ in range(4)]
+    texts, ids = [*base, *base, *base, base[0][:-40], base[1]], [10, 11, 12, 13, 4, 5, 6, 7, 10, 11, 9, None, 20, None]
+    want = [4, 5, 6, 7, 4, 5, 6, 7, 4, 5, 6, 7, 4, 5]
+    for most in (simhash.BROADCAST_IDS, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_IDS", most)
+        got = simhash.similar_components(docs_of(spark, texts, ids, extra=False)).collect()
+        assert sorted((r.doc_id or -1, r.component_id) for r in got) == sorted((i or -1, c) for i, c in zip(ids, want))
+
+
 def test_near_dedup_links_by_fingerprints_first(spark, monkeypatch):
     """Pairs within four bits come from signatures and are verified; only pairs of two components are left to the exact join."""
     rng = random.Random(34)
