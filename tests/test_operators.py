@@ -147,6 +147,11 @@ def test_overlap_plan_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_overlap_join_broadcasts_no_bins(spark):
+    d = spark.range(10).selectExpr("id", "'a' chr", "id start", "id + 5 end")
+    assert "Broadcast" not in intervals.overlap_pairs(d, d, ["chr"])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_islands_are_brute_force(spark):
     rng = random.Random(2)
     rows = random_intervals(rng, 400, 30_000_000)
