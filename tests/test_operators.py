@@ -152,6 +152,31 @@ def test_overlap_join_broadcasts_no_bins(spark):
     assert "Broadcast" not in intervals.overlap_pairs(d, d, ["chr"])._jdf.queryExecution().executedPlan().toString()
 
 
+def test_overlap_counts_are_brute_force_and_need_no_pairs(spark, monkeypatch):
+    rng = random.Random(42)
+    left = [(i, rng.choice("ab"), s, s + rng.choice([0, 1, 2, 3, 99, 100, 700, 30_000, 2_000_000])) for i in range(500) for s in [rng.randrange(100_000)]]
+    left += [(500, None, 0, 9), (501, "a", None, 9), (502, "a", 90, 30)]
+    regions = [(f"r{i}", rng.choice("ab"), s, s + rng.choice([0, 1, 50, 500, 20_000, 300_000])) for i in range(200) for s in [rng.randrange(100_000)]]
+    regions += [("r0", "b", 0, 70_000), ("n", "a", None, 9), ("m", None, 0, 9), ("back", "a", 80, 20), (None, "a", 0, 99_999)]
+    l = spark.createDataFrame(left, "id long, chr string, start long, end long")  # noqa: E741
+    r = spark.createDataFrame(regions, "key string, chr string, start long, end long")
+    met = []
+    real = intervals.overlap_pairs
+    monkeypatch.setattr(intervals, "overlap_pairs", lambda a, *more: met.append(a) or real(a, *more))
+
+    def common(a, b):
+        return None not in (*a[1:], *b[1:]) and a[1] == b[1] and a[2] < b[3] and a[3] > b[2] and min(a[3], b[3]) - max(a[2], b[2])
+
+    for share in (0.5, 0.7, 1.0, 0.2):
+        n = {}
+        for b in regions:
+            n[b[0]] = n.get(b[0], 0) + sum(1 for a in left if (c := common(a, b)) is not False and c >= share * (a[3] - a[2]))
+        n[None] = 0  # matches no key
+        got = [(x.key, x.n) for x in intervals.overlap_counts(l, r, ["chr"], "key", share).collect()]
+        assert sorted(got, key=str) == sorted(((b[0], n[b[0]]) for b in regions), key=str) and sum(n.values()) > 1000
+    assert all(d.where("start < end").isEmpty() for d in met[:3])
+
+
 def test_islands_are_brute_force(spark):
     rng = random.Random(2)
     rows = random_intervals(rng, 400, 30_000_000)
