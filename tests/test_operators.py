@@ -152,6 +152,19 @@ def test_overlap_join_broadcasts_no_bins(spark):
     assert "Broadcast" not in intervals.overlap_pairs(d, d, ["chr"])._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rows_without_overlap_are_brute_force_and_need_no_pairs(spark, monkeypatch):
+    rng = random.Random(41)
+    left, right = random_intervals(rng, 400, 60_000_000), random_intervals(rng, 60, 60_000_000)
+    left += [(400 + i, c, s, e) for i, (c, s, e) in enumerate([(None, 0, 9), ("a", None, 9), ("a", 9, None), ("z", 5, 6), ("a", 500, 500), ("a", 0, 90_000_000), ("a", 700, 600), ("a", right[0][3], right[0][3] + 1)])]
+    right += [(60, "b", None, 5), (61, None, 0, 99), (62, "a", 40, None), (63, "a", 16_384, 16_384)]
+    schema = "id long, chr string, start long, end long"
+    meets = lambda a, b, slop: a[1] is not None and a[1] == b[1] and None not in (*a[2:], *b[2:]) and a[2] < b[3] + slop and a[3] > b[2] - slop
+    monkeypatch.setattr(intervals, "overlap_pairs", None)
+    for slop in (0, 100):
+        got = intervals.without_overlap(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["chr"], slop=slop).collect()
+        assert sorted(map(tuple, got), key=lambda r: r[0]) == [a for a in left if not any(meets(a, b, slop) for b in right)] and 20 < len(got) < 390
+
+
 def test_overlap_counts_are_brute_force_and_need_no_pairs(spark, monkeypatch):
     rng = random.Random(42)
     left = [(i, rng.choice("ab"), s, s + rng.choice([0, 1, 2, 3, 99, 100, 700, 30_000, 2_000_000])) for i in range(500) for s in [rng.randrange(100_000)]]
