@@ -42,9 +42,8 @@ def evidence(discordant: DataFrame, anchors: DataFrame, halves: DataFrame, gaps:
         both = both.where(F.col("chr") == options.chromosome)
     if gaps is None:
         return both
-    # The ids are those of the written rows.
-    keyed = materialize(both.withColumn("_id", F.monotonically_increasing_id()))
-    return intervals.without_overlap(keyed, gaps, ["chr"], "_id").drop("_id")
+    # What is left is read by each sweep and each of its steps.
+    return materialize(intervals.without_overlap(materialize(both), gaps, ["chr"]))
 
 
 def call_events(found: DataFrame, options: ClusterOptions) -> DataFrame:
