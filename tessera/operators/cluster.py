@@ -154,8 +154,9 @@ class EvidenceSet:
         self._count(e)
 
     def meets(self, other: EvidenceSet) -> bool:
-        near = self.inner_start < other.inner_end and self.inner_end > other.inner_start and _family(self.svtype) == _family(other.svtype)
-        return near and max(_width(self.start, self.inner_start, other.start, other.inner_start), _width(self.inner_end, self.end, other.inner_end, other.end)) <= SET_REACH
+        if not (self.inner_start < other.inner_end and self.inner_end > other.inner_start) or _family(self.svtype) != _family(other.svtype):
+            return False
+        return max(_width(self.start, self.inner_start, other.start, other.inner_start), _width(self.inner_end, self.end, other.inner_end, other.end)) <= SET_REACH
 
     def absorb(self, other: EvidenceSet) -> None:
         """Takes another set's borders and then its pieces, in their order."""
@@ -176,11 +177,10 @@ class EvidenceSet:
 
 
 class Shelf:
-    """Live sets by number, found by the bins in which they start and end."""
-
-    BITS = 10
+    """Live sets by number, found by the bins in which they start and end. ``bits``: of a bin's width; a search should touch few bins."""
 
-    def __init__(self) -> None:
+    def __init__(self, bits: int = 10) -> None:
+        self.bits = bits
         self.sets: dict[int, EvidenceSet] = {}
         self.at: dict[int, tuple[int, int]] = {}
         self.cells: dict[tuple[int, int], set[int]] = {}
@@ -189,7 +189,7 @@ class Shelf:
 
     def put(self, i: int, s: EvidenceSet) -> None:
         """To be called with a new set, and when a set's borders have moved."""
-        now = (s.start >> self.BITS, s.end >> self.BITS)
+        now = (s.start >> self.bits, s.end >> self.bits)
         if self.at.get(i) != now:
             self.drop(i)
             self.sets[i], self.at[i] = s, now
@@ -206,16 +206,22 @@ class Shelf:
                     del table[key]
 
     def _along(self, table: dict, low: int, high: int) -> set[int]:
-        low, high = low >> self.BITS, high >> self.BITS
+        low, high = low >> self.bits, high >> self.bits
         keys = range(low, high + 1) if high - low < len(table) else [k for k in table if low <= k <= high]
         return set().union(*(table.get(k, ()) for k in keys))
 
-    def within(self, left: tuple[int, int], right: tuple[int, int]) -> list[int]:
-        """Sets that start in one range and end in the other (and some beside), in order."""
-        (a, b), (c, d) = [(x >> self.BITS, y >> self.BITS) for x, y in (left, right)]
+    def within(self, left: tuple[int, int], right: tuple[int, int]) -> Iterator[tuple[int, EvidenceSet]]:
+        """Sets that start in one range and end in the other (and some beside), each once, in no order."""
+        (a, b), (c, d), sets = *[(x >> self.bits, y >> self.bits) for x, y in (left, right)], self.sets
         if (b - a + 1) * (d - c + 1) <= len(self.cells):
-            return sorted(set().union(*(self.cells.get((x, y), ()) for x in range(a, b + 1) for y in range(c, d + 1))))
-        return sorted(i for i in self._along(self.left, *left) if c <= self.at[i][1] <= d)
+            for x in range(a, b + 1):
+                for y in range(c, d + 1):
+                    for i in self.cells.get((x, y), ()):
+                        yield i, sets[i]
+        else:
+            for i in self._along(self.left, *left):
+                if c <= self.at[i][1] <= d:
+                    yield i, sets[i]
 
     def beside(self, left: tuple[int, int], right: tuple[int, int]) -> list[int]:
         """Sets that start in one range or end in the other, in order."""
@@ -249,12 +255,16 @@ class Sweep:
 
         A piece that agrees but would turn the set's inner borders round is swallowed.
         """
-        reach = PAIR_REACH * (e.inner_start - e.start)
-        for i in self.shelf.within((e.inner_start - reach, e.start + reach), (e.end - reach, e.inner_end + reach)):
-            if self.shelf.sets[i].agrees(e):
-                if e.inner_end > self.shelf.sets[i].inner_start:
-                    self._join(self.shelf, i, e)
-                return None
+        inner_start, inner_end = e.inner_start, e.inner_end
+        reach = PAIR_REACH * (inner_start - e.start)
+        near = self.shelf.within((inner_start - reach, e.start + reach), (e.end - reach, inner_end + reach))
+        if e.kind == "disc":  # what ``agrees`` asks of most sets first
+            near = (x for x in near if x[1].inner_start > inner_start and x[1].inner_end < inner_end)
+        i = min((i for i, s in near if s.agrees(e)), default=None)
+        if i is not None:
+            if inner_end > self.shelf.sets[i].inner_start:
+                self._join(self.shelf, i, e)
+            return None
         i, self.made = self.made, self.made + 1
         s = EvidenceSet.of(f"{self.unit}:{e.kind[0]}{i}", i, e)
         self.shelf.put(i, s)
@@ -344,7 +354,7 @@ class Fold:
     LATER = 1 << 60
 
     def __init__(self, out: list[dict]):
-        self.out, self.shelf = out, Shelf()
+        self.out, self.shelf = out, Shelf(SET_REACH.bit_length())
         self.queue: deque[EvidenceSet] = deque()
         self.starts: list[tuple[int, int]] = []
         self.made = 0
@@ -376,15 +386,16 @@ class Fold:
 
     def fold(self, other: EvidenceSet) -> None:
         left, right = sorted((other.start, other.inner_start)), sorted((other.inner_end, other.end))
-        for i in self.shelf.within((left[1] - SET_REACH, left[0] + SET_REACH), (right[1] - SET_REACH, right[0] + SET_REACH)):
+        near = self.shelf.within((left[1] - SET_REACH, left[0] + SET_REACH), (right[1] - SET_REACH, right[0] + SET_REACH))
+        i = min((i for i, s in near if s.meets(other)), default=None)
+        if i is not None:
             s = self.shelf.sets[i]
-            if s.meets(other):
-                joins = other.inner_end > s.inner_start
-                if joins:
-                    s.absorb(other)
-                    self.shelf.put(i, s)
-                self.out.append({"tag": "fold", "set_id": other.set_id, "into": s.set_id if joins else None})
-                return
+            joins = other.inner_end > s.inner_start
+            if joins:
+                s.absorb(other)
+                self.shelf.put(i, s)
+            self.out.append({"tag": "fold", "set_id": other.set_id, "into": s.set_id if joins else None})
+            return
         self._keep(self.LATER + self.made, other)
 
 

@@ -364,6 +364,28 @@ def test_a_long_island_is_swept_with_few_sets_held():
     assert most[200_000] < 1.5 * most[20_000] < 3000
 
 
+def test_folding_looks_into_few_bins():
+    """However many live sets there are: as wide as sets may be apart, not a thousand narrow ones a set."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    out = []
+    fold = cluster.Fold(out)
+    fold.shelf.cells = Counted()
+    made = [cluster.EvidenceSet(str(i), i, "a", "MAXDIST", i, i + 100, 10**6 + 50_000 * i, 10**6 + 50_000 * i + 100, steps=[[i, i + 100, 10**6 + 50_000 * i, 10**6 + 50_000 * i + 100, None]]) for i in range(3000)]
+    for s in made:
+        fold.feed(True, s)
+    fold.feed(True, cluster.EvidenceSet("x", 0, "a", "MAXDIST", 3000, 3100, 10**6 + 60_000, 10**6 + 60_100))
+    fold.end()
+    assert Counted.asked < 20 * 3001 and [(r["set_id"], r["into"]) for r in out if r["tag"] == "fold"] == [("x", "1")]
+    assert len([r for r in out if r["tag"] == "set"]) == 3000
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_sets_by_unit_equal_the_whole(spark, seed):
     rows = evidence(random.Random(seed), 150)
